@@ -42,11 +42,11 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and how many words each text has."""
+def spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and how many words each text has; parts: the bytes that part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~parts[data]
     first = np.empty(len(data), bool)
     first[0], first[1:] = True, ~inside[:-1]
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
