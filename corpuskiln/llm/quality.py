@@ -165,12 +165,12 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column("y"), flat], ["y", "x"])
 
 
-def _score(model: Additive):
+def _score(model: Additive, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in groups(whole, "text"):
                 out = pa.array(model.scores(features(batch.column("text"))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
 
     return run
 
@@ -193,7 +193,7 @@ def held_out_rows():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """All columns of `documents` and score (0 to 1, higher: good likelier) and predicted (int).
 
     The model is learnt from `labels` on rows whose crc32(doc_id as text) mod 5 is not 0 (see fit), and
@@ -203,6 +203,6 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sam
     results.
     """
     model = fit(documents, labels, held_out_rows(), sample)
-    rest = documents.drop("score", "predicted")
-    scored = rest.mapInArrow(_score(model), rest.withColumn("score", F.lit(0.0)).schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rest = documents.drop(*names)
+    scored = rest.mapInArrow(_score(model, names[0]), rest.withColumn(names[0], F.lit(0.0)).schema)
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, licences, packing, topk
+from . import chat, katz, licences, packing, pieces, topk
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 from .common import table
@@ -68,6 +68,11 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

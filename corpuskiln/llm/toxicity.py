@@ -61,7 +61,7 @@ def _train(width: int, epochs: int):
     return run
 
 
-def _score(places: np.ndarray, weights: np.ndarray, width: int):
+def _score(places: np.ndarray, weights: np.ndarray, width: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(width)
         dense[places] = weights
@@ -71,7 +71,7 @@ def _score(places: np.ndarray, weights: np.ndarray, width: int):
                 for at in _features(batch.column("text"), width):
                     at = np.unique(at[dense[at] != 0])
                     out.append(1 / (1 + np.exp(-np.clip(dense[0] + dense[at].sum(), -35, 35))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
     return run
 
@@ -99,18 +99,18 @@ def held_out_rows():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted"), **options) -> DataFrame:
     """All columns of `documents` and score (0 to 1, higher: toxic likelier) and predicted (int).
 
     The model is learnt from `labels` on rows whose crc32(doc_id as text) mod 4 is not 2 (see fit), and
     sees nothing of a document but its whole text. A null or empty text gets the bias alone; so does
     every text where nothing could be learnt. A null doc_id is scored as any other. Repeated rows
     each get a score; repeated labels count once, toxic if any says so. Columns of `documents` named
-    score or predicted are replaced. Empty tables give empty results.
+    as `names` says the two new ones are, are replaced. Empty tables give empty results.
     """
     places, weights = fit(documents, labels, held_out_rows(), **options)
     width = options.get("width", WIDTH)
-    rest = documents.drop("score", "predicted")
-    schema = rest.withColumn("score", F.lit(0.0)).schema
-    scored = rest.mapInArrow(_score(places, weights, width), schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rest = documents.drop(*names)
+    schema = rest.withColumn(names[0], F.lit(0.0)).schema
+    scored = rest.mapInArrow(_score(places, weights, width, names[0]), schema)
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
