@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,13 @@ def _follow(rows: DataFrame, column: str, hook: DataFrame) -> DataFrame:
     to = hook.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
     joined = rows.join(to, F.col(column) == F.col("_v"), "left")
     return joined.select(*[F.coalesce("_p", column).alias(c) if c == column else F.col(c) for c in rows.columns])
+
+
+def local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches through a symmetric matrix of links."""
+    root = ids.copy()
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+        if (low == root).all():
+            return root
+        root = low

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop
+from .common import components, cut, drop, local_roots
 from .words import groups, mix, shingle_sets
 
 _U = np.uint64
-BANDS, ROWS, STAR_ROUNDS = 32, 6, 5
+BANDS, ROWS, STAR_ROUNDS, BLOCK = 32, 6, 2, 1024
 
 
 def one_permutation_sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
@@ -70,11 +70,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Shingle sets of these documents. Texts are moved by doc_id at every size, once."""
+    some = docs.join(reps.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return cut(some.mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds `linked`: whether the full sets of a and b overlap enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = cut(sets.mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -82,6 +85,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
 
 
+def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A document's rarest shingles, enough that any two documents to be linked share one of them."""
+    each = sets.join(rest, F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "component", F.explode("shingles").alias("bucket"))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
+    listed = each.join(often, "bucket").groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("s"))
+    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    return listed.select("rep", "n_shingles", "component", F.explode(F.slice("s", F.lit(1), length.cast("int"))).alias("s")).where("s.often > 1").select("s.bucket", "rep", "n_shingles", "component")
+
+
+def _compare_members(percent: int):
+    """The local components of one bucket's members (or of two blocks of them), as links to their root."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        ids, block, component = (cell.column(c).to_numpy() for c in ("rep", "block", "component"))
+        lists = cell.column("shingles").chunk(0)
+        size = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        kinds, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        member = np.repeat(np.arange(len(ids)), size)
+        by_kind = member[np.argsort(place, kind="stable")]
+        at = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(kinds)))])
+        may = component[:, None] != component[None, :]
+        if cell.column("low")[0] != cell.column("high")[0]:
+            may &= block[:, None] != block[None, :]
+        linked = np.zeros((len(ids), len(ids)), bool)
+        ends = np.cumsum(size)
+        for i in np.flatnonzero(may.any(1)):
+            own = place[ends[i] - size[i] : ends[i]]
+            long = at[own + 1] - at[own]
+            rows = np.repeat(at[own] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            both = np.bincount(by_kind[rows], minlength=len(ids))
+            linked[i] = may[i] & (100 * both >= percent * (size + size[i] - both))
+        some = np.flatnonzero(linked.any(1))
+        root = local_roots(linked[np.ix_(some, some)], ids[some])
+        return pa.table([pa.array(ids[some]), pa.array(root)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Groups documents whose sets of 5-word shingles overlap by at least `percent` %.
 
@@ -92,10 +134,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     each goes on. One-permutation sketches give banded buckets. A bucket proposes a star: its
     smallest member against the others. Every proposal is checked on the full sets. A bucket whose
     members are then in different components loses its centre, which has been compared with all
-    of them, and proposes another star; after `star_rounds` stars what is left of it proposes its
-    pairs from different components that no star has compared. No bucket is capped, so a pair that
-    shares a bucket is never lost; that a pair of similarity 0.85 shares none has a chance of
-    (1 - 0.85^6)^32, under 3e-7.
+    of them, and proposes another star. What `star_rounds` stars leave mixed is finished exactly: those
+    documents' rarest shingles, as many as two documents to be linked can't both avoid, are
+    buckets in the same way, and what stars leave mixed there is compared pair by pair inside tasks, in
+    blocks, which give back only each local group's root. No bucket is capped, so a pair that shares one is never lost; that a pair of
+    similarity 0.85 shares none has a chance of (1 - 0.85^6)^32, under 3e-7.
 
     A null or blank text has the empty set and is linked with nothing, also not with another empty
     one. Rows that repeat a doc_id fall together: the smallest text counts, one row comes out. A null
@@ -120,37 +163,72 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
 
 def _link_buckets(buckets: DataFrame, docs: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """Components (node, component) of the representatives linked by what the buckets propose."""
-    star = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = cut(buckets.join(star.select("bucket"), "bucket"), "buckets")
-    alive, links, tried, labels = buckets, None, None, None
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            order = F.struct("rep") if turn == 0 else F.struct(F.xxhash64("bucket", "rep", F.lit(turn)), F.col("rep"))
-            centre = alive.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("r"), F.col("n_shingles").alias("n"), *([F.col("component").alias("c")] if labels else []))).alias("m"))
-            centre = centre.select("bucket", F.col("m.r").alias("centre"), F.col("m.n").alias("centre_n"), *([F.col("m.c").alias("centre_c")] if labels else []))
-            near = alive.join(centre, "bucket").where("rep != centre")
-            near = near.where("component != centre_c") if labels else near
-        else:
-            other = alive.select("bucket", F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_n"), F.col("component").alias("centre_c"))
-            near = alive.join(other, "bucket").where("centre < rep and component != centre_c")
-        fits = 100 * F.least("n_shingles", "centre_n") >= percent * F.greatest("n_shingles", "centre_n")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    alive = cut(buckets.join(shared, "bucket").withColumn("component", F.col("rep")), "alive")
+    sets = _sets(alive.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    state = _State(sets, percent)
+    alive = state.stars(alive, star_rounds)
+    if not alive.isEmpty():
+        rest = alive.select("rep", "n_shingles", "component").distinct()
+        alive = state.stars(state.mixed(cut(_prefixes(rest, sets, percent), "prefixes")), star_rounds)
+        state.finish(alive)
+    return state.labels
+
+
+class _State:
+    """The links found so far, the pairs compared so far, and the components."""
+
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.sets, self.percent = sets, percent
+        none = sets.sparkSession.createDataFrame([], "a long, b long")
+        self.links, self.tried, self.labels = none, none, components(none)
+
+    def compare(self, near: DataFrame) -> None:
+        """Compares (rep, centre) pairs whose sizes allow a link, once each."""
+        fits = 100 * F.least("n_shingles", "centre_n") >= self.percent * F.greatest("n_shingles", "centre_n")
         pairs = near.where(fits).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-        if not pairs.isEmpty():
-            checked = cut(_verified(pairs, docs, percent), "checked")
-            good = checked.where("linked").select("a", "b")
-            links = cut(links.unionByName(good) if links else good, "verified")
-            tried = cut(tried.unionByName(checked.select("a", "b")) if tried else checked.select("a", "b"), "tried")
-            labels = components(links)
-        elif labels is None:
-            labels = components(pairs)
-        if turn < star_rounds:
-            left = alive.drop("component").join(centre.select("bucket", "centre"), "bucket").where("rep != centre").drop("centre")
-            left = left.join(labels, left["rep"] == labels["node"], "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-            mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-            newer = cut(left.join(mixed, "bucket", "left_semi"), "alive")
+        pairs = cut(pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return
+        checked = cut(_verified(pairs, self.sets, self.percent), "checked")
+        self.tried = self.tried.unionByName(checked.select("a", "b"))
+        good = checked.where("linked").select("a", "b")
+        if not good.isEmpty():
+            self.links = self.links.unionByName(good)
+            self.labels = components(self.links)
+
+    def finish(self, alive: DataFrame) -> None:
+        """Compares all members of the buckets inside tasks, long buckets in pairs of blocks."""
+        long = alive.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+        each = alive.join(long, "bucket", "left").withColumn("n_blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+        each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        each = each.select("bucket", "low", "high", "block", "rep", "component").join(self.sets, F.col("rep") == F.col("doc_id"))
+        found = cut(each.groupBy("bucket", "low", "high").applyInArrow(_compare_members(self.percent), "a long, b long"), "finished")
+        if not found.isEmpty():
+            self.links = self.links.unionByName(found)
+            self.labels = components(self.links)
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """Only buckets with members of different components."""
+        several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        return rows.join(several, "bucket", "left_semi")
+
+    def stars(self, alive: DataFrame, rounds: int) -> DataFrame:
+        """Proposes stars around one centre of every bucket, again and again; returns what is left mixed."""
+        for turn in range(rounds):
+            order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("bucket", "rep", F.lit(turn)), "rep", "n_shingles", "component")
+            centre = alive.groupBy("bucket").agg(F.min(order).alias("m"))
+            centre = centre.select("bucket", F.col("m.rep").alias("centre"), F.col("m.n_shingles").alias("centre_n"), F.col("m.component").alias("centre_c"))
+            near = cut(alive.join(centre, "bucket").where("rep <> centre"), "stars")
+            self.compare(near.where("component <> centre_c"))
+            left = near.select("bucket", "rep", "n_shingles").join(self.labels, F.col("rep") == F.col("node"), "left")
+            left = left.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+            newer = cut(self.mixed(left), "alive")
+            drop(near)
             drop(alive)
             alive = newer
             if alive.isEmpty():
                 break
-    return labels
+        return alive

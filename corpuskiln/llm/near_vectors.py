@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, local_roots
 
 WINDOW, BLOCK, MISS, SEED = 512, 2048, 1e-3, 20240607
 _RUN = ["turn", "label", "dim", "code"]
@@ -46,16 +46,6 @@ def _codes(passes: int, bits: int):
     return run
 
 
-def _local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches through a symmetric matrix of links."""
-    root = ids.copy()
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _compare(threshold: float):
     """Compares the rows of one window (or of two blocks of a long run) with each other."""
 
@@ -76,7 +66,7 @@ def _compare(threshold: float):
         new = linked.copy()
         for t in range(turn):
             new &= codes[:, t][:, None] != codes[:, t][None, :]
-        out = [pa.array(ids), pa.array((new * copies[some][None, :]).sum(1)), pa.array(_local_roots(linked, ids))]
+        out = [pa.array(ids), pa.array((new * copies[some][None, :]).sum(1)), pa.array(local_roots(linked, ids))]
         return pa.table(out, names=["rep", "links", "root"])
 
     return run
