@@ -26,7 +26,7 @@ def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def removed(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Existing rows whose key isn't among keys; unknown keys change nothing."""
-    return existing.join(keys.select(key).distinct(), key, "left_anti")
+    return existing.join(keys.select(key).distinct(), key, "left_anti").select(*existing.columns)
 
 
 def with_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
