@@ -15,7 +15,7 @@ from .common import cut
 from .words import groups, mix, word_hashes
 
 _U = np.uint64
-CELL_BYTES, PART_BYTES, LARGEST_GT = 12 << 20, 20 << 20, 5
+CELL_BYTES, PART_BYTES, LARGEST_GT = 6 << 20, 8 << 20, 5
 #: Ids of what is no word of the corpus: the end, a document's start, and a word not learnt.
 _END_HASH = mix(np.array([0x0123456789ABCDEF], _U))[0]
 START, UNKNOWN = -2, -1
