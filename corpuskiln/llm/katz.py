@@ -77,8 +77,9 @@ def _cells(parts: int, ask: bool):
                 often = np.bincount(at, np.repeat(train, counts + 1), len(words)).astype(np.int64)[order]
                 edge = np.searchsorted(part[order], np.arange(parts + 1))
                 words = words[order]
-                blocks = [squeeze(words[a:b], _small(often[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["cell", "part", "block"])
+                some = np.flatnonzero(np.diff(edge))
+                blocks = [squeeze(words[edge[k] : edge[k + 1]], _small(often[edge[k] : edge[k + 1]])) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["cell", "part", "block"])
             else:
                 rank = np.empty(len(words), np.int64)
                 rank[order] = np.arange(len(words))
@@ -103,7 +104,8 @@ def _cells(parts: int, ask: bool):
 
 
 def _count_words(parts: int):
-    """Counts one part of the vocabulary and answers every cell: ids (frequent words first) and counts."""
+    """Counts one part of the vocabulary and answers every cell that asks: ids (frequent words first) and
+    counts. The part's totals stand in its first row."""
 
     def run(asked: pa.Table) -> pa.Table:
         part = asked.column("part")[0].as_py()
@@ -116,8 +118,8 @@ def _count_words(parts: int):
         ids[often == 0] = UNKNOWN
         ends = np.cumsum([len(b[0]) for b in blocks])
         out = [squeeze(_small(ids[p]), _small(often[p])) for p in np.split(at, ends[:-1])]
-        total, kinds = int(often.sum()), int((often > 0).sum())
-        return pa.table([asked.column("cell"), asked.column("part"), pa.array(out, pa.binary()), pa.array([total] * len(out), pa.int64()), pa.array([kinds] * len(out), pa.int64())], names=["cell", "part", "block", "total", "kinds"])
+        sums = [pa.array([int(n), *[0] * (len(out) - 1)], pa.int64()) for n in (often.sum(), (often > 0).sum())]
+        return pa.table([asked.column("cell"), asked.column("part"), pa.array(out, pa.binary()), *sums], names=["cell", "part", "block", "total", "kinds"])
 
     return run
 
@@ -137,7 +139,6 @@ def _pairs(parts: int, hot: int):
         at, counts, train, doc_ids, null = spread(said.column("block")[0].as_py())
         answered = [spread(b.as_py()) for b in answers.column("block")]
         ids, often = (np.concatenate([a[k].astype(np.int64) for a in answered]) for k in (0, 1))
-        total, kinds = sum(answers.column("total").to_pylist()), sum(answers.column("kinds").to_pylist())
         if at.max() + 1 != len(ids):
             raise ValueError("a cell's documents and its words' counts differ; documents must be read from files or a written table")
         counts = counts.astype(np.int64) + 1
@@ -157,28 +158,27 @@ def _pairs(parts: int, hot: int):
         own = np.where((cv > hot) | (v == START), mix(v.astype(_U) * _U(31) + mix(w.astype(_U))), mix(v.astype(_U))) % _U(parts)
         order = np.lexsort((doc, w, v, own.astype(np.int64)))
         v, w, c, cv, doc, own = (a[order] for a in (v, w, c, cv, doc, own.astype(np.int64)))
-        edge = np.searchsorted(own, np.arange(parts + 1))
+        edge = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
         blocks = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             firsts, v_at, v_len = np.unique(v[a:b], return_index=True, return_counts=True)
             seconds, w_at, w_place = np.unique(w[a:b], return_index=True, return_inverse=True)
             blocks.append(squeeze(firsts, _small(v_len), _small(cv[a:b][v_at]), seconds, _small(c[a:b][w_at]), _small(w_place), _small(doc[a:b]), train))
         docs = squeeze(doc_ids, null, _small(counts), _small(known), base, direct, _small(n_direct), train)
-        home = cell % 1000003 % parts
         k = len(blocks)
         return pa.table(
-            [pa.array([cell] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary()), pa.array([docs if i == home else None for i in range(k)], pa.binary()), pa.array([total] * k, pa.int64()), pa.array([kinds] * k, pa.int64())],
-            names=["cell", "pair_part", "block", "docs", "total", "kinds"],
+            [pa.array([cell] * k, pa.int64()), pa.array(own[edge[:-1]], pa.int32()), pa.array(blocks, pa.binary()), pa.array([docs, *[None] * (k - 1)], pa.binary())],
+            names=["cell", "pair_part", "block", "docs"],
         )
 
     return run
 
 
-_PAIR_SCHEMA = "cell long, pair_part int, block binary, docs binary, total long, kinds long"
-_PART_SCHEMA = "pair_part int, seen array<long>, total long, kinds long, sums binary, contexts binary, backoffs binary, docs array<binary>, doc_cells array<long>, hot_first array<long>, hot_stats array<double>"
+_PAIR_SCHEMA = "cell long, pair_part int, block binary, docs binary"
+_PART_SCHEMA = "pair_part int, seen array<long>, cells array<long>, sums binary, contexts binary, backoffs binary, docs array<binary>, doc_cells array<long>, hot_first array<long>, hot_stats array<double>"
 
 
-def _count_pairs(hot: int):
+def _count_pairs(hot: int, room: float):
     """Counts one part of the pairs and sums, per document, what is known before the discounts are.
 
     A context's statistics: how many followers it has with count 1 to LARGEST_GT, the sum of the larger
@@ -188,7 +188,6 @@ def _count_pairs(hot: int):
     def run(part: pa.Table) -> pa.Table:
         blocks = [spread(b.as_py()) for b in part.column("block")]
         cells = part.column("cell").to_pylist()
-        total, kinds = part.column("total")[0].as_py(), part.column("kinds")[0].as_py()
         v = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
         cv = np.concatenate([np.repeat(b[2], b[1]) for b in blocks]).astype(np.int64)
         w = np.concatenate([b[3][b[5]] for b in blocks])
@@ -213,10 +212,9 @@ def _count_pairs(hot: int):
         r = often[pair]
         rows, place = np.unique(row, return_inverse=True)
         known = r > 0
-        room = np.log10(float(total + kinds + 1))
         # A start's count isn't a word's; its logarithm is taken out later, with the number of documents.
         of_context = np.where(v == START, 0.0, np.log10(cv + 1.0))
-        value = np.where(known, np.log10(np.maximum(r, 1)) - of_context, np.log10(c + 1.0) - room)
+        value = np.where(known, np.log10(np.maximum(r, 1)) - of_context, np.log10(c + 1.0) - np.log10(room))
         sums = [np.bincount(place, value, len(rows))]
         sums += [_small(np.bincount(place, r == k, len(rows)).astype(np.int64)) for k in range(1, LARGEST_GT + 1)]
         sums += [np.bincount(place, known & (v == START), len(rows)).astype(np.uint8)]
@@ -227,8 +225,8 @@ def _count_pairs(hot: int):
         backoffs = squeeze(_small(place[missed]), _small(use), _small(place[missed_common]), v[missed_common])
         lists = [x.as_py() for x in part.column("docs")]
         kept = [(x, cell) for x, cell in zip(lists, cells, strict=True) if x is not None]
-        values = [[part.column("pair_part")[0].as_py()], [seen], [total], [kinds], [squeeze(rows, *sums)], [squeeze(*stats[used].T)], [backoffs], [[x for x, _ in kept]], [[cell for _, cell in kept]], [firsts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
-        types = [pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        values = [[part.column("pair_part")[0].as_py()], [seen], [sorted(cells)], [squeeze(rows, *sums)], [squeeze(*stats[used].T)], [backoffs], [[x for x, _ in kept]], [[cell for _, cell in kept]], [firsts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
+        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
         return pa.table([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=[f.split()[0] for f in _PART_SCHEMA.split(", ")])
 
     return run
@@ -254,14 +252,12 @@ def backoff_weights(stats: np.ndarray, own: np.ndarray, discount: np.ndarray, ro
     return (1 - kept / (own + 1)) / (1 - stats[:, LARGEST_GT + 1] / room)
 
 
-def _finish(discount: np.ndarray, hot_weights: dict[int, float], starts: int):
-    """Per part: each document's share of its score, and the documents' other columns."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+def _finish(discount: np.ndarray, hot_weights: dict[int, float], starts: int, room: float):
+    """Per part and cell: the shares of the cell's documents in their scores; and the documents' other sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                room = float(part["total"] + part["kinds"] + 1)
                 rows, value, *counts, start = spread(part["sums"])
                 score = value - np.log10(starts + 1.0) * start
                 for k, n in enumerate(counts):
@@ -273,13 +269,32 @@ def _finish(discount: np.ndarray, hot_weights: dict[int, float], starts: int):
                 firsts, which = np.unique(hot_first, return_inverse=True)
                 hot_weight = np.array([hot_weights[int(f)] for f in firsts])
                 score += np.bincount(hot_place, hot_weight[which], len(rows)) if len(which) else 0
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), none, none.cast(pa.bool_()), none, none, none, none.cast(pa.float64()), pa.array(score)], names)
-                for block, cell in zip(part["docs"], part["doc_cells"], strict=True):
-                    doc_ids, null, tokens, known, base, direct, n_direct, train = spread(block)
-                    n = len(tokens)
-                    columns = [pa.array(cell + np.arange(n)), pa.array(doc_ids, mask=null), pa.array(~train), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, part["total"], np.int64))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(base - tokens * np.log10(room)), pa.array(direct - n_direct * np.log10(room))], names)
+                cells = part["cells"]
+                edge = np.append(np.searchsorted(rows, cells), len(rows))
+                shares = [squeeze(_small(rows[a:b] - cell), score[a:b]) for cell, a, b in zip(cells, edge[:-1], edge[1:], strict=True)]
+                blocks = shares + [None] * len(part["docs"])
+                docs = [None] * len(shares) + part["docs"]
+                yield pa.RecordBatch.from_arrays([pa.array(cells + part["doc_cells"], pa.int64()), pa.array(blocks, pa.binary()), pa.array(docs, pa.binary())], ["cell", "shares", "docs"])
+
+    return run
+
+
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _gather(total: int, room: float):
+    """A cell's documents with their scores."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        (said,) = [d for d in cell.column("docs").to_pylist() if d is not None]
+        doc_ids, null, tokens, known, base, direct, n_direct, train = spread(said)
+        score = direct - n_direct * np.log10(room)
+        shares = [spread(b) for b in cell.column("shares").to_pylist() if b is not None]
+        if shares:
+            score += np.bincount(np.concatenate([p for p, _ in shares]), np.concatenate([x for _, x in shares]), len(score))
+        tokens = tokens.astype(np.int64)
+        columns = [pa.array(doc_ids, mask=null), pa.array(~train), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(tokens), total, np.int64)), pa.array(base - tokens * np.log10(room)), pa.array(score)]
+        return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
 
     return run
 
@@ -299,7 +314,7 @@ def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, pa
 
     Cells of documents ask the parts of the vocabulary for their distinct words' counts; then every
     token pair goes once, compressed, to the part that counts its first token's followers, or for a
-    common first token a share of them. What comes back is one number for each document and part.
+    common first token a share of them. What comes back to a cell is one number for each of its documents and part.
     Nothing of the vocabulary or of the pairs is sent to the driver but sums and the contexts
     that are common, at most 4 for each part.
 
@@ -315,18 +330,20 @@ def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, pa
     hot = max(1000, size // 6 // parts // 4)
     asked = docs.mapInArrow(_cells(parts, True), "cell long, part int, block binary")
     answers = asked.groupBy("part").applyInArrow(_count_words(parts), "cell long, part int, block binary, total long, kinds long")
+    answers = cut(answers, "counts")
+    total, kinds = (int(n or 0) for n in answers.agg(F.sum("total"), F.sum("kinds")).first())
+    room = float(total + kinds + 1)
     said = docs.mapInArrow(_cells(parts, False), "cell long, block binary")
     pairs = said.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_pairs(parts, hot), _PAIR_SCHEMA)
-    counted = cut(pairs.groupBy("pair_part").applyInArrow(_count_pairs(hot), _PART_SCHEMA), "pairs")
-    sums = counted.agg(F.max("total"), F.max("kinds"), *[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
-    discount = discounts([int(x or 0) for x in sums[2:]])
+    counted = cut(pairs.groupBy("pair_part").applyInArrow(_count_pairs(hot, room), _PART_SCHEMA), "pairs")
+    seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
+    discount = discounts([int(x or 0) for x in seen])
     width = LARGEST_GT + 3
     stats = counted.select(F.posexplode("hot_first").alias("i", "first"), "hot_stats").select("first", F.slice("hot_stats", F.col("i") * width + 1, F.lit(width)).alias("s"))
     added = stats.groupBy("first").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(width - 1)], F.max(F.col("s")[width - 1]).alias("own")).toPandas()
     table = added[[f"s{k}" for k in range(width - 1)]].to_numpy(np.float64)
     own = np.where(added["first"] == START, starts, added["own"]).astype(np.float64)
-    weights = np.log10(backoff_weights(table, own, discount, float((sums[0] or 0) + (sums[1] or 0) + 1))) if len(added) else []
+    weights = np.log10(backoff_weights(table, own, discount, room)) if len(added) else []
     hot_weights = dict(zip(added["first"].tolist(), weights, strict=True))
-    shares = counted.mapInArrow(_finish(discount, hot_weights, starts), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    kept = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")]
-    return shares.groupBy("row").agg(*kept, F.sum("score").alias("score")).drop("row")
+    shares = counted.mapInArrow(_finish(discount, hot_weights, starts, room), "cell long, shares binary, docs binary")
+    return shares.groupBy("cell").applyInArrow(_gather(total, room), _RESULT)
