@@ -11,7 +11,13 @@ from ..functions.vectors import has_dimension, normalised
 from .retrieval import postings
 
 BUCKETS = 64
-TABLES = ["files", "chunks", "vectors", "postings", "lengths"]
+TABLES = {
+    "files": "path string, file_type string, last_modified long, last_indexed long",
+    "chunks": "chunk_id long, path string, chunk_index int, start_line int, end_line int, content string",
+    "vectors": "chunk_id long, path string, embedding array<float>",
+    "postings": "chunk_id long, path string, term string, tf long",
+    "lengths": "chunk_id long, path string, length long",
+}
 
 
 def chunk_id(path: Column, index: Column) -> Column:
@@ -54,29 +60,36 @@ class Store:
     def _files_of(self, name: str):
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def has(self, name: str) -> bool:
-        return self._files_of(name).exists(self._path(name))
+    def _read(self, folder: str, name: str) -> DataFrame:
+        schema = f"{TABLES[name]}, bucket int"
+        if not self._files_of(folder).exists(self._path(folder)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self._read(name, name)
 
-    def _change(self, name: str, paths: DataFrame, new: DataFrame | None) -> None:
+    def _change(self, paths: DataFrame, new: dict[str, DataFrame]) -> None:
+        """Takes the paths' rows out of all tables and puts the new ones in.
+
+        All that is to be written is staged before any table changes, so rows that can't be made
+        change nothing.
+        """
         touched = [r[0] for r in paths.select(self.bucket().alias("bucket")).distinct().collect()]  # at most `buckets` numbers
-        new = new.withColumn("bucket", self.bucket()) if new is not None else None
-        if self.has(name):
-            old = removed(self.table(name).where(F.col("bucket").isin(touched)), paths, "path")
-            new = old.unionByName(new) if new is not None else old
-        if new is None:
-            return
-        # Written apart before it takes the old rows' place, which it is made from.
-        staged = f"{self.root}/_staged_{name}"
-        new.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        rows = self.spark.read.schema(new.schema).parquet(staged)
-        filled = {r[0] for r in rows.select("bucket").distinct().collect()}
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
-        for b in set(touched) - filled:
-            self._files_of(name).delete(self._path(f"{name}/bucket={b}"), True)
-        self._files_of(name).delete(self._path(f"_staged_{name}"), True)
+        for name in TABLES:
+            rows = removed(self.table(name).where(F.col("bucket").isin(touched)), paths, "path")
+            if name in new:
+                own = new[name].withColumn("bucket", self.bucket())
+                rows = rows.unionByName(own.select([F.col(f.name).cast(f.dataType) for f in rows.schema]))
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/_staged_{name}")
+        for name in TABLES:
+            rows = self._read(f"_staged_{name}", name)
+            filled = {r[0] for r in rows.select("bucket").distinct().collect()}
+            if filled:
+                rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+            for b in set(touched) - filled:
+                self._files_of(name).delete(self._path(f"{name}/bucket={b}"), True)
+            self._files_of(name).delete(self._path(f"_staged_{name}"), True)
 
     def upsert(self, files: DataFrame, chunks: DataFrame) -> None:
         """files (path, file_type, last_modified, last_indexed); chunks (path, chunk_index, start_line,
@@ -85,17 +98,12 @@ class Store:
         rows = with_dimension(chunks, self.dimension).withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index")))
         terms, lengths = postings(rows)
         of = rows.select("chunk_id", "path")
-        self._change("files", paths, files)
-        self._change("chunks", paths, rows.select("chunk_id", "path", "chunk_index", "start_line", "end_line", "content"))
-        self._change("vectors", paths, rows.select("chunk_id", "path", normalised(F.col("embedding")).cast("array<float>").alias("embedding")))
-        self._change("postings", paths, terms.join(of, "chunk_id"))
-        self._change("lengths", paths, lengths.join(of, "chunk_id"))
+        unit = normalised(F.col("embedding")).alias("embedding")
+        self._change(paths, {"files": files, "chunks": rows, "vectors": rows.select("chunk_id", "path", unit), "postings": terms.join(of, "chunk_id"), "lengths": lengths.join(of, "chunk_id")})
 
     def remove(self, paths: Iterable[str] | DataFrame) -> None:
         given = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        for name in TABLES:
-            if self.has(name):
-                self._change(name, given.select("path").distinct(), None)
+        self._change(given.select("path").distinct(), {})
 
     def stats(self) -> DataFrame:
         """One row: files and chunks."""

@@ -53,8 +53,14 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     paths are the registered files; folders aren't searched. Files of a kind without a reader (PDF
     too: there is no library for it here), and files that aren't UTF-8, are rejects.
     """
-    raw = spark.read.format("binaryFile").load(paths)
-    read = raw.select(F.col("path"), extension(F.col("path")).alias("ext"), F.unix_timestamp("modificationTime").alias("last_modified"), "content", reader_of(F.col("path")).alias("reader"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    configuration = spark._jsc.hadoopConfiguration()
+    whole_paths = [(hadoop.Path(p).getFileSystem(configuration).makeQualified(hadoop.Path(p)).toString(),) for p in paths]
+    found = spark.read.format("binaryFile").load(paths).select("path", F.unix_timestamp("modificationTime").alias("last_modified"), "content")
+    # The reader leaves out files without a byte; they are texts too.
+    empty = spark.createDataFrame(whole_paths, "path string").join(found, "path", "left_anti")
+    raw = found.unionByName(empty.select("path", F.lit(0).cast("long").alias("last_modified"), F.lit(b"").alias("content")))
+    read = raw.select("path", extension(F.col("path")).alias("ext"), "last_modified", "content", reader_of(F.col("path")).alias("reader"))
     good = F.is_valid_utf8(F.col("content").cast("string"))
     reason = F.when(F.col("reader").isNull() | (F.col("reader") == "pdf"), F.concat(F.lit("unsupported: "), "ext")).when(~good, "not UTF-8")
     read = read.withColumn("reason", reason)
