@@ -36,27 +36,25 @@ def _features(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.concatenate([x % _U(width - 1) for x in own]).astype(np.int64) + 1
 
 
-def _train(width: int, epochs: int):
-    """Runs FTRL over one shard; returns its non-zero weights with how much each was trained."""
+def _train(width: int, l1: float):
+    """Streams one shard's rows, in order, through FTRL; gives its non-zero weights and how much each was trained."""
 
-    def run(shard: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros(width), np.zeros(width)
-        l1 = L1 * (shard.num_rows / SHARD_ROWS) ** 0.5
-        for _ in range(epochs):
-            for part in shard.to_batches():
-                for batch in groups(part, "text"):
-                    for places, y in zip(_features(batch.column("text"), width), batch.column("y").to_pylist(), strict=True):
-                        at = np.append(np.unique(places), 0)
-                        zs, ns = z[at], n[at]
-                        free = l1 * (at > 0)
-                        w = np.where(np.abs(zs) > free, (np.sign(zs) * free - zs) / ((BETA + np.sqrt(ns)) / ALPHA + L2), 0)
-                        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-                        z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
-                        n[at] = ns + g * g
+        for whole in batches:
+            for batch in groups(whole, "text"):
+                for places, y in zip(_features(batch.column("text"), width), batch.column("y").to_pylist(), strict=True):
+                    at = np.append(np.unique(places), 0)
+                    zs, ns = z[at], n[at]
+                    free = l1 * (at > 0)
+                    w = np.where(np.abs(zs) > free, (np.sign(zs) * free - zs) / ((BETA + np.sqrt(ns)) / ALPHA + L2), 0)
+                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
+                    n[at] = ns + g * g
         free = np.where(np.arange(width) > 0, l1, 0.0)
         at = np.flatnonzero(np.abs(z) > free)
         w = (np.sign(z[at]) * free[at] - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return pa.table([pa.array(at), pa.array(w), pa.array(n[at])], names=["place", "weight", "trained"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w), pa.array(n[at])], ["place", "weight", "trained"])
 
     return run
 
@@ -80,16 +78,20 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE,
     """Places and weights of the model, at most `width` of them, learnt from rows outside `held_out`.
 
     At most `sample` labelled rows are learnt from, those with the smallest hash of doc_id. They are
-    dealt to shards of about SHARD_ROWS, a task each, which runs FTRL-proximal with per-coordinate rates, and the shards'
-    weights are averaged by how much each shard trained the coordinate. Without labelled rows the
+    dealt to shards of about SHARD_ROWS; a task streams a shard's rows `epochs` times, in one order,
+    through FTRL-proximal with per-coordinate rates, and the shards' weights are averaged by how much
+    each shard trained the coordinate. Without labelled rows the
     model has no weights and every score is 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    shards = max(1, round(known.count() / SHARD_ROWS))
+    n = known.count()
+    shards = max(1, round(n / SHARD_ROWS))
+    l1 = L1 * (n / shards / SHARD_ROWS) ** 0.5
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)))
-    parts = rows.groupBy("shard").applyInArrow(_train(width, epochs), "place long, weight double, trained double")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards))).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "text")
+    parts = rows.select("text", "y").mapInArrow(_train(width, l1), "place long, weight double, trained double")
     mean = parts.groupBy("place").agg((F.sum(F.col("weight") * F.col("trained")) / F.sum("trained")).alias("weight"))
     model = mean.where("weight <> 0").toPandas()
     return model["place"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
