@@ -17,8 +17,11 @@ from ..sources.files import read_files
 
 
 def index(spark: SparkSession, store: Store, paths: list[str], embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Reads, cuts, embeds and stores files; returns the rejects (path, reason). An emptied file loses its chunks."""
+    """Reads, cuts, embeds and stores files; returns the rejects (path, reason). An emptied or missing file loses its chunks."""
     files, rejects = read_files(spark, paths)
+    gone = rejects.where("reason = 'missing'").select("path")
+    if not gone.isEmpty():
+        store.remove(gone)
     index_files(store, files, embedder, size, overlap)
     return rejects
 

@@ -50,13 +50,20 @@ def language_of(path: Column) -> Column:
 def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files (path, file_type, last_modified, text, line_offset) and rejects (path, reason).
 
-    paths are the registered files; folders aren't searched. Files of a kind without a reader (PDF
+    paths are the registered files, absolute; folders aren't searched, and what is no file is a reject
+    ("missing"). Files of a kind without a reader (PDF
     too: there is no library for it here), and files that aren't UTF-8, are rejects.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     configuration = spark._jsc.hadoopConfiguration()
-    whole_paths = [(hadoop.Path(p).getFileSystem(configuration).makeQualified(hadoop.Path(p)).toString(),) for p in paths]
-    found = spark.read.format("binaryFile").load(paths).select("path", F.unix_timestamp("modificationTime").alias("last_modified"), "content")
+    if relative := [p for p in paths if not p.startswith("/") and ":/" not in p]:
+        raise ValueError(f"not absolute: {relative}")
+    places = [(hadoop.Path(p).getFileSystem(configuration), hadoop.Path(p)) for p in paths]
+    whole_paths = [(fs.makeQualified(p).toString(),) for fs, p in places if fs.exists(p) and fs.getFileStatus(p).isFile()]
+    missing = spark.createDataFrame([(fs.makeQualified(p).toString(), "missing") for fs, p in places if not (fs.exists(p) and fs.getFileStatus(p).isFile())], "path string, reason string")
+    load = spark.read.format("binaryFile")
+    found = load.load([p for (p,) in whole_paths]) if whole_paths else load.schema("path string, modificationTime timestamp, length long, content binary").load([])
+    found = found.select("path", F.unix_timestamp("modificationTime").alias("last_modified"), "content")
     # The reader leaves out files without a byte; they are texts too.
     empty = spark.createDataFrame(whole_paths, "path string").join(found, "path", "left_anti")
     raw = found.unionByName(empty.select("path", F.lit(0).cast("long").alias("last_modified"), F.lit(b"").alias("content")))
@@ -67,4 +74,4 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     whole = F.col("content").cast("string")
     text = F.when(F.col("reader") == "markdown", strip_frontmatter(whole)).otherwise(whole)
     files = read.where("reason is null").select("path", F.lower("ext").alias("file_type"), "last_modified", text.alias("text"), line_offset(whole, text).alias("line_offset"))
-    return files, read.where("reason is not null").select("path", "reason")
+    return files, read.where("reason is not null").select("path", "reason").unionByName(missing)

@@ -44,9 +44,16 @@ def test_index_search_remove(spark, notes):
     assert status(store) == {"files": 1, "chunks": 1}
     assert all(store.table(t).where("path like '%b.py'").count() == 0 for t in TABLES)
 
+    with pytest.raises(ValueError, match="not absolute"):
+        index(spark, store, ["a.md"], E)
+    assert [r.reason for r in index(spark, store, [str(folder / "none.md"), str(folder)], E).collect()] == ["missing", "missing"]
+
     (folder / "a.md").write_text("")
     reindex(spark, store, E)
     assert status(store) == {"files": 1, "chunks": 0}
+    (folder / "a.md").unlink()
+    reindex(spark, store, E)
+    assert status(store) == {"files": 0, "chunks": 0}
 
 
 def test_wrong_dimension_changes_nothing(spark, notes):
