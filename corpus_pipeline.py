@@ -41,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document stays of each group linked by a similarity of 0.8 or more: the smallest doc_id."""
     kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id")
     (row,) = _new_names(docs, "row")
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(row))
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias(row))
     return one.select(f"{row}.*").unionByName(docs.where("doc_id is null"))
 
 
