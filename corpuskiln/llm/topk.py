@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, LEAF, BLOCK = 4096, 64, 256
+SHARD_ROWS, LEAF, BLOCK = 4096, 256, 256
 
 
 class BallTree:
