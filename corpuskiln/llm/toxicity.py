@@ -36,7 +36,7 @@ def _features(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.concatenate([x % _U(width - 1) for x in own]).astype(np.int64) + 1
 
 
-def _train(width: int, l1: float):
+def _train(width: int, l1: float, base: float):
     """Streams one shard's rows, in order, through FTRL; gives its non-zero weights and how much each was trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def _train(width: int, l1: float):
                     zs, ns = z[at], n[at]
                     free = l1 * (at > 0)
                     w = np.where(np.abs(zs) > free, (np.sign(zs) * free - zs) / ((BETA + np.sqrt(ns)) / ALPHA + L2), 0)
-                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    g = 1 / (1 + np.exp(-np.clip(base + w.sum(), -35, 35))) - y
                     z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
                     n[at] = ns + g * g
         free = np.where(np.arange(width) > 0, l1, 0.0)
@@ -80,21 +80,24 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE,
     At most `sample` labelled rows are learnt from, those with the smallest hash of doc_id. They are
     dealt to shards of about SHARD_ROWS; a task streams a shard's rows `epochs` times, in one order,
     through FTRL-proximal with per-coordinate rates, and the shards' weights are averaged by how much
-    each shard trained the coordinate. Without labelled rows the
+    each shard trained the coordinate. The bias starts from the sample's share of toxic rows. Without labelled rows the
     model has no weights and every score is 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    n = known.count()
+    n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    base = float(np.log((toxic + 1) / (n - toxic + 1)))
     shards = max(1, round(n / SHARD_ROWS))
     l1 = L1 * (n / shards / SHARD_ROWS) ** 0.5
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards))).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     rows = rows.repartition(shards, "shard").sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "text")
-    parts = rows.select("text", "y").mapInArrow(_train(width, l1), "place long, weight double, trained double")
+    parts = rows.select("text", "y").mapInArrow(_train(width, l1, base), "place long, weight double, trained double")
     mean = parts.groupBy("place").agg((F.sum(F.col("weight") * F.col("trained")) / F.sum("trained")).alias("weight"))
     model = mean.where("weight <> 0").toPandas()
-    return model["place"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
+    places, weights = model["place"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
+    bias = base + weights[places == 0].sum()
+    return np.append(places[places > 0], 0), np.append(weights[places > 0], bias)
 
 
 def held_out_rows():
