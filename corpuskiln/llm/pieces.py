@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ class Vocabulary:
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.spelt = [b""] * sp.get_piece_size()
         for p, i in self.ids.items():
@@ -68,84 +70,112 @@ class Vocabulary:
         return out[1:] if first and out[:1] == b" " else out
 
 
-State = tuple[int, int]  # how far before the cut the last piece ends, and its length; length 0: the text's start
+#: How far before the cut the last piece ends, and its length: 0 at the text's start, and before the cut where
+#: the next piece doesn't depend on it.
+State = tuple[int, int]
 
 
 class _Chunk:
-    """One chunk with what stands before it: which last piece each position has, given an entry state."""
+    """One chunk with what stands before it: which last piece each position has, given an entry state.
+
+    Where a space follows another character no piece of such a vocabulary goes across (`apart`), so every
+    path has a piece end there and what follows doesn't depend on what came before: the matrix has rank
+    one at these places. Only the stretches from an entry to the first of them and from the last of them
+    to the exit need the lattice; what lies between is encoded by the library.
+    """
 
     def __init__(self, words: Vocabulary, text: str, before: int) -> None:
         self.words, self.text, self.before = words, text, before
-        self.size = len(text) - before
+        inside = re.finditer(f"(?<=[^{SPACE}]){SPACE}", text[max(0, before - words.longest) :]) if words.apart else ()
+        self.fixed = [m.start() + max(0, before - words.longest) for m in inside]
+        self.ahead = [p for p in self.fixed if p > before]
 
-    def run(self, entry: State, done: list[bytearray]) -> tuple[bytearray, int]:
-        """Lengths of the last pieces by position after the cut; stops where it equals a done run.
+    def run(self, start: int, length: int, stop: int, done: list[bytearray]) -> tuple[bytearray, int]:
+        """Lengths of the last pieces at the positions start to stop, after a piece of `length` ends at start.
 
-        Returns them and the number of the run that goes on from there, or -1.
+        It stops where it equals a done run to the same stop, and copies the rest of that one; done runs
+        count positions back from stop. Returns the lengths and the number of that run, or -1.
         """
-        words, text, at, most = self.words, self.text, self.before, self.words.longest
-        end, length = at - entry[0], entry[1]
-        last = bytearray(self.size + 1)
+        words, text, most = self.words, self.text, self.words.longest
+        last = bytearray(stop - start + 1)
         dead = 0
-        for p in range(at + 1, len(text) + 1):
-            for n in range(1, min(most, p - end) + 1):
+        for p in range(max(start, self.before) + 1, stop + 1):
+            for n in range(1, min(most, p - start) + 1):
                 q = p - n
-                if q > at:
-                    m = last[q - at]
-                    if not m:
-                        continue
-                elif q == end:
-                    m = length
-                else:
+                m = length if q == start else last[q - start]
+                if q != start and not m:
                     continue
                 piece = text[q:p]
                 if (n == 1 or piece in words.ids) and words.may_follow(text[q - m : q] if m else "", piece):
-                    last[p - at] = n
+                    last[p - start] = n
                     break
-            here = p - at
-            dead = 0 if last[here] else dead + 1
-            if dead >= most and end < p - most:
-                return last, -1
-            if here >= 2 * most:
+            dead = 0 if last[p - start] else dead + 1
+            if dead >= most and p - start > most:
+                break
+            if p - start >= 2 * most:
+                tail = stop - p
                 for k, other in enumerate(done):
-                    if other[here - most + 1 : here + 1] == last[here - most + 1 : here + 1]:
-                        last[here + 1 :] = other[here + 1 :]
+                    at = len(other) - 1 - tail
+                    if at >= most and other[at - most + 1 : at + 1] == last[p - start - most + 1 : p - start + 1]:
+                        last[p - start + 1 :] = other[at + 1 :]
                         return last, k
         return last, -1
 
-    def exits(self, entry: State, last: bytearray) -> list[State]:
-        size, most = self.size, self.words.longest
-        out = [(d, last[size - d]) for d in range(min(most, size)) if last[size - d]]
-        return out + [(entry[0] + size, entry[1])] * (entry[0] + size < most)
+    def _exits(self, start: int, last: bytearray, stop: int) -> list[State]:
+        """States within reach of the chunk's end, of a run from start to it."""
+        back = range(min(self.words.longest, stop - start))
+        return [(d, last[stop - d - start] if d == 0 or stop - d not in self.fixed[-self.words.longest :] else 0) for d in back if last[stop - d - start]]
 
     def entries(self) -> list[State]:
         """Every piece that could be the last before the cut."""
         text, at, most = self.text, self.before, self.words.longest
-        return [(d, n) for d in range(min(most, at)) for n in range(1, min(most, at - d) + 1) if n == 1 or text[at - d - n : at - d] in self.words.ids]
+        out: list[State] = []
+        for d in range(min(most, at)):
+            if d and at - d in self.fixed[: 2 * most]:
+                out.append((d, 0))
+            else:
+                out += [(d, n) for n in range(1, min(most, at - d) + 1) if n == 1 or text[at - d - n : at - d] in self.words.ids]
+        return out
 
     def transfer(self, first: bool) -> dict[State, list[State]]:
         """The transfer matrix: the exit states that each entry state reaches."""
-        done: list[bytearray] = []
-        out = {}
+        end, done, out = len(self.text), [], {}
+        stop = self.ahead[0] if self.ahead else end
+        if self.ahead:
+            start = self.ahead[-1]
+            tail, _ = self.run(start, 0, end, [])
+            exits = self._exits(start, tail, end) + [(end - start, 0)] * (end - start < self.words.longest)
         for entry in [(0, 0)] if first else self.entries():
-            last, merged = self.run(entry, done)
+            start = self.before - entry[0]
+            last, merged = self.run(start, entry[1], stop, done)
             if merged < 0:
                 done.append(last)
-            found = self.exits(entry, last)
+            if self.ahead:
+                found = exits if last[stop - start] else []
+            else:
+                found = self._exits(start, last, end) + [(end - start, 0 if start in self.fixed[: 2 * self.words.longest] else entry[1])] * (end - start < self.words.longest)
             if found:
                 out[entry] = found
         return out
 
-    def trace(self, entry: State, leave: State) -> list[int]:
-        """Ids of the pieces from the entry state's to the exit state's."""
-        last, _ = self.run(entry, [])
-        p, start, pieces = len(self.text) - leave[0], self.before - entry[0], []
+    def _trace(self, start: int, length: int, stop: int) -> list[int]:
+        last, _ = self.run(start, length, stop, [])
+        p, pieces = stop, []
         while p > start:
-            n = last[p - self.before]
-            pieces.append(self.text[p - n : p])
-            p -= n
+            pieces.append(self.text[p - last[p - start] : p])
+            p -= last[p - start]
         return [i for piece in reversed(pieces) for i in self.words.piece_ids(piece)]
 
+    def trace(self, entry: State, leave: State) -> list[int]:
+        """Ids of the pieces from the entry state's to the exit state's."""
+        start, stop = self.before - entry[0], len(self.text) - leave[0]
+        inner = [p for p in self.ahead if p <= stop]
+        if not inner:
+            return self._trace(start, entry[1], stop)
+        middle = self.text[inner[0] : inner[-1]]
+        between = self.words.library.encode(middle[1:].replace(SPACE, " ")) if middle else []
+        return self._trace(start, entry[1], inner[0]) + between + self._trace(inner[-1], 0, stop)
+
 
 def _compose(a: dict, b: dict) -> dict:
     """The product of two transfer matrices."""
