@@ -55,7 +55,7 @@ class Vocabulary:
     def may_follow(self, left: str, right: str) -> bool:
         got = self.beside.get((left, right))
         if got is None:
-            if len(self.beside) > 500_000:
+            if len(self.beside) > 100_000:
                 self.beside.clear()
             got = self.beside[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return got
@@ -207,16 +207,19 @@ def crossings(matrices: list[dict], leave: State) -> list[tuple[State, State]]:
     return out
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that few texts are Python objects at once."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _whole(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = words.library.encode(texts[at : at + 256], num_threads=1)
+            for rows in _slices(batch, 64):
+                ids = words.library.encode(rows.column("text").to_pylist(), num_threads=1)
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.fromiter((x for i in ids for x in i), np.int32, int(ends[-1]))
-                rows = batch.slice(at, 256)
                 zero = pa.array(np.zeros(rows.num_rows, np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), zero, zero, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), rows.column("text")], ["row", "doc_id", "part", "first_id", "ids", "text"])
 
@@ -229,7 +232,8 @@ def _chunked(model: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = 2 * Vocabulary(model).longest
         for batch in batches:
-            for row, doc, text in zip(batch.column("row"), batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
+            for row, doc, said in zip(batch.column("row"), batch.column("doc_id"), batch.column("text"), strict=True):
+                text = said.as_py()
                 full = SPACE + text.replace(" ", SPACE)
                 parts = -(-len(full) // chunk)
                 for k in range(parts):
@@ -244,8 +248,8 @@ def _transfers(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(model)
         for batch in batches:
-            for row, part, before, text in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "before", "text")), strict=True):
-                matrix = _Chunk(words, text, before).transfer(part == 0)
+            for row, part, before, text in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "before")), batch.column("text"), strict=True):
+                matrix = _Chunk(words, text.as_py(), before).transfer(part == 0)
                 flat = [x for s, outs in matrix.items() for o in outs for x in (*s, *o)]
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([flat], pa.list_(pa.int32()))], ["row", "part", "matrix"])
 
@@ -272,7 +276,7 @@ def _traced(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(model)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for rows in _slices(batch, 1) for x in rows.to_pylist()):
                 chunk = _Chunk(words, r["text"], r["before"])
                 ids = chunk.trace((r["e_back"], r["e_len"]), (r["l_back"], r["l_len"]))
                 said = r["text"][r["before"] - r["e_back"] : len(r["text"]) - r["l_back"]].replace(SPACE, " ")
@@ -332,13 +336,14 @@ def checked(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(model)
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in _slices(whole, 256)):
             n, total, exact = [], [], []
             for ids, part, first, text in zip(batch.column("ids"), *(batch.column(c).to_pylist() for c in ("part", "first_id", "text")), strict=True):
                 own = ids.values.to_numpy().astype(np.int64)
+                said = words.decode(own, part == 0)
                 n.append(len(own))
                 total.append(int((own * ((first + 1 + np.arange(len(own))) % MODULUS) % MODULUS).sum() % MODULUS))
-                exact.append(words.decode(own, part == 0) == text.encode())
+                exact.append(said == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(exact, pa.bool_())], ["row", "doc_id", "n_ids", "ids_sum", "exact"])
 
     parts = encoded.mapInArrow(run, "row long, doc_id long, n_ids long, ids_sum long, exact boolean")
