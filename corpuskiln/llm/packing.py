@@ -29,7 +29,8 @@ def cuts(tokens: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]
 
 class _Tokens:
     """Ids of whole texts. Plain texts go through the same vocabulary as ranks, which gives the same ids
-    sooner; one that names the vocabulary's special token goes through `tokenizers` itself."""
+    sooner; one that names the vocabulary's special token goes through `tokenizers` itself, as does one
+    that `tiktoken` refuses (its matcher has no room for about a million white-space characters in a row)."""
 
     SPECIAL = "<|endoftext|>"
 
@@ -49,9 +50,12 @@ class _Tokens:
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or self.SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.fast is not None and self.SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _pack(tokenizer: str, ranks: str | None, capacity: int, least: int):

@@ -62,3 +62,9 @@ def test_odd_rows(odd_documents, no_documents):
     rows = packing.pack(odd_documents, JSON, RANKS).collect()
     assert sum(r.length for r in rows if r.doc_id is None) == sum({r.doc_tokens for r in rows if r.doc_id is None})
     assert packing.pack(no_documents, JSON, RANKS).count() == 0
+
+
+def test_long_runs_of_white_space(spark):
+    texts = {1: " " * 1_000_000, 2: "\n" * 1_000_000, 3: "a " + " \n\t" * 400_000 + "b", 4: "plain"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    check(packing.with_digest(packing.pack(docs, JSON, RANKS)).collect(), texts)
