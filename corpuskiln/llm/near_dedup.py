@@ -70,9 +70,26 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
 
 
+def _smallest(docs: DataFrame) -> DataFrame:
+    """One row per doc_id, with its smallest text; null counts as empty."""
+    return docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _one_each(sketch: DataFrame, docs: DataFrame, sketched) -> DataFrame:
+    """The rows of sketch with a doc_id, such that all rows of one doc_id are of the same set: where texts
+    with different sets share a doc_id, the sketch of the smallest text stands for all of them."""
+    known = sketch.where("doc_id is not null")
+    prints = F.struct("n_shingles", "print_a", "print_b")
+    several = cut(known.groupBy("doc_id").agg(F.min(prints).alias("low"), F.max(prints).alias("high")).where("low <> high").select("doc_id"), "several")
+    if several.isEmpty():
+        return known
+    again = sketched(_smallest(docs.join(several, "doc_id", "left_semi")))
+    return cut(known.join(several, "doc_id", "left_anti").unionByName(again), "sketch")
+
+
 def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Shingle sets of these documents. Texts are moved by doc_id at every size, once."""
-    some = docs.join(reps.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = _smallest(docs.join(reps.hint("merge"), "doc_id", "left_semi"))
     return cut(some.mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
 
 
@@ -141,16 +158,18 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     similarity 0.85 shares none has a chance of (1 - 0.85^6)^32, under 3e-7.
 
     A null or blank text has the empty set and is linked with nothing, also not with another empty
-    one. Rows that repeat a doc_id fall together: the smallest text counts, one row comes out. A null
+    one. Rows that repeat a doc_id fall together: the smallest text counts (null as empty) in every
+    step, one row comes out. A null
     doc_id gets a row of its own text with component_id null and kept true, linked with nothing.
     Columns other than doc_id and text aren't read. An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id is not null")
-    sketch = docs.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
-    sketch = cut(sketch, "sketch")
-    by_doc = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "print_a", "print_b")).alias("p")).select("doc_id", "p.*")
-    classes = sketch.where("doc_id is not null and n_shingles > 0").groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    sketched = lambda texts: texts.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
+    sketch = cut(sketched(docs), "sketch")
+    one = _one_each(sketch, known, sketched)
+    by_doc = one.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "print_a", "print_b")).alias("p")).select("doc_id", "p.*")
+    classes = one.where("n_shingles > 0").groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = cut(classes, "classes")
     buckets = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     found = _link_buckets(buckets, known, percent, star_rounds)

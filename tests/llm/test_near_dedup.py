@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from corpuskiln.llm import near_dedup
 from corpuskiln.llm.common import components
 from corpuskiln.llm.words import shingle_sets
@@ -65,6 +66,22 @@ def test_odd_rows(odd_documents):
     assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_one_text_counts_where_a_doc_id_repeats(spark, flip):
+    rng = random.Random(5)
+    t1, t2 = sorted([text(rng, 80), text(rng, 40)], reverse=flip)
+    near = t2 + " more"
+    rows = [(5, t1), (5, t2), (9, t2), (12, near), (20, None), (20, t1), (30, t1 + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    least = {}
+    for key, words in rows:
+        least[key] = min(least.get(key, words or ""), words or "")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(list(least.items()), 85) and len(got) == 5
+    left = {r.doc_id: r.text or "" for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {k: least[k] for k, (_, root) in brute(list(least.items()), 80).items() if k == root}
+
+
 def test_no_rows(no_documents):
     assert near_dedup.near_duplicates(no_documents).count() == 0
 
