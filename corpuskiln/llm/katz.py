@@ -124,62 +124,68 @@ def _count_words(parts: int):
     return run
 
 
-def _pairs(parts: int, hot: int):
-    """Per cell: its documents' sums that need no pair counts, and its token pairs dealt to parts.
+class _Cell:
+    """One cell's tokens with their words' ids and counts, and its distinct pairs in the order of their parts.
 
     A pair goes where its first token goes; pairs of a first token seen more than `hot` times are
     dealt by both tokens, so that no part gathers a common word's followers.
     """
 
-    def run(said: pa.Table, answers: pa.Table) -> pa.Table:
+    def __init__(self, said: pa.Table, answers: pa.Table, parts: int, hot: int) -> None:
         answers = answers.sort_by("part")
         if said.num_rows != 1 or answers.num_rows == 0:
             raise ValueError("a cell's documents and its words' counts differ; documents must be read from files or a written table")
-        cell = said.column("cell")[0].as_py()
-        at, counts, train, doc_ids, null = spread(said.column("block")[0].as_py())
+        self.cell = said.column("cell")[0].as_py()
+        at, counts, self.train, self.doc_ids, self.null = spread(said.column("block")[0].as_py())
         answered = [spread(b.as_py()) for b in answers.column("block")]
         ids, often = (np.concatenate([a[k].astype(np.int64) for a in answered]) for k in (0, 1))
         if at.max() + 1 != len(ids):
             raise ValueError("a cell's documents and its words' counts differ; documents must be read from files or a written table")
         counts = counts.astype(np.int64) + 1
-        n, ends = len(counts), np.cumsum(counts)
-        doc = np.repeat(np.arange(n), counts)
-        c, w = often[at], ids[at]
-        v, cv = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
-        v[1:], cv[1:] = w[:-1], c[:-1]
-        v[ends - counts], cv[ends - counts] = START, 0
-        base = np.bincount(doc, np.log10(c + 1.0), n)
-        known = np.bincount(doc, c > 0, n).astype(np.int64)
-        strange = v == UNKNOWN
-        direct = np.bincount(doc[strange], np.log10(c[strange] + 1.0), n)
-        n_direct = np.bincount(doc[strange], minlength=n)
-        keep = np.flatnonzero(~strange)
-        v, w, c, cv, doc = v[keep], w[keep], c[keep], cv[keep], doc[keep]
-        own = np.where((cv > hot) | (v == START), mix(v.astype(_U) * _U(31) + mix(w.astype(_U))), mix(v.astype(_U))) % _U(parts)
-        order = np.lexsort((doc, w, v, own.astype(np.int64)))
-        v, w, c, cv, doc, own = (a[order] for a in (v, w, c, cv, doc, own.astype(np.int64)))
-        edge = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
+        ends = np.cumsum(counts)
+        self.doc, self.tokens, self.c = np.repeat(np.arange(len(counts)), counts), counts, often[at]
+        #: A start is one more word, of no count.
+        ids, often = np.append(ids, START), np.append(often, 0)
+        before = np.append(0, at[:-1].astype(np.int64))
+        before[ends - counts] = len(ids) - 1
+        self.strange = ids[before] == UNKNOWN
+        keep = np.flatnonzero(~self.strange)
+        keys, place = np.unique(before[keep] * len(ids) + at[keep], return_inverse=True)
+        v, w = keys // len(ids), keys % len(ids)
+        seen = np.bincount(place, self.train[self.doc[keep]], len(keys)).astype(np.int64)
+        own = np.where((often[v] > hot) | (ids[v] == START), mix(ids[v].astype(_U) * _U(31) + mix(ids[w].astype(_U))), mix(ids[v].astype(_U))) % _U(parts)
+        order = np.argsort(own, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.place = rank[place]
+        v, w, self.own, self.seen = v[order], w[order], own[order].astype(np.int64), seen[order]
+        self.v, self.w, self.cv, self.cw = ids[v], ids[w], often[v], often[w]
+        self.edge = np.append(np.flatnonzero(np.append(True, self.own[1:] != self.own[:-1])[: len(self.own)]), len(self.own))
+
+
+def _pairs(parts: int, hot: int):
+    """Per cell and part: each distinct pair once, with how often the cell's training documents hold it."""
+
+    def run(said: pa.Table, answers: pa.Table) -> pa.Table:
+        x = _Cell(said, answers, parts, hot)
         blocks = []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            firsts, v_at, v_len = np.unique(v[a:b], return_index=True, return_counts=True)
-            seconds, w_at, w_place = np.unique(w[a:b], return_index=True, return_inverse=True)
-            blocks.append(squeeze(firsts, _small(v_len), _small(cv[a:b][v_at]), seconds, _small(c[a:b][w_at]), _small(w_place), _small(doc[a:b]), train))
-        docs = squeeze(doc_ids, null, _small(counts), _small(known), base, direct, _small(n_direct), train)
-        k = len(blocks)
-        return pa.table(
-            [pa.array([cell] * k, pa.int64()), pa.array(own[edge[:-1]], pa.int32()), pa.array(blocks, pa.binary()), pa.array([docs, *[None] * (k - 1)], pa.binary())],
-            names=["cell", "pair_part", "block", "docs"],
-        )
+        for a, b in zip(x.edge[:-1], x.edge[1:], strict=True):
+            starts = np.flatnonzero(np.append(True, x.v[a + 1 : b] != x.v[a : b - 1]))
+            firsts, lengths = x.v[a:b][starts], np.diff(np.append(starts, b - a))
+            seconds, w_at, w_place = np.unique(x.w[a:b], return_index=True, return_inverse=True)
+            blocks.append(squeeze(firsts, _small(lengths), _small(x.cv[a:b][starts]), seconds, _small(x.cw[a:b][w_at]), _small(w_place), _small(x.seen[a:b])))
+        return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(x.own[x.edge[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "pair_part", "block"])
 
     return run
 
 
-_PAIR_SCHEMA = "cell long, pair_part int, block binary, docs binary"
-_PART_SCHEMA = "pair_part int, seen array<long>, cells array<long>, sums binary, contexts binary, backoffs binary, docs array<binary>, doc_cells array<long>, hot_first array<long>, hot_stats array<double>"
+_PAIR_SCHEMA = "cell long, pair_part int, block binary"
+_PART_SCHEMA = "pair_part int, seen array<long>, cells array<long>, totals array<binary>, used array<long>, common array<boolean>, contexts binary, hot_first array<long>, hot_stats array<double>"
 
 
-def _count_pairs(hot: int, room: float):
-    """Counts one part of the pairs and sums, per document, what is known before the discounts are.
+def _count_pairs(hot: int):
+    """Adds up one part's pairs. Keeps each cell's pairs' totals in the cell's order and, of contexts whose
+    weight some cell needs, the statistics.
 
     A context's statistics: how many followers it has with count 1 to LARGEST_GT, the sum of the larger
     counts, the sum of the followers' (count + 1), and its own count.
@@ -187,46 +193,37 @@ def _count_pairs(hot: int, room: float):
 
     def run(part: pa.Table) -> pa.Table:
         blocks = [spread(b.as_py()) for b in part.column("block")]
-        cells = part.column("cell").to_pylist()
         v = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
         cv = np.concatenate([np.repeat(b[2], b[1]) for b in blocks]).astype(np.int64)
         w = np.concatenate([b[3][b[5]] for b in blocks])
         c = np.concatenate([b[4][b[5]] for b in blocks]).astype(np.int64)
-        row = np.concatenate([b[6].astype(np.int64) + cell for b, cell in zip(blocks, cells, strict=True)])
-        train = np.concatenate([b[7][b[6]] for b in blocks])
+        held = np.concatenate([b[6] for b in blocks]).astype(np.float64)
+        lengths = [len(b[5]) for b in blocks]
         order = np.lexsort((w, v))
-        v, cv, w, c, row, train = (a[order] for a in (v, cv, w, c, row, train))
-        new_v = np.concatenate([[True], v[1:] != v[:-1]])[: len(v)]
-        new = new_v | np.concatenate([[True], w[1:] != w[:-1]])[: len(v)]
+        v, cv, w, c = (a[order] for a in (v, cv, w, c))
+        new_v = np.append(True, v[1:] != v[:-1])
+        new = new_v | np.append(True, w[1:] != w[:-1])
         pair, first = np.cumsum(new) - 1, np.cumsum(new_v) - 1
-        often = np.bincount(pair, train, pair[-1] + 1 if len(pair) else 0).astype(np.int64)
+        often = np.bincount(pair, held[order]).astype(np.int64)
         firsts, context = v[new_v], first[new]
         stats = np.zeros((len(firsts), LARGEST_GT + 3))
-        shown = often > 0
         for r in range(1, LARGEST_GT + 1):
             stats[:, r - 1] = np.bincount(context, often == r, len(firsts))
         stats[:, LARGEST_GT] = np.bincount(context, np.where(often > LARGEST_GT, often, 0), len(firsts))
-        stats[:, LARGEST_GT + 1] = np.bincount(context, np.where(shown, c[new] + 1, 0), len(firsts))
+        stats[:, LARGEST_GT + 1] = np.bincount(context, np.where(often > 0, c[new] + 1, 0), len(firsts))
         stats[:, LARGEST_GT + 2] = cv[new_v]
         seen = [int((often == r).sum()) for r in range(1, LARGEST_GT + 2)]
-        r = often[pair]
-        rows, place = np.unique(row, return_inverse=True)
-        known = r > 0
-        # A start's count isn't a word's; its logarithm is taken out later, with the number of documents.
-        of_context = np.where(v == START, 0.0, np.log10(cv + 1.0))
-        value = np.where(known, np.log10(np.maximum(r, 1)) - of_context, np.log10(c + 1.0) - np.log10(room))
-        sums = [np.bincount(place, value, len(rows))]
-        sums += [_small(np.bincount(place, r == k, len(rows)).astype(np.int64)) for k in range(1, LARGEST_GT + 1)]
-        sums += [np.bincount(place, known & (v == START), len(rows)).astype(np.uint8)]
-        common = (cv > hot) | (v == START)
-        missed, missed_common = ~known & ~common, ~known & common
-        used, use = np.unique(first[missed], return_inverse=True)
-        hot_at = np.flatnonzero(common[new_v])
-        backoffs = squeeze(_small(place[missed]), _small(use), _small(place[missed_common]), v[missed_common])
-        lists = [x.as_py() for x in part.column("docs")]
-        kept = [(x, cell) for x, cell in zip(lists, cells, strict=True) if x is not None]
-        values = [[part.column("pair_part")[0].as_py()], [seen], [sorted(cells)], [squeeze(rows, *sums)], [squeeze(*stats[used].T)], [backoffs], [[x for x, _ in kept]], [[cell for _, cell in kept]], [firsts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
-        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        total, of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        total[order], of[order] = often[pair], first
+        missed = total == 0
+        used, use = np.unique(of[missed], return_inverse=True)
+        ends = np.cumsum(lengths)[:-1]
+        uses = np.split(use, np.cumsum([int(m.sum()) for m in np.split(missed, ends)])[:-1])
+        totals = [squeeze(_small(t), _small(u)) for t, u in zip(np.split(total, ends), uses, strict=True)]
+        common = (stats[:, -1] > hot) | (firsts == START)
+        hot_at = np.flatnonzero(common)
+        values = [[part.column("pair_part")[0].as_py()], [seen], [part.column("cell").to_pylist()], [totals], [firsts[used]], [common[used]], [squeeze(*stats[used].T)], [firsts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
+        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         return pa.table([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=[f.split()[0] for f in _PART_SCHEMA.split(", ")])
 
     return run
@@ -252,29 +249,23 @@ def backoff_weights(stats: np.ndarray, own: np.ndarray, discount: np.ndarray, ro
     return (1 - kept / (own + 1)) / (1 - stats[:, LARGEST_GT + 1] / room)
 
 
-def _finish(discount: np.ndarray, hot_weights: dict[int, float], starts: int, room: float):
-    """Per part and cell: the shares of the cell's documents in their scores; and the documents' other sums."""
+def _finish(discount: np.ndarray, hot_weights: dict[int, float], room: float):
+    """Per part and cell: its pairs' totals and, of those that training doesn't hold, the contexts' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                rows, value, *counts, start = spread(part["sums"])
-                score = value - np.log10(starts + 1.0) * start
-                for k, n in enumerate(counts):
-                    score += np.log10(discount[k]) * n
-                place, use, hot_place, hot_first = spread(part["backoffs"])
                 stats = np.stack(spread(part["contexts"]), 1)
-                weight = np.log10(backoff_weights(stats, stats[:, -1], discount, room)) if len(stats) else np.zeros(0)
-                score += np.bincount(place, weight[use], len(rows))
-                firsts, which = np.unique(hot_first, return_inverse=True)
-                hot_weight = np.array([hot_weights[int(f)] for f in firsts])
-                score += np.bincount(hot_place, hot_weight[which], len(rows)) if len(which) else 0
-                cells = part["cells"]
-                edge = np.append(np.searchsorted(rows, cells), len(rows))
-                shares = [squeeze(_small(rows[a:b] - cell), score[a:b]) for cell, a, b in zip(cells, edge[:-1], edge[1:], strict=True)]
-                blocks = shares + [None] * len(part["docs"])
-                docs = [None] * len(shares) + part["docs"]
-                yield pa.RecordBatch.from_arrays([pa.array(cells + part["doc_cells"], pa.int64()), pa.array(blocks, pa.binary()), pa.array(docs, pa.binary())], ["cell", "shares", "docs"])
+                common = np.array(part["common"], bool)
+                weight = np.zeros(len(common))
+                if not common.all():
+                    weight[~common] = np.log10(backoff_weights(stats[~common], stats[~common, -1], discount, room))
+                weight[common] = [hot_weights[f] for f, hot in zip(part["used"], part["common"], strict=True) if hot]
+                for cell, block in zip(part["cells"], part["totals"], strict=True):
+                    total, use = spread(block)
+                    which, place = np.unique(use, return_inverse=True)
+                    out = squeeze(total, weight[which], _small(place))
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([part["pair_part"]], pa.int32()), pa.array([out], pa.binary()), pa.array([True])], ["cell", "part", "block", "pairs"])
 
     return run
 
@@ -282,18 +273,27 @@ def _finish(discount: np.ndarray, hot_weights: dict[int, float], starts: int, ro
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _gather(total: int, room: float):
+def _evaluate(parts: int, hot: int, discount: np.ndarray, starts: int, total: int, room: float):
     """A cell's documents with their scores."""
 
-    def run(cell: pa.Table) -> pa.Table:
-        (said,) = [d for d in cell.column("docs").to_pylist() if d is not None]
-        doc_ids, null, tokens, known, base, direct, n_direct, train = spread(said)
-        score = direct - n_direct * np.log10(room)
-        shares = [spread(b) for b in cell.column("shares").to_pylist() if b is not None]
-        if shares:
-            score += np.bincount(np.concatenate([p for p, _ in shares]), np.concatenate([x for _, x in shares]), len(score))
-        tokens = tokens.astype(np.int64)
-        columns = [pa.array(doc_ids, mask=null), pa.array(~train), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(tokens), total, np.int64)), pa.array(base - tokens * np.log10(room)), pa.array(score)]
+    def run(said: pa.Table, replies: pa.Table) -> pa.Table:
+        pairs = replies.column("pairs")
+        x = _Cell(said, replies.filter(pa.compute.invert(pairs)), parts, hot)
+        shares = [spread(b.as_py()) for b in replies.filter(pairs).sort_by("part").column("block")]
+        r = np.concatenate([s[0].astype(np.int64) for s in shares] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([s[1][s[2]] for s in shares] or [np.zeros(0)])
+        if len(r) != len(x.own):
+            raise ValueError("a cell's pairs and their counts differ; documents must be read from files or a written table")
+        own = np.where(x.v == START, starts, x.cv)
+        kept = np.append(discount, 1.0)[np.minimum(r, LARGEST_GT + 1) - 1]
+        value = np.log10(np.maximum(r, 1) * kept) - np.log10(own + 1.0)
+        value[r == 0] = weight + np.log10(x.cw[r == 0] + 1.0) - np.log10(room)
+        alone = np.log10(x.c + 1.0) - np.log10(room)
+        each = alone.copy()
+        each[~x.strange] = value[x.place]
+        n = len(x.tokens)
+        known = np.bincount(x.doc, x.c > 0, n).astype(np.int64)
+        columns = [pa.array(x.doc_ids, mask=x.null), pa.array(~x.train), pa.array(x.tokens), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(np.bincount(x.doc, alone, n)), pa.array(np.bincount(x.doc, each, n))]
         return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
 
     return run
@@ -313,8 +313,9 @@ def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, pa
     token sum to 1 exactly. After an unknown word the unigrams stand alone.
 
     Cells of documents ask the parts of the vocabulary for their distinct words' counts; then every
-    token pair goes once, compressed, to the part that counts its first token's followers, or for a
-    common first token a share of them. What comes back to a cell is one number for each of its documents and part.
+    distinct token pair of a cell goes once, with the cell's count of it, to the part that adds up its
+    first token's followers, or for a common first token a share of them. The pair's total comes back, with
+    the context's weight where training doesn't hold the pair, and the cell scores its own documents.
     Nothing of the vocabulary or of the pairs is sent to the driver but sums and the contexts
     that are common, at most 4 for each part.
 
@@ -335,7 +336,7 @@ def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, pa
     room = float(total + kinds + 1)
     said = docs.mapInArrow(_cells(parts, False), "cell long, block binary")
     pairs = said.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_pairs(parts, hot), _PAIR_SCHEMA)
-    counted = cut(pairs.groupBy("pair_part").applyInArrow(_count_pairs(hot, room), _PART_SCHEMA), "pairs")
+    counted = cut(pairs.groupBy("pair_part").applyInArrow(_count_pairs(hot), _PART_SCHEMA), "pairs")
     seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
     discount = discounts([int(x or 0) for x in seen])
     width = LARGEST_GT + 3
@@ -345,5 +346,6 @@ def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, pa
     own = np.where(added["first"] == START, starts, added["own"]).astype(np.float64)
     weights = np.log10(backoff_weights(table, own, discount, room)) if len(added) else []
     hot_weights = dict(zip(added["first"].tolist(), weights, strict=True))
-    shares = counted.mapInArrow(_finish(discount, hot_weights, starts, room), "cell long, shares binary, docs binary")
-    return shares.groupBy("cell").applyInArrow(_gather(total, room), _RESULT)
+    shares = counted.mapInArrow(_finish(discount, hot_weights, room), "cell long, part int, block binary, pairs boolean")
+    replies = shares.unionByName(answers.select("cell", "part", "block", F.lit(False).alias("pairs")))
+    return said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_evaluate(parts, hot, discount, starts, total, room), _RESULT)

@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,20 @@ def test_katz_odd_rows(spark, odd_documents, no_documents):
     assert all(r.train_tokens == 0 and r.score == r.base_score for r in alone)
 
 
+def test_katz_sends_a_pair_once_for_a_cell(monkeypatch):
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["the " * 50_000 + "end", "the the end", "the the the"], "train": [True, True, False]})
+    said = pa.Table.from_batches(katz._cells(1, False)([docs]))
+    asked = pa.Table.from_batches(katz._cells(1, True)([docs]))
+    answers = katz._count_words(1)(asked)
+    pairs = katz._pairs(1, 1000)(said, answers)
+    assert pairs.num_rows == 1
+    *_, place, count = katz.spread(pairs.column("block")[0].as_py())
+    assert len(place) == len(count) == 5 and sorted(count.tolist()) == [0, 2, 2, 2, 50_000]
+    (part,) = katz._count_pairs(1000)(pairs).to_pylist()
+    assert len(katz.spread(part["totals"][0])[0]) == 5 and len(pairs.column("block")[0].as_py()) + len(part["totals"][0]) < 1000
+
+
 def test_discounts():
     assert ((katz.discounts([1000, 300, 150, 90, 60, 40]) > 0) & (katz.discounts([1000, 300, 150, 90, 60, 40]) < 1)).all()
     assert katz.discounts([0] * 6).tolist() == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]
