@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -227,7 +228,8 @@ def _whole(model: str):
 
 
 def _chunked(model: str, chunk: int):
-    """Rows (row, part, parts, before, text): chunks with as much of the text before as states need."""
+    """Rows (row, part, parts, before, text, own): chunks with as much of the text before as states need;
+    own: which of a chunk's SPACE are the document's and no spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = 2 * Vocabulary(model).longest
@@ -235,11 +237,13 @@ def _chunked(model: str, chunk: int):
             for row, doc, said in zip(batch.column("row"), batch.column("doc_id"), batch.column("text"), strict=True):
                 text = said.as_py()
                 full = SPACE + text.replace(" ", SPACE)
+                own = [i for i, c in enumerate(text, 1) if c == SPACE] if SPACE in text else []
                 parts = -(-len(full) // chunk)
                 for k in range(parts):
                     a = max(0, k * chunk - room)
-                    names = ["row", "doc_id", "part", "parts", "before", "text"]
-                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([doc.as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([parts], pa.int64()), pa.array([k * chunk - a], pa.int64()), pa.array([full[a : (k + 1) * chunk]])], names)
+                    here = [i - a for i in own[bisect_left(own, a) : bisect_left(own, (k + 1) * chunk)]]
+                    names = ["row", "doc_id", "part", "parts", "before", "text", "own"]
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([doc.as_py()], pa.int64()), pa.array([k], pa.int64()), pa.array([parts], pa.int64()), pa.array([k * chunk - a], pa.int64()), pa.array([full[a : (k + 1) * chunk]]), pa.array([here], pa.list_(pa.int64()))], names)
 
     return run
 
@@ -279,7 +283,13 @@ def _traced(model: str):
             for r in (x for rows in _slices(batch, 1) for x in rows.to_pylist()):
                 chunk = _Chunk(words, r["text"], r["before"])
                 ids = chunk.trace((r["e_back"], r["e_len"]), (r["l_back"], r["l_len"]))
-                said = r["text"][r["before"] - r["e_back"] : len(r["text"]) - r["l_back"]].replace(SPACE, " ")
+                said = r["text"].replace(SPACE, " ")
+                if r["own"]:
+                    letters = list(said)
+                    for i in r["own"]:
+                        letters[i] = SPACE
+                    said = "".join(letters)
+                said = said[r["before"] - r["e_back"] : len(said) - r["l_back"]]
                 values = [[r["row"]], [r["doc_id"]], [r["part"]], [len(ids)], [ids], [said[1:] if r["part"] == 0 else said]]
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["row", "doc_id", "part", "n_ids", "ids", "text"])
@@ -305,7 +315,7 @@ def encode(documents: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") > chunk
     short = docs.where(~giant).mapInArrow(_whole(model), SCHEMA)
-    chunks = cut(docs.where(giant).mapInArrow(_chunked(model, chunk), "row long, doc_id long, part long, parts long, before long, text string"), "chunks")
+    chunks = cut(docs.where(giant).mapInArrow(_chunked(model, chunk), "row long, doc_id long, part long, parts long, before long, text string, own array<long>"), "chunks")
     dealt = chunks.repartition("row", "part")
     matrices = dealt.mapInArrow(_transfers(model), "row long, part long, matrix array<int>")
     cuts = matrices.groupBy("row").applyInArrow(_resolve, "row long, part long, e_back int, e_len int, l_back int, l_len int")

@@ -132,6 +132,21 @@ def test_pieces_are_the_librarys(spark, odd_documents, chunk):
     assert sorted("".join(t for _, t in sorted(p)) for p in spelt.values()) == sorted(r.text or "" for r in rows.collect())
 
 
+def test_a_literal_space_mark_stays_at_every_size(spark):
+    rng = random.Random(4)
+    texts = ["▁" + text(rng, 30) + "▁▁ ▁" + text(rng, 30) + "▁", "a\x00 ▁" * 60, text(rng, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for chunk in (64, 100_000):
+        coded = pieces.encode(docs, MODEL, chunk)
+        said = defaultdict(str)
+        for r in sorted(coded.collect(), key=lambda r: r.part):
+            said[r.doc_id] += r.text
+        assert [said[k] for k in range(3)] == texts
+        found.append(sorted(map(tuple, pieces.checked(coded, MODEL).collect())))
+    assert found[0] == found[1] and [r[-1] for r in found[0]] == [False, False, True]
+
+
 def test_pieces_of_no_rows(no_documents):
     assert pieces.checked(pieces.encode(no_documents, MODEL), MODEL).count() == 0
 
