@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), with docs as the stage before left them, and all but the
 last return the columns of documents. Rows with a null doc_id are scored and packed like others
 and are no one's duplicates; of rows that repeat a doc_id one, with the smallest text, is left after
-the near-duplicate stage. Empty tables pass through.
+the near-duplicate stage. Empty tables pass through; without labels to learn from the first two
+stages keep every document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from corpuskiln.llm.common import cut, table
 from corpuskiln.llm.near_dedup import near_duplicates
 from corpuskiln.llm.quality import quality
 from corpuskiln.llm.queries import vocabulary
-from corpuskiln.llm.toxicity import toxicity
+from corpuskiln.llm.toxicity import held_out_rows, toxicity, usable
 
 
 def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
@@ -28,8 +29,10 @@ def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = _new_names(docs, "score", "predicted")
-    return toxicity(docs, table(spark, sf_dir, "labels"), names=names).where(F.col(names[1]) == 0).select(*docs.columns)
+    names, labels = _new_names(docs, "score", "predicted"), table(spark, sf_dir, "labels")
+    if usable(labels, held_out_rows()).isEmpty():
+        return docs
+    return toxicity(docs, labels, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,11 @@ def _score(places: np.ndarray, weights: np.ndarray, width: int, name: str):
     return run
 
 
+def usable(labels: DataFrame, held_out) -> DataFrame:
+    """The labels (doc_id, y) that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out)
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, width: int = WIDTH, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the model, at most `width` of them, learnt from rows outside `held_out`.
 
@@ -83,8 +88,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE,
     each shard trained the coordinate. The bias starts from the sample's share of toxic rows. Without labelled rows the
     model has no weights and every score is 0.5.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = usable(labels, held_out).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     base = float(np.log((toxic + 1) / (n - toxic + 1)))
     shards = max(1, round(n / SHARD_ROWS))

@@ -185,3 +185,11 @@ def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents):
     left = corpus_pipeline.drop_near_duplicates(spark, odd_documents, folder)
     assert left.where("doc_id = 9").count() == 1 and left.where("doc_id is null").count() == 2
     assert near_dedup.BLOCK == 1024
+
+
+@pytest.mark.parametrize("left", ["false", "toxic is null", "crc32(cast(doc_id as string)) % 4 = 2"])
+def test_pipeline_without_labels_keeps_every_document(spark, odd_documents, tmp_path, left):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labels.where(left).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, odd_documents, str(tmp_path))
+    assert kept.columns == odd_documents.columns and kept.count() == odd_documents.count()
