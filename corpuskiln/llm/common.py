@@ -17,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset a folder of this machine serves a local master; elsewhere that would lose rows, and raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-kiln-")

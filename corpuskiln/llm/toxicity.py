@@ -79,11 +79,19 @@ def usable(labels: DataFrame, held_out) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out)
 
 
+def dealt(documents: DataFrame, known: DataFrame, shards: int, epochs: int) -> DataFrame:
+    """The known rows' texts, `epochs` times over, one partition and one order for each shard."""
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")
+    rows = rows.withColumn("shard", shard).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "text")
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, width: int = WIDTH, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the model, at most `width` of them, learnt from rows outside `held_out`.
 
     At most `sample` labelled rows are learnt from, those with the smallest hash of doc_id. They are
-    dealt to shards of about SHARD_ROWS; a task streams a shard's rows `epochs` times, in one order,
+    dealt to shards of about SHARD_ROWS, each a partition of its own; a task streams a shard's rows `epochs` times, in one order,
     through FTRL-proximal with per-coordinate rates, and the shards' weights are averaged by how much
     each shard trained the coordinate. The bias starts from the sample's share of toxic rows. Without labelled rows the
     model has no weights and every score is 0.5.
@@ -93,9 +101,7 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE,
     base = float(np.log((toxic + 1) / (n - toxic + 1)))
     shards = max(1, round(n / SHARD_ROWS))
     l1 = L1 * (n / shards / SHARD_ROWS) ** 0.5
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards))).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("epoch", F.xxhash64("doc_id"), "doc_id", "text")
+    rows = dealt(documents, known, shards, epochs)
     parts = rows.select("text", "y").mapInArrow(_train(width, l1, base), "place long, weight double, trained double")
     mean = parts.groupBy("place").agg((F.sum(F.col("weight") * F.col("trained")) / F.sum("trained")).alias("weight"))
     model = mean.where("weight <> 0").toPandas()

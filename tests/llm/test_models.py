@@ -1,8 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from corpuskiln.llm import quality, toxicity
 
@@ -73,3 +76,55 @@ def test_features_do_not_depend_on_neighbours():
     texts = pa.array(["one two two\nthree", None, "", "A!! B!! A!! B!!", "x | y | z"])
     alone = np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts.to_pylist()])
     assert np.allclose(quality.features(texts), alone) and not alone[1].any()
+
+
+def test_every_shard_is_a_task_of_its_own(spark):
+    docs, labels, _ = labelled(spark, "toxic", 400)
+    known = labels.withColumnRenamed("toxic", "y")
+    for shards in (1, 2, 3, 7):
+        rows = toxicity.dealt(docs, known, shards, 2).withColumn("task", F.spark_partition_id())
+        tasks = {r.task: (r.kinds, r.n) for r in rows.groupBy("task").agg(F.countDistinct("shard").alias("kinds"), F.count(F.lit(1)).alias("n")).collect()}
+        assert len(tasks) == shards and all(k == 1 for k, _ in tasks.values()) and sum(n for _, n in tasks.values()) == 800
+
+
+def plain_ftrl(rows, l1, base):
+    """Weights of one stream of (features, y), a number at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        free = l1 if i else 0.0
+        if abs(z.get(i, 0.0)) <= free:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * free) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for features, y in rows:
+        own = {i: weight(i) for i in {*features, 0}}
+        g = 1 / (1 + math.exp(-(base + sum(own.values())))) - y
+        for i, w in own.items():
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    return {i: (weight(i), n[i]) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_training_is_plain_ftrl(spark, monkeypatch, shards):
+    docs, labels, truth = labelled(spark, "toxic", 240)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 240 * 3 // 4 // shards)
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    width = 1 << 12
+    places, weights = toxicity.fit(docs, labels, toxicity.held_out_rows(), width=width)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = labels.where(~toxicity.held_out_rows()).withColumnRenamed("toxic", "y")
+    n, toxic = known.count(), known.where("y = 1").count()
+    base = math.log((toxic + 1) / (n - toxic + 1))
+    total = {}
+    order = [(r.doc_id, r.shard) for r in toxicity.dealt(docs, known, shards, 1).collect()]
+    for s in range(shards):
+        own = [(next(toxicity._features(pa.array([text[k]]), width)).tolist(), truth[k]) for k, shard in order if shard == s]
+        for i, (w, much) in plain_ftrl(own * toxicity.EPOCHS, 0.5 * (n / shards / toxicity.SHARD_ROWS) ** 0.5, base).items():
+            total.setdefault(i, []).append((w, much))
+    want = {i: sum(w * m for w, m in x) / sum(m for _, m in x) for i, x in total.items()}
+    want[0] = want.get(0, 0.0) + base
+    got = dict(zip(places.tolist(), weights.tolist(), strict=True))
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want) and len(got) > 20
