@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -82,3 +84,24 @@ def test_quantised(spark):
     rows = [(1, [0.5, -0.01]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [])]
     got = {r.vec_id: r.vector for r in topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: [32, -1], 2: None, 3: None, 4: None, 5: []}
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-4, 5, (90, 4)) / 3 * 10.0 ** rng.integers(-2, 37, (90, 4))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    rows += [(100, [1e30, 1.0, 0.0, 0.0]), (120, [1e30, 1.0, 0.0, 0.0]), (101, [1e30, 1.03125, 0.0, 0.0]), (140, [float("inf"), 0.0, 0.0, 0.0]), (160, [2.0**20, 2.0**21, 1.0, 0.5]), (161, [2.0**20, 2.0**21, 1.0, 1.5])]
+    frame = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    whole = {i: [math.floor(64 * Fraction(float(np.float32(c)))) for c in v] for i, v in rows if np.isfinite(v).all()}
+    want = []
+    for i, v in whole.items():
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole.items() if j != i)[:20]
+            want += [(i, rank, j, max(min(-s, 2**63 - 1), -(2**63))) for rank, (s, j) in enumerate(scores, 1)]
+    for shard_rows in (16, 1000):
+        assert sorted(map(tuple, topk.top_k(frame, frame.where("vec_id % 20 = 0"), 20, shard_rows).collect())) == sorted(want)
+
+
+def test_sort_keys_are_in_order():
+    numbers = sorted([s * (10**e + d) for e in (17, 18, 30, 80) for d in (0, 1, 7) for s in (1, -1)])
+    assert [topk.sort_key(n) for n in numbers] == sorted(topk.sort_key(n) for n in numbers) and topk.sort_key(2**53 - 1) == ""
