@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import textwrap
 from fractions import Fraction
 
 import numpy as np
@@ -52,11 +53,31 @@ def test_licences(spark, odd_documents, no_documents):
     assert got[1].text_licence == "MIT" and got[3].text_licence is None
     assert (got[2].text_licence, got[2].notice_lines, got[2].notice_licences) == (None, 2, "CC-BY-NC-4.0,MIT")
     odd = licences.licences(odd_documents, known).collect()
-    assert len(odd) == 16 and all(r.text_licence is None and r.notice_lines == 0 and r.notice_licences is None for r in odd)
+    assert len(odd) == 17 and all(r.text_licence is None and r.notice_lines == 0 and r.notice_licences is None for r in odd)
     assert licences.licences(no_documents, known).count() == 0
     assert licences.licences(odd_documents, known.limit(0)).where("notice_lines > 0").count() == 0
 
 
+def test_licences_are_found_at_every_width(spark):
+    full = [(name, t) for name, t in licences.KNOWN if len(t) > 300]
+    heads = ["", "Copyright (c) 2020, 2021 Jane Doe\n\n", "/* Copyright 1999 The Authors.\n * All rights reserved.\n */\n", "(c) 2011 by me\n", "© 2003 Someone\n", "Copyright by The People\n"]
+    rows, want = [], {}
+    for name, words in full:
+        for width in range(30, 131):
+            want[len(rows)] = name
+            mark = "# " if width % 3 == 0 else ""
+            rows.append((len(rows), heads[width % len(heads)] + "\n".join(mark + x for x in textwrap.wrap(words, width))))
+    got = {r.doc_id: r.text_licence for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()}
+    assert got == want and len(full) == 9
+
+
+def test_every_text_of_a_doc_id_has_its_licence(spark):
+    mit, isc = (next(t for k, t in licences.KNOWN if k == name and len(t) > 300) for name in ("MIT", "ISC"))
+    rows = [(1, mit), (1, isc), (1, isc), (1, None), (None, mit), (None, "x\nReleased under the MIT License."), (None, "x\nReleased under the MIT License.")]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()
+    assert sorted((r.doc_id or 0, r.text_licence or "", r.notice_lines) for r in got) == [(0, "", 1), (0, "MIT", 1), (1, "", 0), (1, "ISC", 1), (1, "MIT", 1)]
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(-9, 9, (600, 5))
