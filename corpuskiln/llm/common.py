@@ -50,6 +50,28 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key is hot with more than one in HOT of all rows, so that there are fewer hot keys than HOT.
+HOT = 256
+
+
+def hot_keys(sizes: DataFrame, key: str) -> DataFrame:
+    """Of sizes (key, n) the fewer than HOT hot keys with their number of salts: (key, salts)."""
+    limit = max(HOT, (sizes.agg(F.sum("n")).first()[0] or 0) // HOT)
+    return cut(sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts")), "hot")
+
+
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """Adds salt, by which the rows of a hot key are dealt evenly; 0 for others."""
+    salt = F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts")
+
+
+def for_salts(facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """One row for each salt of a key, to be joined with salted rows by key and salt."""
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return facts.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("salts")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, component) per linked node.
 

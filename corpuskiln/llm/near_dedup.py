@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, local_roots
+from .common import components, cut, drop, for_salts, hot_keys, local_roots, salted
 from .words import groups, mix, shingle_sets
 
 _U = np.uint64
@@ -93,20 +93,27 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(some.mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
 
 
+def _sized(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Adds `linked`: whether the full sets of a and b overlap enough."""
+    """Adds `linked`: whether the full sets of a and b overlap enough. a may be one star's centre in many pairs."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    joined = pairs.join(right, "b").join(left, "a")
+    hot = hot_keys(_sized(pairs, "a"), "a")
+    joined = salted(pairs.join(right, "b"), hot, "a", "b").join(for_salts(left, hot, "a"), ["a", "salt"])
     return joined.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
 
 
 def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A document's rarest shingles, enough that any two documents to be linked share one of them."""
     each = sets.join(rest, F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "component", F.explode("shingles").alias("bucket"))
-    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
-    listed = each.join(often, "bucket").groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("s"))
+    sizes = cut(_sized(each, "bucket").where("n > 1"), "sizes")
+    hot = hot_keys(sizes, "bucket")
+    counted = salted(each, hot, "bucket", "rep").join(for_salts(sizes, hot, "bucket"), ["bucket", "salt"], "left")
+    listed = counted.groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("often"), "bucket"))).alias("s"))
     length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
     return listed.select("rep", "n_shingles", "component", F.explode(F.slice("s", F.lit(1), length.cast("int"))).alias("s")).where("s.often > 1").select("s.bucket", "rep", "n_shingles", "component")
 
@@ -162,6 +169,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     step, one row comes out. A null
     doc_id gets a row of its own text with component_id null and kept true, linked with nothing.
     Columns other than doc_id and text aren't read. An empty table gives an empty result.
+
+    Keys that hold more than one in HOT of the rows (a bucket, a shingle, a star's centre) are salted: what
+    is known of the key is copied to each salt, and their members are dealt over the salts.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id is not null")
@@ -182,15 +192,21 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
 
 def _link_buckets(buckets: DataFrame, docs: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """Components (node, component) of the representatives linked by what the buckets propose."""
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    alive = cut(buckets.join(shared, "bucket").withColumn("component", F.col("rep")), "alive")
+    sizes = cut(_sized(buckets, "bucket").where("n > 1"), "sizes")
+    hot = hot_keys(sizes, "bucket")
+    shared = salted(buckets, hot, "bucket", "rep").join(for_salts(sizes.select("bucket"), hot, "bucket"), ["bucket", "salt"])
+    alive = cut(shared.withColumn("component", F.col("rep")), "alive")
+    drop(sizes)
     sets = _sets(alive.select(F.col("rep").alias("doc_id")).distinct(), docs)
     state = _State(sets, percent)
-    alive = state.stars(alive, star_rounds)
+    alive = state.stars(alive, star_rounds, hot)
     if not alive.isEmpty():
         rest = alive.select("rep", "n_shingles", "component").distinct()
-        alive = state.stars(state.mixed(cut(_prefixes(rest, sets, percent), "prefixes")), star_rounds)
-        state.finish(alive)
+        prefixes = cut(_prefixes(rest, sets, percent), "prefixes")
+        hot = hot_keys(_sized(prefixes, "bucket"), "bucket")
+        alive = cut(state.mixed(salted(prefixes, hot, "bucket", "rep"), hot), "alive")
+        drop(prefixes)
+        state.finish(state.stars(alive, star_rounds, hot), hot)
     return state.labels
 
 
@@ -216,10 +232,10 @@ class _State:
             self.links = self.links.unionByName(good)
             self.labels = components(self.links)
 
-    def finish(self, alive: DataFrame) -> None:
+    def finish(self, alive: DataFrame, hot: DataFrame) -> None:
         """Compares all members of the buckets inside tasks, long buckets in pairs of blocks."""
-        long = alive.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-        each = alive.join(long, "bucket", "left").withColumn("n_blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+        long = for_salts(_sized(alive, "bucket").where(F.col("n") > BLOCK), hot, "bucket")
+        each = alive.join(long, ["bucket", "salt"], "left").withColumn("n_blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
         each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -229,22 +245,22 @@ class _State:
             self.links = self.links.unionByName(found)
             self.labels = components(self.links)
 
-    def mixed(self, rows: DataFrame) -> DataFrame:
+    def mixed(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Only buckets with members of different components."""
         several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        return rows.join(several, "bucket", "left_semi")
+        return rows.join(for_salts(several, hot, "bucket"), ["bucket", "salt"], "left_semi")
 
-    def stars(self, alive: DataFrame, rounds: int) -> DataFrame:
+    def stars(self, alive: DataFrame, rounds: int, hot: DataFrame) -> DataFrame:
         """Proposes stars around one centre of every bucket, again and again; returns what is left mixed."""
         for turn in range(rounds):
             order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("bucket", "rep", F.lit(turn)), "rep", "n_shingles", "component")
             centre = alive.groupBy("bucket").agg(F.min(order).alias("m"))
             centre = centre.select("bucket", F.col("m.rep").alias("centre"), F.col("m.n_shingles").alias("centre_n"), F.col("m.component").alias("centre_c"))
-            near = cut(alive.join(centre, "bucket").where("rep <> centre"), "stars")
+            near = cut(alive.join(for_salts(centre, hot, "bucket"), ["bucket", "salt"]).where("rep <> centre"), "stars")
             self.compare(near.where("component <> centre_c"))
-            left = near.select("bucket", "rep", "n_shingles").join(self.labels, F.col("rep") == F.col("node"), "left")
-            left = left.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-            newer = cut(self.mixed(left), "alive")
+            left = near.select("bucket", "salt", "rep", "n_shingles").join(self.labels, F.col("rep") == F.col("node"), "left")
+            left = left.select("bucket", "salt", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+            newer = cut(self.mixed(left, hot), "alive")
             drop(near)
             drop(alive)
             alive = newer
