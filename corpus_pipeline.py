@@ -43,10 +43,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by a similarity of 0.8 or more: the smallest doc_id."""
     kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    several = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return named
     (row,) = _new_names(docs, "row")
     order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias(row))
-    return one.select(f"{row}.*").unionByName(docs.where("doc_id is null"))
+    one = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return named.join(several, "doc_id", "left_anti").unionByName(one.select(f"{row}.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
