@@ -17,6 +17,7 @@ SPELLINGS = [
 COPYRIGHT_LINE = (
     r"^[ \t#*/;!%-]*((copyright|copr)[ \t.:]*(\(c\)|©|[0-9]{4}|by )[^\n]*|(\(c\)|©)[ \t]*(copyright[ \t]*)?[0-9]{4}[^\n]*|all rights reserved[ \t\r.!*/#;-]*)$"
 )
+MOST_BROADCAST = 32 << 20
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 _WARRANTY = (
@@ -158,8 +159,9 @@ def licences(documents: DataFrame, known: DataFrame) -> DataFrame:
     if several known ones have that form), notice_lines (how many of its lines are a known text, counted once for each
     licence with that text) and notice_licences (their distinct names in order, joined by commas; null if none).
 
-    Each text is made canonical once. Digests are looked up before anything is shuffled: known digests are the
-    join's small side, and what leaves a task is one row a document and one for each line that is known.
+    Each text is made canonical once. Digests are looked up before anything is shuffled: known digests up to
+    MOST_BROADCAST bytes are broadcast (more are joined by a shuffle of digests), and what leaves a task is
+    one row a document and one for each line that is known.
 
     Rows equal in doc_id and text give one row; a doc_id with several texts, or null, has a row for each.
     A null text is empty; an empty canonical form matches nothing. Columns other than doc_id and text
@@ -172,7 +174,8 @@ def licences(documents: DataFrame, known: DataFrame) -> DataFrame:
     units = plain.select("doc_id", "k1", "k2", F.explode(F.concat(F.array(unit(F.lit(-1), _joined(F.col("plain")))), lines)).alias("u"))
     units = units.select("doc_id", "k1", "k2", "u.place", F.sha2("u.unit", 256).alias("digest"))
     of = known.select("licence", canonical(F.col("licence_text")).alias("c")).where("c <> ''").select(F.sha2("c", 256).alias("digest"), "licence").distinct()
-    found = units.join(of, "digest", "left").where("place = -1 or licence is not null")
+    size = of.agg(F.sum(F.length("licence") + 64)).first()[0] or 0
+    found = units.join(F.broadcast(of) if size <= MOST_BROADCAST else of, "digest", "left").where("place = -1 or licence is not null")
     whole, line = F.col("place") == -1, F.when(F.col("place") >= 0, F.struct("place", "licence"))
     per = found.groupBy("doc_id", "k1", "k2").agg(
         F.max(F.when(whole, F.col("digest"))).alias("canonical_sha256"),

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots
+from .common import components, cut, drop, for_salts, hot_keys, local_roots, salted
 
-WINDOW, BLOCK, MISS, SEED = 512, 2048, 1e-3, 20240607
-_RUN = ["turn", "label", "dim", "code"]
+#: Rows of a neighbour window, of a block of a long run; windows of a task's stretch; bits that order rows within a run.
+WINDOW, BLOCK, STRETCH, DEEPER, MISS, SEED = 128, 2048, 16, 16, 1e-3, 20240607
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -24,7 +25,7 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 def _codes(passes: int, bits: int):
-    """Adds per row one integer for each pass: `bits` signs of random projections, concatenated."""
+    """Adds per row one integer for each pass: `bits` random hashes (signs of projections), concatenated."""
     weights = 1 << np.arange(bits)[::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,52 +47,121 @@ def _codes(passes: int, bits: int):
     return run
 
 
-def _compare(threshold: float):
-    """Compares the rows of one window (or of two blocks of a long run) with each other."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of the sorted partition and each row's place in it."""
+    part, place = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(np.arange(place, place + n))], [*batch.schema.names, "partition", "place"])
+        place += n
 
-    def run(cell: pa.Table) -> pa.Table:
+
+class _Cell:
+    """Rows that are compared inside one task, with where they stand in every pass."""
+
+    def __init__(self, cell: pa.Table, threshold: float) -> None:
         cell = cell.combine_chunks()
-        turn, one_block = cell.column("turn")[0].as_py(), cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
-        ids, block, copies = (cell.column(c).to_numpy().astype(np.int64) for c in ("rep", "block", "copies"))
-        x = np.stack(_rows(cell.column("embedding").chunk(0)))
-        x = x / np.abs(x).max(1, keepdims=True)
-        norm = np.sqrt((x * x).sum(1))
-        linked = (x @ x.T) / np.outer(norm, norm) >= threshold
-        np.fill_diagonal(linked, False)
-        if not one_block:
-            linked &= block[:, None] != block[None, :]
-        some = np.flatnonzero(linked.any(1))
-        linked, ids = linked[np.ix_(some, some)], ids[some]
-        codes = np.array([cell.column("codes")[int(i)].as_py()[:turn] for i in some], np.int64).reshape(len(some), turn)
-        new = linked.copy()
-        for t in range(turn):
-            new &= codes[:, t][:, None] != codes[:, t][None, :]
-        out = [pa.array(ids), pa.array((new * copies[some][None, :]).sum(1)), pa.array(local_roots(linked, ids))]
-        return pa.table(out, names=["rep", "links", "root"])
+        column = lambda c: cell.column(c).chunk(0)
+        self.threshold, self.turn = threshold, cell.column("turn")[0].as_py()
+        self.ids, self.copies = (column(c).to_numpy().astype(np.int64) for c in ("rep", "copies"))
+        n = len(self.ids)
+        label = column("label").dictionary_encode().indices.to_numpy().astype(np.int64)
+        rows = _rows(column("embedding"))
+        size = np.array([len(r) for r in rows])
+        self.kind = label * (size.max() + 1) + size
+        self.x = np.zeros((n, size.max()))
+        for i, row in enumerate(rows):
+            self.x[i, : len(row)] = row / np.abs(row).max()
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.runs, self.blocks, self.sizes = (column(c).flatten().to_numpy().reshape(n, -1) for c in ("runs", "blocks", "sizes"))
+        self.near, self.links = np.zeros((n, n), bool), np.zeros(n, np.int64)
+
+    def compare(self, a: np.ndarray, b: np.ndarray, take) -> None:
+        """Links the rows a with the rows b (equal or disjoint) that no earlier pass has compared; take: which
+        pairs are this cell's."""
+        linked = (self.x[a] @ self.x[b].T) / np.outer(self.norm[a], self.norm[b]) >= self.threshold
+        linked &= (self.kind[a][:, None] == self.kind[b][None, :]) & (self.ids[a][:, None] != self.ids[b][None, :])
+        i, j = np.nonzero(linked)
+        i, j = a[i], b[j]
+        new = take(self, i, j)
+        for t in range(self.turn):
+            new &= ~((self.runs[i, t] == self.runs[j, t]) | (np.abs(self.blocks[i, t] - self.blocks[j, t]) <= 1))
+        i, j = i[new], j[new]
+        self.near[i, j] = self.near[j, i] = True
+        np.add.at(self.links, i, self.copies[j])
+        if len(a) and len(b) and a[0] != b[0]:
+            np.add.at(self.links, j, self.copies[i])
+
+    def found(self) -> pa.Table:
+        some = np.flatnonzero(self.near.any(1))
+        roots = local_roots(self.near[np.ix_(some, some)], self.ids[some])
+        return pa.table([pa.array(self.ids[some]), pa.array(self.links[some]), pa.array(roots)], names=["rep", "links", "root"])
+
+
+def _compare_windows(threshold: float, window: int):
+    """A stretch of the sorted order: every block of `window` rows with itself and with the next one."""
+
+    def ours(cell: _Cell, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return ~((cell.runs[i, cell.turn] == cell.runs[j, cell.turn]) & (cell.sizes[i, cell.turn] > window))
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, threshold)
+        block, last = cell.blocks[:, cell.turn], (table.column("stretch")[0].as_py() + 1) * STRETCH
+        for k in np.unique(block[block < last]):
+            own = np.flatnonzero(block == k)
+            cell.compare(own, own, ours)
+            cell.compare(own, np.flatnonzero(block == k + 1), ours)
+        return cell.found()
 
     return run
 
 
+def _compare_run(threshold: float):
+    """Two blocks of a run that is longer than a window (or one with itself)."""
+
+    def ours(cell: _Cell, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return cell.runs[i, cell.turn] == cell.runs[j, cell.turn]
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, threshold)
+        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
+        part = table.column("part").to_numpy()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        if low == high:
+            cell.compare(left, right, ours)
+        else:
+            for at in range(0, len(left), 256):
+                cell.compare(left[at : at + 256], right, ours)
+        return cell.found()
+
+    return run
+
+
+_LINKED = "rep long, links long, root long"
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.93, window: int = WINDOW, block: int = BLOCK, miss: float = MISS) -> DataFrame:
     """Links vectors of equal label whose cosine in double precision is at least `threshold`.
 
     Returns per vector vec_id, n_links, component_id (the smallest vec_id reachable by links) and
     kept (vec_id = component_id).
 
-    Equal vectors of a label fall together first. Every pass orders the rest lexicographically by
-    concatenated signs of random projections of its own; a window is a run of equal signs within a
-    label, of about `window` rows. All rows of a window are compared. A run longer than `block` is cut
-    into blocks and every pair of blocks is a task of its own, so no run is capped. The passes are as
-    many as leave a pair at the threshold unmet with chance `miss`; closer pairs meet more surely.
-    Rows carry the codes of all passes, so a pair counts only in the first pass where it meets; what
-    leaves a window is one row for each linked vector: its new links and the root of its local group.
+    Equal vectors of a label fall together first. Every pass orders the rest lexicographically by label and by
+    concatenated random hashes of its own (signs of projections): a range sort of ids and hashes. The sorted order is cut
+    into blocks of `window` rows; a row is compared with its own block and the next one, across the
+    sort's partitions, so with all rows up to `window` places away. Links that pass are united over all
+    passes. Rows whose first hashes are equal form a run, of about `window` rows; one that is longer than a window (a large group
+    of close vectors) is also compared whole, in pairs of blocks that are tasks of their own, so
+    no group is capped. The passes are as many as leave a pair at the threshold without a common run
+    with chance `miss`; closer pairs, and neighbours over a run's edge, meet more surely. Rows carry their
+    runs and blocks of all passes, so a pair counts only in the first pass that compares it; what leaves a
+    task is one row for each linked vector: its new links and the root of its local group.
 
     Vectors that are null, empty, all zero or hold null or non-finite components, and rows without a
     label, link with nothing. Vectors of different lengths never link. Rows that repeat a vec_id fall
     together (the smallest label and vector count); a null vec_id gives a row with component_id null
     and kept true. Other columns aren't read. An empty table gives an empty result.
     """
-    spark = embeddings.sparkSession
     named = embeddings.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding"))
     rows = named.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
     sound = F.expr("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
@@ -106,17 +176,39 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, window: int = W
 
     one = rows.where("sound").join(classes.where("copies > 1").select("k1", "k2", "rep", "copies"), ["k1", "k2"], "left").where("rep is null or rep = vec_id")
     one = one.select(F.col("vec_id").alias("rep"), "label", "embedding", F.coalesce("copies", F.lit(1)).alias("copies"))
-    schema = f"rep long, label {one.schema['label'].dataType.simpleString()}, embedding {one.schema['embedding'].dataType.simpleString()}, copies long, dim long, codes array<long>"
-    coded = cut(one.mapInArrow(_codes(passes, bits), schema), "coded")
-    keys = coded.select("label", "dim", F.posexplode("codes").alias("turn", "code"))
-    runs = cut(keys.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "runs")
-    each = coded.select("*", F.posexplode("codes").alias("turn", "code")).join(runs.where(F.col("size") > block), _RUN, "left")
-    each = each.withColumn("n_blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
-    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    cells = each.select(*_RUN, "low", "high", "block", "rep", "copies", "embedding", "codes").groupBy(*_RUN, "low", "high")
-    linked = cut(cells.applyInArrow(_compare(threshold), "rep long, links long, root long"), "linked")
+    kind = {c: one.schema[c].dataType.simpleString() for c in ("label", "embedding")}
+    schema = f"rep long, label {kind['label']}, embedding {kind['embedding']}, copies long, dim long, codes array<long>"
+    coded = cut(one.mapInArrow(_codes(passes, bits + DEEPER), schema), "coded")
+
+    order = ["turn", "label", "dim", "code", "rep"]
+    keys = coded.select("label", "dim", "rep", F.posexplode("codes").alias("turn", "code")).withColumn("run", F.xxhash64("turn", "label", "dim", F.shiftright("code", DEEPER)))
+    placed = keys.select("run", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.mapInArrow(_placed, f"run long, turn int, label {kind['label']}, dim long, code long, rep long, partition int, place long"), "placed")
+    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("partition").agg(F.count(F.lit(1)).alias("n")).select("partition", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # One row for each partition of the sort.
+    at = placed.join(F.broadcast(starts), "partition").select("turn", "rep", "run", F.floor((F.col("start") + F.col("place")) / window).alias("block"))
+    sizes = cut(placed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window), "sizes")
+    hot = hot_keys(sizes, "run")
+    at = salted(at, hot, "run", "rep").join(for_salts(sizes, hot, "run"), ["run", "salt"], "left")
+    stands = at.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("turn", "run", "block", F.coalesce("n", F.lit(0)).alias("size")))).alias("s"))
+    stands = stands.select("rep", F.col("s.run").alias("runs"), F.col("s.block").alias("blocks"), F.col("s.size").alias("sizes"))
+    each = cut(coded.drop("codes", "dim").join(stands, "rep"), "stands").select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("turn"))
+
+    own, size = F.col("blocks")[F.col("turn")], F.col("sizes")[F.col("turn")]
+    stretch = F.floor(own / STRETCH)
+    # A stretch's first block is the last neighbour of the stretch before.
+    stretches = each.withColumn("stretch", F.explode(F.when(own % STRETCH == 0, F.array(stretch - 1, stretch)).otherwise(F.array(stretch))))
+    windows = stretches.groupBy("turn", "stretch").applyInArrow(_compare_windows(threshold, window), _LINKED)
+    parts = F.ceil(size / block).cast("int")
+    long = each.where(size > window).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("run", F.col("runs")[F.col("turn")])
+    long = long.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    whole = long.groupBy("turn", "run", "low", "high").applyInArrow(_compare_run(threshold), _LINKED)
+    linked = cut(windows.unionByName(whole), "linked")
+    for old in (coded, placed, sizes):
+        drop(old)
+
     found = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(found, F.col("rep") == F.col("node"), "left").select("rep", "links", "component")
     out = rows.join(classes.select("k1", "k2", F.col("rep").alias("crep"), "copies"), ["k1", "k2"], "left").join(counts, F.col("crep") == F.col("rep"), "left")

@@ -41,6 +41,33 @@ def test_same_as_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_recall_at_the_default_settings(spark):
+    """Pairs of close vectors among 1500 of one label, at the threshold and above, with the production parameters."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(500):
+        centre = rng.standard_normal(32)
+        rows += [(3 * i + k, 1, (centre + 0.25 * rng.standard_normal(32)).tolist()) for k in range(3)]
+    x = np.array([r[2] for r in rows], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 0)
+    want = (cosine >= 0.93).sum(1)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(*r, "x", 0) for r in rows], SCHEMA)).collect()}
+    links = np.array([got[r[0]] for r in rows])
+    near = ((cosine >= 0.93) & (cosine < 0.945)).sum()
+    assert (links <= want).all() and want.sum() > 600 and near > 200
+    assert links.sum() >= want.sum() - 0.001 * near - 4
+
+
+def test_a_group_far_larger_than_a_window(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(16)
+    rows = [(i, 0, (centre + 0.08 * rng.standard_normal(16)).tolist()) for i in range(400)] + [(400 + i, 0, rng.standard_normal(16).tolist()) for i in range(200)]
+    got = near_vectors(spark.createDataFrame([(*r, "x", 0) for r in rows], SCHEMA), window=16, block=64, miss=1e-5).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 0, None), (2, 0, []), (3, 0, [0.0, 0.0]), (4, 0, [nan, 1.0]), (5, 0, [inf, 1.0]), (6, 0, [None, 1.0]), (7, None, [1.0, 0.0]), (8, 0, [1.0, 0.0]), (9, 0, [2.0, 0.0]), (9, 0, [2.0, 0.0]), (10, 0, [1.0, 0.0, 0.0]), (None, 0, [1.0, 0.0]), (11, 0, [1e30, 0.0])]
