@@ -160,7 +160,7 @@ def code(text: str, path: str, size: int = SIZE, overlap: int = OVERLAP) -> list
     lines = lines_of(text)
     try:
         spans = _python_spans(text) if language == "python" else _brace_spans(lines, _OPENS[language]) if language else []
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         spans = []
     if not spans:
         return fallback(text, path, size, overlap)
@@ -175,28 +175,35 @@ CHUNKERS: dict[str, Callable[..., list[Chunk]]] = {"fallback": fallback, "markdo
 SCHEMA = "chunk_index int, start_line int, end_line int, content string"
 
 
-def chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, chunkers: dict[str, Callable[..., list[Chunk]]] | None = None) -> DataFrame:
+def chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, chunkers: dict[str, Callable[..., list[Chunk]]] | None = None, errors: bool = False) -> DataFrame:
     """Rows (key, path, chunk_index, start_line, end_line, content) of files (key long, path, text).
 
     The chunker is the one `chunker_of(path)` names, in `chunkers` or else here. Lines count from
-    1, plus the file's line_offset if it has that column. Null and empty texts have no chunks.
+    1, plus the file's line_offset if it has that column. Null and empty texts have no chunks. With errors there is a
+    column error, and a file whose chunker fails has one row that says why; otherwise the job fails.
     """
     given = {**CHUNKERS, **(chunkers or {})}
     shift = F.col("line_offset").cast("int") if "line_offset" in files.columns else F.lit(0)
     rows = files.select(F.col("key").cast("long"), "path", "text", shift.alias("shift"), chunker_of(F.col("path")).alias("chunker"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "path", "chunk_index", "start_line", "end_line", "content"]
-        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        names = ["key", "path", "chunk_index", "start_line", "end_line", "content", "error"]
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
             out: list[tuple] = []
             for key, path, text, moved, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text:
-                    out += [(key, path, k, c.start_line + moved, c.end_line + moved, c.content) for k, c in enumerate(given[kind](text, path or "", size, overlap))]
+                try:
+                    cut = given[kind](text, path or "", size, overlap) if text else []
+                    out += [(key, path, k, c.start_line + moved, c.end_line + moved, c.content, None) for k, c in enumerate(cut)]
+                except Exception as error:
+                    if not errors:
+                        raise
+                    out.append((key, path, None, None, None, None, f"chunking: {error!r}"))
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.mapInArrow(run, f"key long, path string, {SCHEMA}")
+    cut = rows.mapInArrow(run, f"key long, path string, {SCHEMA}, error string")
+    return cut if errors else cut.drop("error")

@@ -132,15 +132,47 @@ def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """Adds embedding (array<float>) of content, in batches of BATCH; the embedder is loaded once a task."""
+    """Adds embedding (array<float>) of content, in batches of BATCH; the embedder is loaded once a task.
+
+    If chunks have a column error, rows with one aren't embedded, and a text that the embedder refuses gets one; otherwise the
+    job fails.
+    """
+    lenient = "error" in chunks.columns
+
+    def vectors_of(texts: list[str]) -> np.ndarray:
+        return checked(np.asarray(embedder.embed(texts)), len(texts), embedder.dimension)
+
+    def singly(texts: list[str]) -> tuple[list, list]:
+        found, failed = [], []
+        for text in texts:
+            try:
+                found.append(vectors_of([text])[0])
+                failed.append(None)
+            except Exception as error:
+                found.append(None)
+                failed.append(f"embedding: {error!r}")
+        return found, failed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                vectors = checked(np.asarray(embedder.embed([t or "" for t in batch.column("content").to_pylist()])), batch.num_rows, embedder.dimension)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel().astype(np.float32)), embedder.dimension)
-                yield pa.RecordBatch.from_arrays([*batch.columns, flat.cast(pa.list_(pa.float32()))], [*batch.schema.names, "embedding"])
-
-    schema = chunks.withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema
+                texts = [t or "" for t in batch.column("content").to_pylist()]
+                if not lenient:
+                    found = list(vectors_of(texts))
+                else:
+                    errors = batch.column("error").to_pylist()
+                    own = [k for k, e in enumerate(errors) if e is None]
+                    try:
+                        got, failed = list(vectors_of([texts[k] for k in own])) if own else [], [None] * len(own)
+                    except Exception:
+                        got, failed = singly([texts[k] for k in own])
+                    found = [None] * len(texts)
+                    for k, vector, error in zip(own, got, failed, strict=True):
+                        found[k], errors[k] = vector, error
+                    batch = batch.set_column(batch.schema.get_field_index("error"), "error", pa.array(errors, pa.string()))
+                lists = pa.array([None if v is None else v.astype(np.float32) for v in found], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "embedding"])
+
+    schema = chunks.withColumn("embedding", F.lit(None).cast("array<float>")).schema
     return chunks.mapInArrow(run, schema)

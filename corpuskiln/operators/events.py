@@ -122,6 +122,13 @@ def recent_errors(runs: DataFrame, most: int = 10, key: str = "owner") -> DataFr
     return errors.withColumn("place", place).where(F.col("place") <= most).select(key, "path", "ts", "seq", "place")
 
 
+def last_success(runs: DataFrame, key: str = "owner") -> DataFrame:
+    """When each owner's indexing last succeeded (null if never) and how many of its runs failed since."""
+    last = runs.groupBy(key).agg(F.max(F.when(F.col("ok"), F.struct("ts", "seq"))).alias("_ok"))
+    since = F.count(F.when(~F.col("ok") & (F.col("_ok").isNull() | (F.struct("ts", "seq") > F.col("_ok"))), 1))
+    return runs.join(last, key).groupBy(key).agg(F.max("_ok.ts").alias("last_success"), since.alias("failed_since"))
+
+
 def fan_out(notes: DataFrame, connections: DataFrame) -> DataFrame:
     """Every notification to every open connection of its device; without one it is dropped."""
     return notes.join(connections, "device")

@@ -32,9 +32,16 @@ def media_allowed(content_type: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1)))).isin(MEDIA), F.lit(False))
 
 
-def pending(bundles: DataFrame, limit: int = PAGE, now: Column | None = None) -> DataFrame:
-    """For each device its `limit` newest bundles that aren't acknowledged (and not expired at `now`)."""
+def pending(bundles: DataFrame, limit: int = PAGE, now: Column | None = None, before: DataFrame | None = None) -> DataFrame:
+    """For each device its `limit` newest bundles that aren't acknowledged (and not expired at `now`).
+
+    before (to_device_id, bundle_id): where a device's page begins: only what is older than that bundle. An unknown
+    bundle, or none for a device, is the first page.
+    """
     rows = bundles.where("acked_at is null")
+    if before is not None:
+        at = before.join(bundles, ["to_device_id", "bundle_id"]).select("to_device_id", F.struct("created_at", "bundle_id").alias("_at"))
+        rows = rows.join(at, "to_device_id", "left").where(F.col("_at").isNull() | (F.struct("created_at", "bundle_id") < F.col("_at"))).drop("_at")
     rows = rows.where(F.col("expires_at") >= now) if now is not None else rows
     place = F.row_number().over(Window.partitionBy("to_device_id").orderBy(F.desc("created_at"), F.desc("bundle_id")))
     return rows.withColumn("place", place).where(F.col("place") <= limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from pathlib import Path
 from typing import Protocol
 
@@ -69,3 +70,13 @@ def as_probability(raw: Column, model_has_logits: Column) -> Column:
 def reranked(results: DataFrame, query: str, reranker: Reranker) -> DataFrame:
     """Results with the reranker's score, best first, ties by chunk_id."""
     return results.withColumn("score", reranker.scores(query, F.col("content"))).orderBy(F.desc("score"), "chunk_id")
+
+
+def reranked_if_possible(results: DataFrame, query: str, reranker: Reranker) -> DataFrame | None:
+    """As reranked, evaluated (results are a search's, at most some hundred rows); None if the reranker fails."""
+    try:
+        ranked = reranked(results, query, reranker)
+        return results.sparkSession.createDataFrame(ranked.collect(), ranked.schema)
+    except Exception:  # a model may fail in any way
+        logging.getLogger(__name__).warning("the reranker failed; results stay in their order", exc_info=True)
+        return None

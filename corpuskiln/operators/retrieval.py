@@ -54,11 +54,11 @@ def with_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
     return hits if threshold is None else hits.where(vector_similarity(F.col("distance")) >= threshold)
 
 
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf) and (chunk_id, length)."""
-    split = chunks.select("chunk_id", words(F.coalesce("content", F.lit(""))).alias("w"))
-    terms = split.select("chunk_id", F.explode("w").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return terms, split.select("chunk_id", F.size("w").cast("long").alias("length"))
+def postings(chunks: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf) and (chunk_id, length), with the columns `also`."""
+    split = chunks.select("chunk_id", *also, words(F.coalesce("content", F.lit(""))).alias("w"))
+    terms = split.select("chunk_id", *also, F.explode("w").alias("term")).groupBy("term", "chunk_id", *also).agg(F.count(F.lit(1)).alias("tf"))
+    return terms, split.select("chunk_id", *also, F.size("w").cast("long").alias("length"))
 
 
 def _scored(hits: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
@@ -73,10 +73,6 @@ def _scored(hits: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
     return hits.join(F.broadcast(totals)).select("chunk_id", sum((part(i) for i in range(1, len(terms))), part(0)).alias("bm25"))
 
 
-def _frequency(of: str, term: str) -> Column:
-    return F.size(F.filter(of, lambda x: x == term))
-
-
 def _distinct(query: str) -> list[str]:
     import re
 
@@ -86,15 +82,19 @@ def _distinct(query: str) -> list[str]:
 def lexical(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """The k chunks with the largest BM25 among those that hold all of the query's words.
 
-    chunk_id and bm25, ties to the smaller chunk_id; a blank query has none. Chunks are read twice:
-    once for how many hold each word and the mean length, once for the scores; nothing is shuffled
-    but one row of totals and each task's k best.
+    chunk_id and bm25, ties to the smaller chunk_id; a blank query has none. All chunks are read and split into
+    words once; what is shuffled is a few numbers for each chunk.
     """
     terms = _distinct(query)
-    split = chunks.select("chunk_id", words(F.coalesce("content", F.lit(""))).alias("w"))
-    held = split.select("chunk_id", F.size("w").cast("long").alias("length"), *[_frequency("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     if not terms:
-        return held.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+        return chunks.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+    split = chunks.select("chunk_id", F.split(F.lower(F.coalesce("content", F.lit(""))), r"[^\p{L}\p{N}]+").alias("w"))
+    size = lambda w: F.size(w).cast("long")
+    # Between separators the list has an empty word at most at either end.
+    counted = [(size("w") - size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    held = split.select("chunk_id", size(F.array_remove("w", "")).alias("length"), *counted)
+    # Both uses below read one shuffle of a few numbers for each chunk, so texts are split once.
+    held = held.repartition("chunk_id")
     totals = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     every = held.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
     return _scored(every, totals, terms).orderBy(F.desc("bm25"), "chunk_id").limit(k)
@@ -121,16 +121,22 @@ def fused(vector_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
     return both.select("chunk_id", (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("rrf"), "distance", "bm25")
 
 
-def hybrid(vectors: DataFrame, chunks: DataFrame, query: list[float], text: str, k: int, threshold: float | None = None, compat: bool = False) -> DataFrame:
+def hybrid(
+    vectors: DataFrame, chunks: DataFrame | None, query: list[float], text: str, k: int, threshold: float | None = None, compat: bool = False,
+    index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Rows (chunk_id, score): both arms' max(2k, 10) best, fused; the best score is 1.
 
+    The lexical arm reads index (postings and lengths) if it is given, else the chunks.
+
     The threshold is one on the vector arm's similarity, before fusing. compat applies it to fused
     rows instead, taking what the arm that found a row first calls its score for a distance, which for
     a lexical hit is its negative BM25.
     """
     wide = max(2 * k, 10)
     near = nearest(vectors, query, wide)
-    rows = fused(near if compat else with_threshold(near, threshold), lexical(chunks, text, wide))
+    said = lexical_indexed(*index, text, wide) if index else lexical(chunks, text, wide)
+    rows = fused(near if compat else with_threshold(near, threshold), said)
     if compat and threshold is not None:
         rows = rows.where(clamp(1 - F.pow(F.coalesce("distance", -F.col("bm25")), 2) / 2) >= threshold)
     best = rows.orderBy(F.desc("rrf"), "chunk_id").limit(k)

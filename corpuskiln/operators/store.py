@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import uuid
+from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import has_dimension, normalised
 from .retrieval import postings
 
-BUCKETS = 64
+MOST_CHANGES = 32
 TABLES = {
     "files": "path string, file_type string, last_modified long, last_indexed long",
     "chunks": "chunk_id long, path string, chunk_index int, start_line int, end_line int, content string",
     "vectors": "chunk_id long, path string, embedding array<float>",
-    "postings": "chunk_id long, path string, term string, tf long",
+    "postings": "term string, chunk_id long, path string, tf long",
     "lengths": "chunk_id long, path string, length long",
+    "rejects": "path string, reason string",
 }
+#: What a table's rows are sorted by, so that a lookup reads few of them.
+_SORTED = {"files": "path", "chunks": "chunk_id", "vectors": "chunk_id", "postings": "term", "lengths": "chunk_id", "rejects": "path"}
 
 
 def chunk_id(path: Column, index: Column) -> Column:
@@ -25,86 +31,146 @@ def chunk_id(path: Column, index: Column) -> Column:
     return F.xxhash64(path, index)
 
 
-def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Existing rows whose key isn't among the new ones, and the new ones."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").select(*existing.columns).unionByName(new)
-
-
 def removed(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Existing rows whose key isn't among keys; unknown keys change nothing."""
     return existing.join(keys.select(key).distinct(), key, "left_anti").select(*existing.columns)
 
 
 def with_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
-    """Vectors as they are; a job that meets one of another dimension fails."""
+    """Vectors as they are; a job that meets one of another dimension fails. Rows with an error have none to be looked at."""
     wrong = F.concat(F.lit(f"dimension {dimension} expected, got "), F.size("embedding").cast("string"))
-    return vectors.where(F.when(has_dimension(F.col("embedding"), dimension), True).otherwise(F.raise_error(wrong).cast("boolean")))
+    sound = has_dimension(F.col("embedding"), dimension)
+    sound = sound | F.col("error").isNotNull() if "error" in vectors.columns else sound
+    return vectors.where(F.when(sound, True).otherwise(F.raise_error(wrong).cast("boolean")))
 
 
 class Store:
-    """Parquet tables under one folder, in buckets by the file's path.
+    """Parquet tables as a log of changes, under one folder.
 
-    A change reads and rewrites only the buckets of the paths that it names, in all tables alike. It
-    can be run again: the same change leaves the same rows.
-    """
+    A change writes its rows, and the paths whose earlier rows they replace (`gone`), to a folder of its own. One small
+    file, `_log/<number>`, then lists all live changes; it is created only if nobody else has created that
+    number, so a change shows in all tables at once or in none, and of two writers the second one
+    commits on top of the first. A row is live unless a later change names its path. From
+    MOST_CHANGES on, compact() writes the live rows as one change, sorted for lookups; vacuum() deletes what
+    no log entry lists. The same change run again leaves the same rows.
 
-    def __init__(self, spark: SparkSession, root: str, dimension: int, buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.dimension, self.buckets = spark, root.rstrip("/"), dimension, buckets
+    Creating a file must be exclusive, as in HDFS and local file systems.
+    """
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+    def __init__(self, spark: SparkSession, root: str, dimension: int) -> None:
+        self.spark, self.root, self.dimension = spark, root.rstrip("/"), dimension
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _files_of(self, name: str):
-        return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _read(self, folder: str, name: str) -> DataFrame:
-        schema = f"{TABLES[name]}, bucket int"
-        if not self._files_of(folder).exists(self._path(folder)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+    def _fs(self):
+        return self._path("_log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _latest(self) -> tuple[int, list[str]]:
+        """The newest log entry: its number and the live changes, oldest first."""
+        fs, log = self._fs(), self._path("_log")
+        numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(log)), reverse=True) if fs.exists(log) else []
+        for n in numbers:
+            text = self.spark.read.text(f"{self.root}/_log/{n:09d}", wholetext=True).first()
+            if text and text[0].endswith("]"):  # an entry that is still being written isn't one yet
+                return n, json.loads(text[0])
+        return 0, []
+
+    def _commit(self, update: Callable[[list[str]], list[str]]) -> None:
+        while True:
+            number, live = self._latest()
+            try:
+                out = self._fs().create(self._path(f"_log/{number + 1:09d}"), False)
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                    raise
+                continue
+            try:
+                out.write(bytearray(json.dumps(update(live)).encode()))
+            finally:
+                out.close()
+            return
+
+    def _read(self, live: list[str], name: str, schema: str) -> DataFrame:
+        """The rows of these changes with `_at`, the change's place among them."""
+        fs = self._fs()
+        there = [c for c in live if fs.exists(self._path(f"changes/{c}/{name}"))]
+        places = F.create_map(*(F.lit(x) for k, c in enumerate(live) for x in (c, k))) if live else None
+        if not there:
+            return self.spark.createDataFrame([], f"{schema}, _at int")
+        rows = self.spark.read.schema(f"{schema}, change string").parquet(*(f"{self.root}/changes/{c}/{name}" for c in there))
+        return rows.withColumn("_at", places[F.col("change")]).drop("change")
+
+    def _live(self, live: list[str], name: str) -> DataFrame:
+        rows = self._read(live, name, TABLES[name])
+        if len(live) > 1:
+            gone = self._read(live, "gone", "path string").groupBy("path").agg(F.max("_at").alias("_until")).withColumnRenamed("path", "_path")
+            rows = rows.join(gone, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_until")), "left_anti")
+        return rows.drop("_at")
 
     def table(self, name: str) -> DataFrame:
-        return self._read(name, name)
+        return self._live(self._latest()[1], name)
 
-    def _change(self, paths: DataFrame, new: dict[str, DataFrame]) -> None:
-        """Takes the paths' rows out of all tables and puts the new ones in.
+    def _write(self, change: str, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/changes/{change}/{name}"
+        if name in TABLES:
+            rows = rows.repartitionByRange(_SORTED[name], *(["chunk_id"] if name == "postings" else [])).sortWithinPartitions(_SORTED[name])
+        rows.withColumn("change", F.lit(change)).write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-        All that is to be written is staged before any table changes, so rows that can't be made
-        change nothing.
+    def upsert(self, files: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Replaces all that is stored of these files; returns rejects (path, reason).
+
+        files (path, file_type, last_modified, last_indexed); chunks (path, chunk_index, start_line, end_line, content,
+        embedding, and, if given, chunk_id and error). Chunks are computed once. A file without chunks loses its old ones. A file
+        with an error in any chunk is a reject and keeps what it had.
         """
-        touched = [r[0] for r in paths.select(self.bucket().alias("bucket")).distinct().collect()]  # at most `buckets` numbers
-        for name in TABLES:
-            rows = removed(self.table(name).where(F.col("bucket").isin(touched)), paths, "path")
-            if name in new:
-                own = new[name].withColumn("bucket", self.bucket())
-                rows = rows.unionByName(own.select([F.col(f.name).cast(f.dataType) for f in rows.schema]))
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/_staged_{name}")
-        for name in TABLES:
-            rows = self._read(f"_staged_{name}", name)
-            filled = {r[0] for r in rows.select("bucket").distinct().collect()}
-            if filled:
-                rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
-            for b in set(touched) - filled:
-                self._files_of(name).delete(self._path(f"{name}/bucket={b}"), True)
-            self._files_of(name).delete(self._path(f"_staged_{name}"), True)
-
-    def upsert(self, files: DataFrame, chunks: DataFrame) -> None:
-        """files (path, file_type, last_modified, last_indexed); chunks (path, chunk_index, start_line,
-        end_line, content, embedding). A file without chunks loses its old ones."""
-        paths = files.select("path").distinct()
-        rows = with_dimension(chunks, self.dimension).withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index")))
-        terms, lengths = postings(rows)
-        of = rows.select("chunk_id", "path")
-        unit = normalised(F.col("embedding")).alias("embedding")
-        self._change(paths, {"files": files, "chunks": rows, "vectors": rows.select("chunk_id", "path", unit), "postings": terms.join(of, "chunk_id"), "lengths": lengths.join(of, "chunk_id")})
+        change = uuid.uuid4().hex
+        given = chunks if "error" in chunks.columns else chunks.withColumn("error", F.lit(None).cast("string"))
+        given = given if "chunk_id" in chunks.columns else given.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index")))
+        columns = [f.split()[0] for f in TABLES["chunks"].split(", ")]
+        staged = self._write(change, "_staged", with_dimension(given, self.dimension).select(*columns, F.col("embedding").cast("array<float>").alias("embedding"), "error"))
+        rejects = self._write(change, "rejects", staged.where("error is not null").groupBy("path").agg(F.min("error").alias("reason")))
+        kept = self._write(change, "files", removed(files.select([F.col(f.split()[0]) for f in TABLES["files"].split(", ")]), rejects, "path"))
+        rows = removed(staged, rejects, "path")
+        terms, lengths = postings(rows, "path")
+        self._write(change, "chunks", rows.select(*columns))
+        self._write(change, "vectors", rows.select("chunk_id", "path", normalised(F.col("embedding")).cast("array<float>").alias("embedding")))
+        self._write(change, "postings", terms)
+        self._write(change, "lengths", lengths)
+        self._write(change, "gone", kept.select("path").distinct())
+        self._fs().delete(self._path(f"changes/{change}/_staged"), True)
+        self._commit(lambda live: [*live, change])
+        self._compact_if_long()
+        return rejects
 
     def remove(self, paths: Iterable[str] | DataFrame) -> None:
         given = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self._change(given.select("path").distinct(), {})
+        change = uuid.uuid4().hex
+        self._write(change, "gone", given.select("path").distinct())
+        self._commit(lambda live: [*live, change])
+        self._compact_if_long()
+
+    def _compact_if_long(self) -> None:
+        if len(self._latest()[1]) >= MOST_CHANGES:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the live rows as one change; changes that others commit meanwhile stay after it."""
+        old, change = self._latest()[1], uuid.uuid4().hex
+        for name in TABLES:
+            self._write(change, name, self._live(old, name))
+        self._commit(lambda live: [change, *(c for c in live if c not in old)])
+
+    def vacuum(self) -> None:
+        """Deletes changes that the newest log entry doesn't list, and older entries. Nobody may be reading them or writing."""
+        number, live = self._latest()
+        fs = self._fs()
+        for folder, keep in (("changes", set(live)), ("_log", {f"{number:09d}"})):
+            for status in fs.listStatus(self._path(folder)):
+                if status.getPath().getName() not in keep:
+                    fs.delete(status.getPath(), True)
 
     def stats(self) -> DataFrame:
         """One row: files and chunks."""
-        return self.table("files").agg(F.count(F.lit(1)).alias("files")).join(F.broadcast(self.table("chunks").agg(F.count(F.lit(1)).alias("chunks"))))
+        return self.table("files").agg(F.count(F.lit(1)).alias("files")).join(F.broadcast(self.table("lengths").agg(F.count(F.lit(1)).alias("chunks"))))

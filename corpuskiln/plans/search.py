@@ -2,48 +2,56 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.text import first_line, is_blank
 from ..operators.chunking import OVERLAP, SIZE, chunks
 from ..operators.embedding import Embedder, embedded
-from ..operators.rerank import Reranker, reranked
+from ..operators.rerank import Reranker, reranked_if_possible
 from ..operators.retrieval import RESULT, hybrid, located, nearest, of_types, with_threshold
 from ..operators.store import Store
 from ..sources.files import read_files
 
 
 def index(spark: SparkSession, store: Store, paths: list[str], embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Reads, cuts, embeds and stores files; returns the rejects (path, reason). An emptied or missing file loses its chunks."""
+    """Reads, cuts, embeds and stores files; returns the rejects (path, reason). An emptied or missing file loses its
+    chunks; a file that can't be cut or embedded is a reject and keeps those it had."""
     files, rejects = read_files(spark, paths)
     gone = rejects.where("reason = 'missing'").select("path")
     if not gone.isEmpty():
         store.remove(gone)
-    index_files(store, files, embedder, size, overlap)
-    return rejects
+    return rejects.unionByName(index_files(store, files, embedder, size, overlap).select("path", "reason"))
 
 
-def index_files(store: Store, files: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> None:
-    """files: path, text, file_type, last_modified, line_offset."""
-    cut = chunks(files.withColumn("key", F.xxhash64("path")), size, overlap)
+def index_files(store: Store, files: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """files: path, text, file_type, last_modified, line_offset. Returns the files that failed (path, reason)."""
+    cut = chunks(files.withColumn("key", F.xxhash64("path")), size, overlap, errors=True)
     meta = files.select("path", "file_type", "last_modified", F.lit(int(time.time())).cast("long").alias("last_indexed"))
-    store.upsert(meta, embedded(cut.select("path", "chunk_index", "start_line", "end_line", "content"), embedder))
+    return store.upsert(meta, embedded(cut.select("path", "chunk_index", "start_line", "end_line", "content", "error"), embedder))
 
 
 def search(
-    store: Store, embedder: Embedder, query: str, top_k: int = 5, filter_file_type: list[str] | None = None, use_hybrid: bool = False,
-    threshold: float | None = None, reranker: Reranker | None = None,
+    store: Store, embedder: Embedder, query: str, top_k: int = 5, filter_file_type: list[str] | None = None, use_hybrid: bool | None = None,
+    threshold: float | None = None, reranker: Reranker | None = None, config: Config | None = None,
 ) -> DataFrame:
     """Results (chunk_id, file_path, start_line, end_line, content, score, score_kind), best first.
 
     score_kind says what score is: distance (smaller is better), rrf or rerank. A blank query has no
-    results. A threshold outside 0 to 1 is ignored.
+    results. use_hybrid and threshold, where they aren't given, are the settings' (config); a threshold outside 0 to 1
+    is ignored. The lexical arm reads the store's postings of the query's words. The best top_k ids come to the driver, so that only their chunks
+    are read. A reranker that fails leaves the results in their order.
     """
     if not 1 <= top_k <= 100:
         raise ValueError("Invalid top_k: must be between 1 and 100")
+    config = config or Config()
+    use_hybrid = config.hybrid_search if use_hybrid is None else use_hybrid
+    threshold = config.relevance_threshold if threshold is None else threshold
     threshold = threshold if threshold is not None and 0 <= threshold <= 1 else None
     pieces = store.table("chunks").withColumnRenamed("path", "file_path")
     if not query.strip():
@@ -51,12 +59,16 @@ def search(
     vectors = store.table("vectors")
     q = embedder.embed([query])[0].tolist()
     if use_hybrid:
-        hits, kind = hybrid(vectors, pieces, q, query, top_k, threshold), "rrf"
+        hits, kind = hybrid(vectors, None, q, query, top_k, threshold, index=(store.table("postings"), store.table("lengths"))), "rrf"
     else:
         hits, kind = with_threshold(nearest(vectors, q, top_k), threshold).withColumnRenamed("distance", "score"), "distance"
-    results = of_types(located(hits, pieces).withColumn("score_kind", F.lit(kind)).select(*RESULT), filter_file_type or [])
-    if reranker:
-        return reranked(results, query, reranker).withColumn("score_kind", F.lit("rerank"))
+    best = hits.select("chunk_id", "score").collect()
+    found = store.spark.createDataFrame(best, "chunk_id long, score double")
+    some = pieces.where(F.col("chunk_id").isin([r.chunk_id for r in best]))
+    results = of_types(located(found, some).withColumn("score_kind", F.lit(kind)).select(*RESULT), filter_file_type or [])
+    ranked = reranked_if_possible(results, query, reranker) if reranker else None
+    if ranked is not None:
+        return ranked.withColumn("score_kind", F.lit("rerank")).orderBy(F.desc("score"), "chunk_id")
     return results.orderBy(F.asc("score") if kind == "distance" else F.desc("score"), "chunk_id")
 
 
@@ -68,10 +80,11 @@ def remove(store: Store, paths: list[str]) -> None:
     store.remove(paths)
 
 
-def reindex(spark: SparkSession, store: Store, embedder: Embedder, paths: list[str] | None = None) -> DataFrame:
-    """Indexes the given files again, or all that the store knows."""
-    known = paths if paths is not None else [r.path for r in store.table("files").select("path").toLocalIterator()]
-    return index(spark, store, known, embedder)
+def reindex(spark: SparkSession, store: Store, embedder: Embedder, paths: list[str] | None = None, at_once: int = 1000) -> DataFrame:
+    """Indexes the given files again, or all that the store knows, `at_once` paths a change."""
+    known = iter(paths) if paths is not None else (r.path for r in store.table("files").select("path").toLocalIterator())
+    rejects = [index(spark, store, block, embedder) for block in iter(lambda: list(itertools.islice(known, at_once)), [])]
+    return functools.reduce(DataFrame.unionByName, rejects) if rejects else spark.createDataFrame([], "path string, reason string")
 
 
 def status(store: Store) -> dict[str, int]:

@@ -100,12 +100,21 @@ def conn_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT user_id % 10 AS owner, user_id AS path, ts, event_id AS seq, event_type <> 'error' AS ok, json_extract_string(props, '$.k')::INT AS k FROM events),
-e AS (SELECT * FROM r WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM r s WHERE s.ok AND s.k > 60 AND s.owner = r.owner AND s.path = r.path AND (s.ts, s.seq) > (r.ts, r.seq)))
+e AS (SELECT * FROM r WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM r s WHERE s.ok AND s.owner = r.owner AND s.path = r.path AND (s.ts, s.seq) > (r.ts, r.seq)))
 SELECT owner, path, seq, CAST(row_number() OVER (PARTITION BY owner ORDER BY ts DESC, seq DESC) AS INTEGER) AS place FROM e QUALIFY place <= 10""")
 def recent_errors_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     runs = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("owner"), F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), k.alias("k"))
-    return E.recent_errors(runs.where("not ok or k > 60")).select("owner", "path", "seq", "place")
+    return E.recent_errors(runs).select("owner", "path", "seq", "place")
+
+
+@query("""
+WITH l AS (SELECT user_id % 10 AS owner, max((ts, event_id)) FILTER (event_type <> 'error') AS at FROM events GROUP BY 1)
+SELECT owner, epoch_us(any_value(l.at[1])) AS last_success_us, count(*) FILTER (event_type = 'error' AND (l.at IS NULL OR (ts, event_id) > l.at)) AS failed_since
+FROM events JOIN l ON user_id % 10 = owner GROUP BY owner""")
+def last_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("owner"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    return E.last_success(runs).select("owner", F.unix_micros("last_success").alias("last_success_us"), "failed_since")
 
 
 @query("SELECT user_id AS device, epoch_us(max(ts)) AS last_seen_us FROM events GROUP BY user_id")

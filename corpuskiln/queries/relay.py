@@ -52,6 +52,17 @@ def list_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pending(_bundles(spark, sf_dir), 3).select("bundle_id", "to_device_id", "place")
 
 
+@query(f"""
+WITH {_BUNDLES}, p AS (SELECT bundle_id, to_device_id, acked_at, row_number() OVER (PARTITION BY to_device_id, acked_at IS NULL ORDER BY created_at DESC, bundle_id DESC) AS n FROM bundles)
+SELECT bundle_id, to_device_id, CAST(n - 3 AS INTEGER) AS place FROM p WHERE acked_at IS NULL AND n BETWEEN 4 AND 6""")
+def list_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each device's page after the one that ends with its third bundle."""
+    bundles = _bundles(spark, sf_dir)
+    ends = R.pending(bundles, 3).where("place = 3").select("to_device_id", "bundle_id")
+    paged = bundles.join(ends.select("to_device_id"), "to_device_id", "left_semi")
+    return R.pending(paged, 3, before=ends).select("bundle_id", "to_device_id", "place")
+
+
 @query(f"WITH {_BUNDLES}, r AS (SELECT o_orderkey AS bundle_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS device_id FROM orders) SELECT bundle_id, device_id, b.bundle_id IS NOT NULL AS found FROM r LEFT JOIN bundles b ON r.bundle_id = b.bundle_id AND r.device_id = b.to_device_id".replace("SELECT bundle_id, device_id, b.", "SELECT r.bundle_id, device_id, b."))
 def bundle_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import base64url, base64url_decoded, first_line, iso8601, is_blank, is_url, listed, path_tail, rpc_error, short_code, vector_similarity
-from ..operators import relay, rerank, retrieval, store
+from ..functions.text import base64url, base64url_decoded, iso8601, is_blank, is_url, listed, path_tail, rpc_error, short_code, vector_similarity
+from ..operators import embedding, relay, rerank, retrieval, store
+from ..operators.embedding import HashEmbedder
+from ..plans.search import index_files, previews, search
+from ..session import shared_dir
 from ..sources.files import chunker_of, language_of
 from ..sources.tables import table
 from . import query
@@ -143,18 +151,28 @@ def tool_args_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("args", args).select("event_id", got["top_k"].alias("top_k"), F.round(got["threshold"], 6).alias("threshold"), got["error"].alias("error"))
 
 
-@query(f"WITH {_CHUNKS} SELECT chunk_id, string_split(content, chr(10))[1] AS preview, CASE WHEN length(file_path) > 12 THEN '…' || right(file_path, 11) ELSE file_path END AS shown FROM chunks WHERE trim(content) <> ''")
+@query(f"WITH {_CHUNKS} SELECT chunk_id, start_line, end_line, printf('%.4f', chunk_id / 7) AS score, string_split(content, chr(10))[1] AS preview, CASE WHEN length(file_path) > 12 THEN '…' || right(file_path, 11) ELSE file_path END AS shown FROM chunks WHERE trim(content) <> ''")
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _parts(spark, sf_dir)[2].where(~is_blank(F.col("content")))
-    return chunks.select("chunk_id", first_line(F.col("content")).alias("preview"), path_tail(F.col("file_path"), 12).alias("shown"))
+    results = _parts(spark, sf_dir)[2].withColumn("score", F.col("chunk_id") / 7)
+    return previews(results).select("chunk_id", "start_line", "end_line", "score", "preview", path_tail(F.col("file_path"), 12).alias("shown"))
 
 
-@query("WITH m AS (SELECT label, vec_id % 3 <> 0 AS counts, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(coalesce(sum(CASE WHEN counts THEN x END) / count(CASE WHEN counts THEN 1 END), 0), 6) AS value FROM m GROUP BY ALL")
+@query("""
+WITH m AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, CAST(pos % 8 AS INTEGER) AS dim, round(coalesce(avg(CASE WHEN (vec_id + pos // 8) % 3 <> 0 AND vec_id % 11 <> 0 THEN x END), 0), 6) + 0.0 AS value FROM m GROUP BY vec_id, pos % 8""")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumn("counts", F.col("vec_id") % 3 != 0)
-    each = vectors.select("label", "counts", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
-    mean = F.avg(F.when(F.col("counts"), F.col("x")))
-    return each.groupBy("label", "pos").agg(F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("value"))
+    """Each vector as eight tokens of eight numbers, pooled over the tokens that count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy()
+            hidden = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(len(ids), 8, 8)
+            mask = ((ids[:, None] + np.arange(8)) % 3 != 0) & (ids[:, None] % 11 != 0)
+            pooled = embedding.mean_pool(hidden, mask)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(pooled), pa.list_(pa.float64()))], ["vec_id", "pooled"])
+
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, pooled array<double>")
+    return pooled.select("vec_id", F.posexplode("pooled").alias("dim", "value")).select("vec_id", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v) SELECT vec_id, round(norm, 6) AS norm, round(CASE WHEN norm > 0 THEN e[1] / norm ELSE e[1] END, 6) + 0.0 AS first FROM n")
@@ -185,20 +203,33 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("chunk_id", F.round("score", 6).alias("score"), place.alias("place"))
 
 
+def _stored(spark: SparkSession, sf_dir: str, files: DataFrame, into: store.Store | None = None) -> store.Store:
+    """A store of files (doc_id, path, n_chars, text) that have an embedding: one chunk for each."""
+    into = into or store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 64)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = files.join(vectors, "doc_id").select(
+        F.col("doc_id").alias("chunk_id"), "path", F.lit(0).alias("chunk_index"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"), "embedding"
+    )
+    into.upsert(files.select("path", F.lit("txt").alias("file_type"), F.col("n_chars").alias("last_modified"), F.lit(0).cast("long").alias("last_indexed")), chunks)
+    return into
+
+
 @query(f"""
-WITH f AS (SELECT doc_id, {_FILE} AS path, source, n_chars, text FROM documents), new AS (SELECT doc_id, path, source, n_chars + 1 AS n_chars FROM f WHERE doc_id % 10 = 3
-  UNION ALL SELECT doc_id + 1000000000, '/new' || path, source, n_chars FROM f WHERE doc_id % 50 = 1)
-SELECT doc_id, path, source, n_chars FROM f WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT * FROM new""")
+WITH f AS (SELECT doc_id, {_FILE} AS path, n_chars FROM documents), new AS (SELECT path, n_chars + 1 AS n_chars FROM f WHERE doc_id % 10 = 3
+  UNION ALL SELECT '/new' || path, n_chars FROM f WHERE doc_id % 50 = 1)
+SELECT path, n_chars FROM f WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT * FROM new""")
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files are stored; then some are stored again with other values, and new ones beside them."""
     files = _files(spark, sf_dir)
+    kept = _stored(spark, sf_dir, files)
     changed = files.where("doc_id % 10 = 3").withColumn("n_chars", F.col("n_chars") + 1)
     added = files.where("doc_id % 50 = 1").withColumns({"doc_id": F.col("doc_id") + 1_000_000_000, "path": F.concat(F.lit("/new"), "path")})
-    return store.replaced(files, changed.unionByName(added), "path")
+    return _stored(spark, sf_dir, changed.unionByName(added), kept).table("files").select("path", F.col("last_modified").alias("n_chars"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/data/"), "source", F.lit("/"), "doc_id", F.lit("."), "lang")
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "source", "n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "source", "n_chars", "text")
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')")
@@ -207,10 +238,12 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.removed(table(spark, sf_dir, "embeddings").select("vec_id", "label"), gone, "vec_id")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM embeddings) AS chunks")
+@query("SELECT (SELECT count(*) FROM documents WHERE source <> 'src3') AS files, (SELECT count(*) FROM documents JOIN embeddings ON doc_id = vec_id WHERE source <> 'src3') AS chunks")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("files"))
-    return files.join(F.broadcast(table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("chunks"))))
+    """Counts of a store that all files were put in and some were removed from."""
+    kept = _stored(spark, sf_dir, _files(spark, sf_dir))
+    kept.remove(_files(spark, sf_dir).where("source = 'src3'").select("path"))
+    return kept.stats()
 
 
 @query("SELECT count(*) AS vectors, count(CASE WHEN len(embedding) = 64 THEN 1 END) AS sound FROM embeddings")
@@ -284,14 +317,40 @@ def rpc_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(rpc_error(body), F.lit(0)).alias("error"))
 
 
+_INDEXES: dict[tuple[str, str], store.Store] = {}
+
+
+@query(
+    f"WITH {_DIST}, {_CHUNKS.replace('FROM documents', 'FROM documents JOIN embeddings ON doc_id = vec_id')}, held AS (SELECT dist.* FROM dist JOIN chunks USING (chunk_id)),"
+    f" near20 AS (SELECT * FROM held ORDER BY distance, chunk_id LIMIT 20), near AS (SELECT * FROM near20 WHERE greatest(0, least(1, 1 - distance * distance / 2)) >= {THRESHOLD}),"
+    f" {_bm25(20)}, {_fused('near')}, kept AS (SELECT * FROM fused), {_BEST} {_AND_SHOW}"
+)
+def indexed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search in a store of all documents with an embedding; the session's first call builds the store."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = _stored(spark, sf_dir, _files(spark, sf_dir))
+    first = table(spark, sf_dir, "embeddings").where("vec_id = 0").select(V.doubles(F.col("embedding")).alias("e")).first()
+    results = search(_INDEXES[key], _Given(first["e"] if first else [0.0] * 64), TEXT, K, use_hybrid=True, threshold=THRESHOLD)
+    return _shown(results)
+
+
+class _Given:
+    """Stands for an embedder that gives one vector."""
+
+    def __init__(self, vector: list[float]) -> None:
+        self.dimension, self.vector = len(vector), vector
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.vector] * len(texts))
+
+
 @query(None)
 def index_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks all documents, embeds the chunks by hashed words and asks for the nearest ones."""
-    from ..operators.chunking import chunks as cut
-    from ..operators.embedding import HashEmbedder, embedded
-
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("/data/"), "doc_id", F.lit(".txt")).alias("path"), "text")
-    embedder = HashEmbedder(64)
-    pieces = embedded(cut(files), embedder).withColumn("chunk_id", store.chunk_id(F.col("path"), F.col("chunk_index")))
-    hits = retrieval.nearest(pieces, embedder.embed(["the attention of the station"])[0].tolist(), 20)
-    return retrieval.located(hits, pieces.withColumnRenamed("path", "file_path")).select("chunk_id", "file_path", "start_line", "end_line", F.round("distance", 6).alias("score"))
+    """Chunks all documents, embeds the chunks by hashed words, stores them and asks for the nearest ones."""
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/data/"), "doc_id", F.lit(".txt")).alias("path"), "text", F.lit("txt").alias("file_type"), F.lit(0).cast("long").alias("last_modified"), F.lit(0).alias("line_offset")
+    )
+    kept, embedder = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 64), HashEmbedder(64)
+    index_files(kept, files, embedder)
+    return search(kept, embedder, "the attention of the station", 20).select("chunk_id", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"))

@@ -1,7 +1,9 @@
-"""A session with the settings the library expects."""
+"""A session with the settings the library expects, and the folder that its executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -12,8 +14,25 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.config(map={**SETTINGS, **settings})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset a folder of this machine serves a local master; elsewhere that would lose rows, and raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-kiln-")
+    return _OWN_FOLDERS[app]

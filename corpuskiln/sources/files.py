@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def language_of(path: Column) -> Column:
     return F.when(ext == "rs", "rust").when(ext == "py", "python").when(ext.isin("js", "ts", "jsx", "tsx"), "javascript").when(ext == "go", "go")
 
 
+def _is_file(fs, path) -> bool:
+    try:
+        return fs.getFileStatus(path).isFile()
+    except Py4JJavaError as error:
+        if "FileNotFound" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files (path, file_type, last_modified, text, line_offset) and rejects (path, reason).
 
@@ -59,8 +69,9 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     if relative := [p for p in paths if not p.startswith("/") and ":/" not in p]:
         raise ValueError(f"not absolute: {relative}")
     places = [(hadoop.Path(p).getFileSystem(configuration), hadoop.Path(p)) for p in paths]
-    whole_paths = [(fs.makeQualified(p).toString(),) for fs, p in places if fs.exists(p) and fs.getFileStatus(p).isFile()]
-    missing = spark.createDataFrame([(fs.makeQualified(p).toString(), "missing") for fs, p in places if not (fs.exists(p) and fs.getFileStatus(p).isFile())], "path string, reason string")
+    there = [(fs.makeQualified(p).toString(), _is_file(fs, p)) for fs, p in places]
+    whole_paths = [(p,) for p, is_file in there if is_file]
+    missing = spark.createDataFrame([(p, "missing") for p, is_file in there if not is_file], "path string, reason string")
     load = spark.read.format("binaryFile")
     found = load.load([p for (p,) in whole_paths]) if whole_paths else load.schema("path string, modificationTime timestamp, length long, content binary").load([])
     found = found.select("path", F.unix_timestamp("modificationTime").alias("last_modified"), "content")

@@ -1,9 +1,12 @@
+import numpy as np
 import pytest
 
+from corpuskiln.config import Config
 from corpuskiln.operators.embedding import HashEmbedder
 from corpuskiln.operators.rerank import Overlap
+from corpuskiln.operators.retrieval import hybrid
 from corpuskiln.operators.store import TABLES, Store
-from corpuskiln.plans.search import index, previews, reindex, remove, search, status
+from corpuskiln.plans.search import index, index_files, previews, reindex, remove, search, status
 
 E = HashEmbedder(32)
 
@@ -14,7 +17,7 @@ def notes(spark, tmp_path):
     (tmp_path / "b.py").write_text("def beta():\n    return 'slow turtle'\n")
     (tmp_path / "c.png").write_bytes(b"\x89PNG")
     (tmp_path / "bad.md").write_bytes(b"\xff\xfe\xff")
-    store = Store(spark, str(tmp_path / "store"), 32, buckets=4)
+    store = Store(spark, str(tmp_path / "store"), 32)
     rejects = index(spark, store, [str(p) for p in sorted(tmp_path.iterdir()) if p.is_file()], E)
     return store, tmp_path, rejects
 
@@ -34,9 +37,9 @@ def test_index_search_remove(spark, notes):
     with pytest.raises(ValueError):
         search(store, E, "x", 0)
 
-    before = sorted(map(tuple, store.table("chunks").drop("bucket").collect()))
+    before = sorted(map(tuple, store.table("chunks").collect()))
     reindex(spark, store, E)
-    assert sorted(map(tuple, store.table("chunks").drop("bucket").collect())) == before
+    assert sorted(map(tuple, store.table("chunks").collect())) == before
 
     gone = [r.path for r in store.table("files").where("path like '%b.py'").collect()]
     remove(store, gone)
@@ -56,6 +59,103 @@ def test_index_search_remove(spark, notes):
     assert status(store) == {"files": 0, "chunks": 0}
 
 
+class Counting:
+    """Counts the texts it embeds in a file, as its copies run in other processes; refuses texts with "refused"."""
+
+    dimension = 4
+
+    def __init__(self, log):
+        self.log = str(log)
+
+    def embed(self, texts):
+        if any("refused" in t for t in texts):
+            raise ValueError("refused")
+        with open(self.log, "a") as f:
+            f.write("x" * len(texts))
+        return np.ones((len(texts), 4))
+
+
+def texts(spark, rows):
+    return spark.createDataFrame([(p, t, "txt", 0, 0) for p, t in rows], "path string, text string, file_type string, last_modified long, line_offset int")
+
+
+def test_chunks_are_embedded_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 4)
+    index_files(store, texts(spark, [(f"/{k}.txt", f"text {k}") for k in range(100)]), Counting(tmp_path / "log"))
+    assert (tmp_path / "log").stat().st_size == 100 and status(store) == {"files": 100, "chunks": 100}
+
+
+def test_one_bad_file_is_a_reject_and_keeps_what_it_had(spark, tmp_path):
+    store, e = Store(spark, str(tmp_path / "store"), 4), Counting(tmp_path / "log")
+    assert index_files(store, texts(spark, [("/a.txt", "old a"), ("/b.txt", "old b")]), e).count() == 0
+    deep = "def f():\n  return " + "(" * 20000 + ")" * 20000
+    rejects = index_files(store, texts(spark, [("/a.txt", "refused\n" * 200), ("/b.txt", "new b"), ("/c.py", deep), ("/d.txt", "refused")]), e).collect()
+    assert {r.path: r.reason for r in rejects} == {"/a.txt": "embedding: ValueError('refused')", "/d.txt": "embedding: ValueError('refused')"}
+    kept = {r.path: r.content for r in store.table("chunks").where("path < '/c'").collect()}
+    assert kept == {"/a.txt": "old a", "/b.txt": "new b"} and status(store)["files"] == 3
+    assert {r.path for r in store.table("rejects").collect()} == {"/a.txt", "/d.txt"}
+    assert index_files(store, texts(spark, [("/a.txt", "a again")]), e).count() == 0
+    assert {r.path for r in store.table("rejects").collect()} == {"/d.txt"}
+
+
+def test_a_change_shows_in_all_tables_or_in_none(spark, tmp_path, monkeypatch):
+    store, e = Store(spark, str(tmp_path / "store"), 4), Counting(tmp_path / "log")
+    index_files(store, texts(spark, [("/a.txt", "one a"), ("/b.txt", "one b")]), e)
+    before = {t: sorted(map(str, store.table(t).collect())) for t in TABLES}
+    plain = Store._write
+
+    def stops(self, change, name, rows):
+        if name == "lengths":
+            raise RuntimeError("lost")
+        return plain(self, change, name, rows)
+
+    monkeypatch.setattr(Store, "_write", stops)
+    with pytest.raises(RuntimeError, match="lost"):
+        index_files(store, texts(spark, [("/a.txt", "two a")]), e)
+    monkeypatch.undo()
+    assert {t: sorted(map(str, store.table(t).collect())) for t in TABLES} == before
+    # Two writers that have read the same log: both changes stay.
+    other = Store(spark, str(tmp_path / "store"), 4)
+    plain_latest, once = Store._latest, []
+
+    def late(self):
+        found = plain_latest(self)
+        if self is store and not once:
+            once.append(1)
+            other.remove(["/b.txt"])
+        return found
+
+    monkeypatch.setattr(Store, "_latest", late)
+    index_files(store, texts(spark, [("/c.txt", "one c")]), e)
+    monkeypatch.undo()
+    assert sorted(r.path for r in store.table("files").collect()) == ["/a.txt", "/c.txt"]
+    (tmp_path / "store" / "_log" / "000000099").write_text("[")  # half written
+    assert status(store) == {"files": 2, "chunks": 2}
+    (tmp_path / "store" / "_log" / "000000099").unlink()
+    before = {t: sorted(map(str, store.table(t).collect())) for t in TABLES}
+    store.compact()
+    store.vacuum()
+    assert {t: sorted(map(str, store.table(t).collect())) for t in TABLES} == before
+    assert len(list((tmp_path / "store" / "changes").iterdir())) == 1 and len(list((tmp_path / "store" / "_log").glob("0*"))) == 1
+
+
+def test_search_reads_the_index_and_survives_its_reranker(spark, notes):
+    class Broken:
+        def scores(self, query, content):
+            raise RuntimeError("no model")
+
+    store = notes[0]
+    plain = search(store, E, "slow turtle", 5, config=Config(hybrid_search=True))
+    assert plain.first().score_kind == "rrf"
+    assert search(store, E, "slow turtle", 5, reranker=Broken()).collect() == search(store, E, "slow turtle", 5).collect()
+    assert search(store, E, "slow turtle", 5, config=Config(relevance_threshold=0.999)).count() == 0
+    assert search(store, E, "slow turtle", 5, threshold=0.0, config=Config(relevance_threshold=0.999)).count() == 2
+    pieces = store.table("chunks").withColumnRenamed("path", "file_path")
+    q = E.embed(["the fox"])[0].tolist()
+    a = hybrid(store.table("vectors"), None, q, "the fox", 5, index=(store.table("postings"), store.table("lengths")))
+    assert a.collect() == hybrid(store.table("vectors"), pieces, q, "the fox", 5).collect()
+
+
 def test_wrong_dimension_changes_nothing(spark, notes):
     store = notes[0]
     files = spark.createDataFrame([("/x.txt", "txt", 0, 0)], "path string, file_type string, last_modified long, last_indexed long")

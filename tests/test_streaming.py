@@ -13,7 +13,7 @@ EVENTS = "watcher string, path string, kind string, ts timestamp, seq long"
 
 def test_indexing_follows_events(spark, tmp_path):
     texts = {"/a.txt": "alpha", "/b.txt": "beta"}
-    store = Store(spark, str(tmp_path / "store"), 8, buckets=2)
+    store = Store(spark, str(tmp_path / "store"), 8)
     files = spark.createDataFrame([(p, t, "txt", 0, 0) for p, t in texts.items()], "path string, text string, file_type string, last_modified long, line_offset int")
 
     def run(rows):
