@@ -1,4 +1,4 @@
-"""Language-model scores: a Katz backoff bigram model counted and evaluated in partitioned tables."""
+"""Language-model scores: a Katz backoff model counted order by order and evaluated in partitioned tables."""
 
 from __future__ import annotations
 
@@ -15,8 +15,10 @@ from .common import cut
 from .words import groups, mix, word_hashes
 
 _U = np.uint64
-CELL_BYTES, PART_BYTES, LARGEST_GT = 6 << 20, 8 << 20, 5
-#: Ids of what is no word of the corpus: the end, a document's start, and a word not learnt.
+ORDER, CELL_BYTES, PART_BYTES, LARGEST_GT = 3, 6 << 20, 8 << 20, 5
+#: Contexts with more than one in MOST_HOT of all tokens, at least, are dealt over several parts: fewer than MOST_HOT.
+MOST_HOT = 16384
+#: Ids of what is no word of the corpus: the end, a document's start, and a word or context not learnt.
 _END_HASH = mix(np.array([0x0123456789ABCDEF], _U))[0]
 START, UNKNOWN = -2, -1
 
@@ -51,16 +53,17 @@ def _cells(parts: int, ask: bool):
     """Cuts a partition into cells of about CELL_BYTES of text.
 
     ask: per cell and part of the vocabulary, the distinct words' hashes and how often the cell's
-    training documents hold them. Otherwise the cell's documents, tokens as places in that list.
+    training documents hold them. Otherwise the cell's documents, tokens as places in that list. A cell's key is a
+    hash of its place and of all its tokens, so a scan that deals or orders rows otherwise gives other keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []
         size = 0
 
         def cell() -> Iterator[pa.RecordBatch]:
-            nonlocal row
+            nonlocal number
             hashed = [word_hashes(b.column("text")) for b in held]
             counts = np.concatenate([c for _, c in hashed])
             ends = np.cumsum(counts + 1)
@@ -70,6 +73,12 @@ def _cells(parts: int, ask: bool):
             tokens[is_end] = _END_HASH
             tokens[~is_end] = np.concatenate([w for w, _ in hashed])
             train = np.concatenate([b.column("train").to_numpy(zero_copy_only=False) for b in held]).astype(bool)
+            ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            places = np.arange(len(tokens)).astype(_U)
+            rows = mix(ids.view(_U)) + counts.astype(_U) + train.astype(_U) * _U(7)
+            said = np.concatenate([mix(tokens + mix(places)), mix(rows + mix(np.arange(len(rows)).astype(_U)))]).sum(keepdims=True)
+            row = int(mix(said + _U(number))[0] >> _U(1))
             words, at = np.unique(tokens, return_inverse=True)
             part = (words % _U(parts)).astype(np.int64)
             order = np.lexsort((words, part))
@@ -83,11 +92,9 @@ def _cells(parts: int, ask: bool):
             else:
                 rank = np.empty(len(words), np.int64)
                 rank[order] = np.arange(len(words))
-                ids = pa.concat_arrays([b.column("doc_id") for b in held])
-                null = ids.is_null().to_numpy(zero_copy_only=False)
-                block = squeeze(_small(rank[at]), _small(counts), train, ids.fill_null(0).to_numpy(), null)
+                block = squeeze(_small(rank[at]), _small(counts), train, ids, null)
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([block], pa.binary())], ["cell", "block"])
-            row += len(train)
+            number += 1
             held.clear()
 
         for whole in batches:
@@ -124,105 +131,157 @@ def _count_words(parts: int):
     return run
 
 
+class _Grams:
+    """A cell's distinct n-grams of one order, in the order of their parts, and where the cell's tokens have them.
+
+    place: per token, -1 where the order's context isn't known; ids, counts: of the n-grams, as far as
+    they are known; own: their contexts' counts; weight: of backing off, where training doesn't hold the n-gram.
+    """
+
+    def __init__(self, place: np.ndarray, ids: np.ndarray | None, counts: np.ndarray | None, own: np.ndarray | None) -> None:
+        self.place, self.ids, self.counts, self.own, self.weight = place, ids, counts, own, None
+
+
 class _Cell:
-    """One cell's tokens with their words' ids and counts, and its distinct pairs in the order of their parts.
+    """One cell's tokens with what the parts have replied so far, order by order.
 
-    A pair goes where its first token goes; pairs of a first token seen more than `hot` times are
-    dealt by both tokens, so that no part gathers a common word's followers.
+    An n-gram goes where its context goes; n-grams of a context seen more than `hot` times are
+    dealt by their last token too, so that no part gathers a common context's followers.
     """
 
-    def __init__(self, said: pa.Table, answers: pa.Table, parts: int, hot: int) -> None:
-        answers = answers.sort_by("part")
-        if said.num_rows != 1 or answers.num_rows == 0:
-            raise ValueError("a cell's documents and its words' counts differ; documents must be read from files or a written table")
-        self.cell = said.column("cell")[0].as_py()
+    def __init__(self, said: pa.Table, replies: pa.Table, order: int, parts: int, hot: int, starts: int) -> None:
+        if said.num_rows != 1 or replies.num_rows == 0:
+            raise ValueError("a cell's documents and its words' counts differ; documents must come in the same order when they are read again")
+        self.cell, self.parts, self.hot = said.column("cell")[0].as_py(), parts, hot
         at, counts, self.train, self.doc_ids, self.null = spread(said.column("block")[0].as_py())
-        answered = [spread(b.as_py()) for b in answers.column("block")]
-        ids, often = (np.concatenate([a[k].astype(np.int64) for a in answered]) for k in (0, 1))
-        if at.max() + 1 != len(ids):
-            raise ValueError("a cell's documents and its words' counts differ; documents must be read from files or a written table")
+        blocks = {n: [spread(b.as_py()) for b in replies.filter(pa.compute.equal(replies.column("level"), n)).sort_by("part").column("block")] for n in range(1, order)}
+        ids, often = (np.concatenate([b[k].astype(np.int64) for b in blocks[1]]) for k in (0, 1))
         counts = counts.astype(np.int64) + 1
-        ends = np.cumsum(counts)
-        self.doc, self.tokens, self.c = np.repeat(np.arange(len(counts)), counts), counts, often[at]
-        #: A start is one more word, of no count.
-        ids, often = np.append(ids, START), np.append(often, 0)
-        before = np.append(0, at[:-1].astype(np.int64))
-        before[ends - counts] = len(ids) - 1
-        self.strange = ids[before] == UNKNOWN
-        keep = np.flatnonzero(~self.strange)
-        keys, place = np.unique(before[keep] * len(ids) + at[keep], return_inverse=True)
-        v, w = keys // len(ids), keys % len(ids)
-        seen = np.bincount(place, self.train[self.doc[keep]], len(keys)).astype(np.int64)
-        own = np.where((often[v] > hot) | (ids[v] == START), mix(ids[v].astype(_U) * _U(31) + mix(ids[w].astype(_U))), mix(ids[v].astype(_U))) % _U(parts)
-        order = np.argsort(own, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.place = rank[place]
-        v, w, self.own, self.seen = v[order], w[order], own[order].astype(np.int64), seen[order]
-        self.v, self.w, self.cv, self.cw = ids[v], ids[w], often[v], often[w]
-        self.edge = np.append(np.flatnonzero(np.append(True, self.own[1:] != self.own[:-1])[: len(self.own)]), len(self.own))
-
-
-def _pairs(parts: int, hot: int):
-    """Per cell and part: each distinct pair once, with how often the cell's training documents hold it."""
-
-    def run(said: pa.Table, answers: pa.Table) -> pa.Table:
-        x = _Cell(said, answers, parts, hot)
+        self.at, self.tokens, ends = at.astype(np.int64), counts, np.cumsum(counts)
+        self.doc, self.c = np.repeat(np.arange(len(counts)), counts), often[self.at]
+        self.words, self.first = ids, ends - counts
+        #: A start is one more word, which only contexts have.
+        self.levels = [_Grams(self.at, np.append(ids, START), np.append(often, starts), None)]
+        for n in range(2, order):
+            self._add(blocks[n])
+
+    def _add(self, blocks: list) -> None:
+        grams = self.next_order()
+        total = np.concatenate([np.zeros(0, np.int64), *(b[0].astype(np.int64) for b in blocks)])
+        if len(total) != len(grams.own):
+            raise ValueError("a cell's n-grams and their counts differ; documents must come in the same order when they are read again")
+        grams.counts, grams.weight = total, np.zeros(len(total))
+        grams.weight[total == 0] = np.concatenate([np.zeros(0), *(b[1][b[2]] for b in blocks)])
+        grams.ids = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(b[3].astype(np.int64)) for b in blocks)])
+        grams.ids[total == 0] = UNKNOWN
+        self.levels.append(grams)
+
+    def next_order(self) -> _Grams:
+        """The distinct n-grams one order above the last one, and for each what its part has to know."""
+        last, first = self.levels[-1], len(self.levels) == 1
+        before = np.append(0, last.place[:-1])
+        before[self.first] = len(last.ids) - 1 if first else -1
+        keep = np.flatnonzero(np.append(last.counts, 0)[before] > 0)  # -1: the 0 at the end
+        by_id = np.argsort(last.ids)
+        rank = np.empty(len(by_id), np.int64)
+        rank[by_id] = np.arange(len(by_id))
+        width = len(self.words)
+        keys, index, place = np.unique(rank[before[keep]] * width + self.at[keep], return_index=True, return_inverse=True)
+        v, w = by_id[keys // width], keys % width
+        ids, own = last.ids[v], last.counts[v]
+        mixed = mix(ids.view(_U))
+        common = (own > self.hot) | (ids == START)
+        mixed[common] = mix(mixed[common] * _U(31) + mix(self.words[w[common]].view(_U)))
+        part = mixed % _U(self.parts)
+        order = np.argsort(part.astype(np.uint16) if self.parts < 1 << 16 else part, kind="stable")
+        turned = np.empty(len(order), np.int64)
+        turned[order] = np.arange(len(order))
+        full = np.full(len(self.at), -1, np.int64)
+        full[keep] = turned[place]
+        grams = _Grams(full, None, None, own[order])
+        grams.part, grams.contexts, grams.last = part[order].astype(np.int64), ids[order], self.words[w[order]]
+        grams.seen = np.bincount(place, self.train[self.doc[keep]], len(keys)).astype(np.int64)[order]
+        lower = last.place[keep[index[order]]]
+        grams.lower = last.counts[lower]
+        grams.lower_own = None if first else last.own[lower]
+        grams.edge = np.append(np.flatnonzero(np.append(True, grams.part[1:] != grams.part[:-1])[: len(order)]), len(order))
+        return grams
+
+
+def _ask(order: int, parts: int, hot: int, starts: int):
+    """Per cell and part: each distinct n-gram once, with how often the cell's training documents hold it.
+
+    A block: contexts (ascending, as steps), their numbers of n-grams and counts, then per n-gram its last token, the count that the
+    n-gram without its first token has, how often it was seen; and, above bigrams, per context the count of
+    the context without its first token.
+    """
+
+    def run(said: pa.Table, replies: pa.Table) -> pa.Table:
+        x = _Cell(said, replies, order, parts, hot, starts)
+        g = x.next_order()
         blocks = []
-        for a, b in zip(x.edge[:-1], x.edge[1:], strict=True):
-            starts = np.flatnonzero(np.append(True, x.v[a + 1 : b] != x.v[a : b - 1]))
-            firsts, lengths = x.v[a:b][starts], np.diff(np.append(starts, b - a))
-            seconds, w_at, w_place = np.unique(x.w[a:b], return_index=True, return_inverse=True)
-            blocks.append(squeeze(firsts, _small(lengths), _small(x.cv[a:b][starts]), seconds, _small(x.cw[a:b][w_at]), _small(w_place), _small(x.seen[a:b])))
-        return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(x.own[x.edge[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "pair_part", "block"])
+        for a, b in zip(g.edge[:-1], g.edge[1:], strict=True):
+            firsts = a + np.flatnonzero(np.append(True, g.contexts[a + 1 : b] != g.contexts[a : b - 1]))
+            contexts = g.contexts[firsts]
+            extra = [] if g.lower_own is None else [_small(g.lower_own[firsts])]
+            blocks.append(squeeze(np.diff(contexts, prepend=0), _small(np.diff(np.append(firsts, b))), _small(g.own[firsts]), _small(g.last[a:b]), _small(g.lower[a:b]), _small(g.seen[a:b]), *extra))
+        return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(g.part[g.edge[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "part", "block"])
 
     return run
 
 
-_PAIR_SCHEMA = "cell long, pair_part int, block binary"
-_PART_SCHEMA = "pair_part int, seen array<long>, cells array<long>, totals array<binary>, used array<long>, common array<boolean>, contexts binary, hot_first array<long>, hot_stats array<double>"
-
-
-def _count_pairs(hot: int):
-    """Adds up one part's pairs. Keeps each cell's pairs' totals in the cell's order and, of contexts whose
-    weight some cell needs, the statistics.
-
-    A context's statistics: how many followers it has with count 1 to LARGEST_GT, the sum of the larger
-    counts, the sum of the followers' (count + 1), and its own count.
-    """
-
-    def run(part: pa.Table) -> pa.Table:
-        blocks = [spread(b.as_py()) for b in part.column("block")]
-        v = np.concatenate([np.repeat(b[0], b[1]) for b in blocks])
-        cv = np.concatenate([np.repeat(b[2], b[1]) for b in blocks]).astype(np.int64)
-        w = np.concatenate([b[3][b[5]] for b in blocks])
-        c = np.concatenate([b[4][b[5]] for b in blocks]).astype(np.int64)
-        held = np.concatenate([b[6] for b in blocks]).astype(np.float64)
-        lengths = [len(b[5]) for b in blocks]
-        order = np.lexsort((w, v))
-        v, cv, w, c = (a[order] for a in (v, cv, w, c))
-        new_v = np.append(True, v[1:] != v[:-1])
-        new = new_v | np.append(True, w[1:] != w[:-1])
-        pair, first = np.cumsum(new) - 1, np.cumsum(new_v) - 1
-        often = np.bincount(pair, held[order]).astype(np.int64)
-        firsts, context = v[new_v], first[new]
-        stats = np.zeros((len(firsts), LARGEST_GT + 3))
-        for r in range(1, LARGEST_GT + 1):
-            stats[:, r - 1] = np.bincount(context, often == r, len(firsts))
-        stats[:, LARGEST_GT] = np.bincount(context, np.where(often > LARGEST_GT, often, 0), len(firsts))
-        stats[:, LARGEST_GT + 1] = np.bincount(context, np.where(often > 0, c[new] + 1, 0), len(firsts))
-        stats[:, LARGEST_GT + 2] = cv[new_v]
+_PART_SCHEMA = "part int, seen array<long>, cells array<long>, totals array<binary>, used array<long>, common array<boolean>, contexts binary, hot_first array<long>, hot_stats array<double>"
+#: A context's statistics: how many followers it has with count 1 to LARGEST_GT, the sum of the larger counts; the lower
+#: order's mass of its followers, in the same classes (bigrams: the sum of their count + 1, in the first); its own count.
+_WIDTH = 2 * (LARGEST_GT + 1) + 1
+
+
+def _count_grams(order: int, hot: int, parts: int):
+    """Adds up one part's n-grams. Keeps each cell's n-grams' totals and ids in the cell's order and, of contexts whose
+    weight some cell needs, the statistics."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own_part = table.column("part")[0].as_py()
+        blocks = [spread(b.as_py()) for b in table.column("block")]
+        for b in blocks:
+            b[0] = np.cumsum(b[0].astype(np.int64))
+        contexts, which = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+        own = np.zeros(len(contexts), np.int64)
+        own[which] = np.concatenate([b[2].astype(np.int64) for b in blocks])
+        v = np.repeat(which, np.concatenate([b[1].astype(np.int64) for b in blocks]))
+        last, w = np.unique(np.concatenate([b[3].astype(np.int64) for b in blocks]), return_inverse=True)
+        low = np.concatenate([b[4].astype(np.int64) for b in blocks])
+        held = np.concatenate([b[5] for b in blocks]).astype(np.float64)
+        lengths = [len(b[3]) for b in blocks]
+        keys, index, gram = np.unique(v * len(last) + w, return_index=True, return_inverse=True)
+        often = np.bincount(gram, held, len(keys)).astype(np.int64)
+        context, low = v[index], low[index]
+        stats = np.zeros((len(contexts), _WIDTH))
+        seen_ones = np.minimum(often, LARGEST_GT + 1)
+        for r in range(1, LARGEST_GT + 2):
+            amount = np.where(seen_ones == r, 1 if r <= LARGEST_GT else often, 0)
+            stats[:, r - 1] = np.bincount(context, amount, len(contexts))
+        if order == 2:
+            stats[:, LARGEST_GT + 1] = np.bincount(context, np.where(often > 0, low + 1.0, 0), len(contexts))
+        else:
+            lower_own = np.zeros(len(contexts), np.int64)
+            lower_own[which] = np.concatenate([b[6].astype(np.int64) for b in blocks])
+            mass = np.where(often > 0, low / (lower_own[context] + 1.0), 0)
+            kind = np.minimum(low, LARGEST_GT + 1)
+            for r in range(1, LARGEST_GT + 2):
+                stats[:, LARGEST_GT + r] = np.bincount(context, np.where(kind == r, mass, 0), len(contexts))
+        stats[:, -1] = own
         seen = [int((often == r).sum()) for r in range(1, LARGEST_GT + 2)]
-        total, of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        total[order], of[order] = often[pair], first
+        total, of = often[gram], v
         missed = total == 0
         used, use = np.unique(of[missed], return_inverse=True)
         ends = np.cumsum(lengths)[:-1]
         uses = np.split(use, np.cumsum([int(m.sum()) for m in np.split(missed, ends)])[:-1])
-        totals = [squeeze(_small(t), _small(u)) for t, u in zip(np.split(total, ends), uses, strict=True)]
-        common = (stats[:, -1] > hot) | (firsts == START)
+        ids = [np.diff(i, prepend=0) for i in np.split(gram * parts + own_part, ends)]
+        totals = [squeeze(_small(t), _small(u), i) for t, u, i in zip(np.split(total, ends), uses, ids, strict=True)]
+        common = (own > hot) | (contexts == START)
         hot_at = np.flatnonzero(common)
-        values = [[part.column("pair_part")[0].as_py()], [seen], [part.column("cell").to_pylist()], [totals], [firsts[used]], [common[used]], [squeeze(*stats[used].T)], [firsts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
+        values = [[own_part], [seen], [table.column("cell").to_pylist()], [totals], [contexts[used]], [common[used]], [squeeze(*stats[used].T)], [contexts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
         types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         return pa.table([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=[f.split()[0] for f in _PART_SCHEMA.split(", ")])
 
@@ -230,7 +289,7 @@ def _count_pairs(hot: int):
 
 
 def discounts(seen: list[int]) -> np.ndarray:
-    """Katz's Good-Turing discounts of counts 1 to k from how many pairs have counts 1 to k + 1.
+    """Katz's Good-Turing discounts of counts 1 to k from how many n-grams have counts 1 to k + 1.
 
     Where the counts of counts give no discount between 0 and 1, (r - 1/2) / r takes its place.
     """
@@ -243,14 +302,17 @@ def discounts(seen: list[int]) -> np.ndarray:
     return np.where((katz > 0) & (katz < 1), katz, plain)
 
 
-def backoff_weights(stats: np.ndarray, own: np.ndarray, discount: np.ndarray, room: float) -> np.ndarray:
-    """Exactly normalised: the mass the seen followers leave over the mass the unigrams give the rest."""
+def backoff_weights(stats: np.ndarray, discount: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Exactly normalised: the mass the seen followers leave over the mass the lower order gives the rest.
+
+    lower: what the classes of a context's lower mass are multiplied by.
+    """
     kept = stats[:, :LARGEST_GT] @ (discount * np.arange(1, LARGEST_GT + 1)) + stats[:, LARGEST_GT]
-    return (1 - kept / (own + 1)) / (1 - stats[:, LARGEST_GT + 1] / room)
+    return (1 - kept / (stats[:, -1] + 1)) / (1 - stats[:, LARGEST_GT + 1 : -1] @ lower)
 
 
-def _finish(discount: np.ndarray, hot_weights: dict[int, float], room: float):
-    """Per part and cell: its pairs' totals and, of those that training doesn't hold, the contexts' weights."""
+def _finish(level: int, discount: np.ndarray, lower: np.ndarray, hot_weights: dict[int, float]):
+    """Per part and cell: its n-grams' totals and ids and, of those that training doesn't hold, the contexts' weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,14 +320,13 @@ def _finish(discount: np.ndarray, hot_weights: dict[int, float], room: float):
                 stats = np.stack(spread(part["contexts"]), 1)
                 common = np.array(part["common"], bool)
                 weight = np.zeros(len(common))
-                if not common.all():
-                    weight[~common] = np.log10(backoff_weights(stats[~common], stats[~common, -1], discount, room))
+                weight[~common] = np.log10(backoff_weights(stats[~common], discount, lower))
                 weight[common] = [hot_weights[f] for f, hot in zip(part["used"], part["common"], strict=True) if hot]
                 for cell, block in zip(part["cells"], part["totals"], strict=True):
-                    total, use = spread(block)
+                    total, use, ids = spread(block)
                     which, place = np.unique(use, return_inverse=True)
-                    out = squeeze(total, weight[which], _small(place))
-                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([part["pair_part"]], pa.int32()), pa.array([out], pa.binary()), pa.array([True])], ["cell", "part", "block", "pairs"])
+                    out = squeeze(total, weight[which], _small(place), ids)
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([level], pa.int32()), pa.array([part["part"]], pa.int32()), pa.array([out], pa.binary())], ["cell", "level", "part", "block"])
 
     return run
 
@@ -273,24 +334,20 @@ def _finish(discount: np.ndarray, hot_weights: dict[int, float], room: float):
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _evaluate(parts: int, hot: int, discount: np.ndarray, starts: int, total: int, room: float):
-    """A cell's documents with their scores."""
+def _evaluate(order: int, parts: int, hot: int, starts: int, discount: list[np.ndarray], total: int, room: float):
+    """A cell's documents with their scores: every token by the highest order whose context is known, backing off
+    through the lower ones."""
 
     def run(said: pa.Table, replies: pa.Table) -> pa.Table:
-        pairs = replies.column("pairs")
-        x = _Cell(said, replies.filter(pa.compute.invert(pairs)), parts, hot)
-        shares = [spread(b.as_py()) for b in replies.filter(pairs).sort_by("part").column("block")]
-        r = np.concatenate([s[0].astype(np.int64) for s in shares] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([s[1][s[2]] for s in shares] or [np.zeros(0)])
-        if len(r) != len(x.own):
-            raise ValueError("a cell's pairs and their counts differ; documents must be read from files or a written table")
-        own = np.where(x.v == START, starts, x.cv)
-        kept = np.append(discount, 1.0)[np.minimum(r, LARGEST_GT + 1) - 1]
-        value = np.log10(np.maximum(r, 1) * kept) - np.log10(own + 1.0)
-        value[r == 0] = weight + np.log10(x.cw[r == 0] + 1.0) - np.log10(room)
+        x = _Cell(said, replies, order + 1, parts, hot, starts)
         alone = np.log10(x.c + 1.0) - np.log10(room)
         each = alone.copy()
-        each[~x.strange] = value[x.place]
+        for grams, d in zip(x.levels[1:], discount, strict=True):
+            kept = np.append(d, 1.0)[np.minimum(grams.counts, LARGEST_GT + 1) - 1]
+            value = np.log10(np.maximum(grams.counts, 1) * kept) - np.log10(grams.own + 1.0)
+            at = np.flatnonzero(grams.place >= 0)
+            gram = grams.place[at]
+            each[at] = np.where(grams.counts[gram] > 0, value[gram], grams.weight[gram] + each[at])
         n = len(x.tokens)
         known = np.bincount(x.doc, x.c > 0, n).astype(np.int64)
         columns = [pa.array(x.doc_ids, mask=x.null), pa.array(~x.train), pa.array(x.tokens), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(np.bincount(x.doc, alone, n)), pa.array(np.bincount(x.doc, each, n))]
@@ -299,53 +356,54 @@ def _evaluate(parts: int, hot: int, discount: np.ndarray, starts: int, total: in
     return run
 
 
-def katz_scores(documents: DataFrame, held_out, cell_bytes: int = CELL_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Scores whole texts with a Katz backoff model learnt from the documents outside `held_out`.
+def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Scores whole texts with a Katz backoff model of `order`, learnt from the documents outside `held_out`.
 
     Returns per row doc_id, held_out, n_tokens (words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and
     one end), n_known (tokens that training holds), train_tokens (N), base_score (add-one unigrams:
     sum of log10((c + 1) / (N + V + 1))) and score, the model's log10 probability of the text.
 
-    The model, for a token w after v (a document's first token comes after a start):
-    d(r) * r / (c(v) + 1) if training holds the pair r > 0 times, else a(v) * (c(w) + 1) / (N + V + 1).
-    d are Good-Turing discounts for r up to 5, 1 above. Each context keeps one count for what it
-    hasn't shown, so a(v) is never 0; a(v) makes the probabilities of all V tokens and one unknown
-    token sum to 1 exactly. After an unknown word the unigrams stand alone.
+    The model, for a token w after a context h (up to order - 1 tokens, with a start before a document's first), and h' = h without
+    its first token: d(r) * r / (c(h) + 1) if training holds hw r > 0 times; a(h) * P(w | h') if it holds h but not hw;
+    P(w | h') if it doesn't hold h. The lowest order is (c(w) + 1) / (N + V + 1).
+    d are Good-Turing discounts of each order for r up to 5, 1 above. Each context keeps one count for what it
+    hasn't shown, so a(h) is never 0; a(h) makes the probabilities of all V tokens and one unknown token sum to 1 exactly.
 
-    Cells of documents ask the parts of the vocabulary for their distinct words' counts; then every
-    distinct token pair of a cell goes once, with the cell's count of it, to the part that adds up its
-    first token's followers, or for a common first token a share of them. The pair's total comes back, with
-    the context's weight where training doesn't hold the pair, and the cell scores its own documents.
-    Nothing of the vocabulary or of the pairs is sent to the driver but sums and the contexts
-    that are common, at most 4 for each part.
+    Cells of documents ask the parts of the vocabulary for their distinct words' counts. Then order by order every
+    distinct n-gram of a cell goes once, with the cell's count of it and what the orders below have replied, to the part that adds up
+    its context's followers, or for a common context a share of them. The n-gram's total and id come back, with
+    the context's weight where training doesn't hold the n-gram; at last the cell scores its own documents.
+    Nothing of the vocabulary or of the n-grams is sent to the driver but sums and the weights of common contexts, fewer
+    than MOST_HOT for each order.
 
     A null or empty text has the end alone. A null doc_id is kept; held_out decides about it. Repeated
     rows are scored each, and learnt each. Without training documents N = V = 0 and score equals
-    base_score. Documents must be read from files or a written table, whose rows come in the same
-    order again. Columns other than doc_id and text aren't read. An empty table gives an empty result.
+    base_score. Documents are read once for each order and must come in the same order again, as from files or a written
+    table; the job fails if they don't. Columns other than doc_id and text aren't read. An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~held_out).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     starts = docs.where("train").count()
     parts = max(1, -(-size // part_bytes))
-    hot = max(1000, size // 6 // parts // 4)
     asked = docs.mapInArrow(_cells(parts, True), "cell long, part int, block binary")
     answers = asked.groupBy("part").applyInArrow(_count_words(parts), "cell long, part int, block binary, total long, kinds long")
     answers = cut(answers, "counts")
     total, kinds = (int(n or 0) for n in answers.agg(F.sum("total"), F.sum("kinds")).first())
     room = float(total + kinds + 1)
+    hot = max(1000, total // parts // 4, total // MOST_HOT)
     said = docs.mapInArrow(_cells(parts, False), "cell long, block binary")
-    pairs = said.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_pairs(parts, hot), _PAIR_SCHEMA)
-    counted = cut(pairs.groupBy("pair_part").applyInArrow(_count_pairs(hot), _PART_SCHEMA), "pairs")
-    seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
-    discount = discounts([int(x or 0) for x in seen])
-    width = LARGEST_GT + 3
-    stats = counted.select(F.posexplode("hot_first").alias("i", "first"), "hot_stats").select("first", F.slice("hot_stats", F.col("i") * width + 1, F.lit(width)).alias("s"))
-    added = stats.groupBy("first").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(width - 1)], F.max(F.col("s")[width - 1]).alias("own")).toPandas()
-    table = added[[f"s{k}" for k in range(width - 1)]].to_numpy(np.float64)
-    own = np.where(added["first"] == START, starts, added["own"]).astype(np.float64)
-    weights = np.log10(backoff_weights(table, own, discount, room)) if len(added) else []
-    hot_weights = dict(zip(added["first"].tolist(), weights, strict=True))
-    shares = counted.mapInArrow(_finish(discount, hot_weights, room), "cell long, part int, block binary, pairs boolean")
-    replies = shares.unionByName(answers.select("cell", "part", "block", F.lit(False).alias("pairs")))
-    return said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_evaluate(parts, hot, discount, starts, total, room), _RESULT)
+    replies = answers.select("cell", F.lit(1).alias("level"), "part", "block")
+    # A bigram's lower mass is one sum of counts; above, the lower order's classes are discounted as that order is.
+    lower, discount = np.append(1 / room, np.zeros(LARGEST_GT)), []
+    for n in range(2, order + 1):
+        grams = said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_ask(n, parts, hot, starts), "cell long, part int, block binary")
+        counted = cut(grams.groupBy("part").applyInArrow(_count_grams(n, hot, parts), _PART_SCHEMA), "grams")
+        seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
+        discount.append(discounts([int(x or 0) for x in seen]))
+        stats = counted.select(F.posexplode("hot_first").alias("i", "first"), "hot_stats").select("first", F.slice("hot_stats", F.col("i") * _WIDTH + 1, F.lit(_WIDTH)).alias("s"))
+        added = stats.groupBy("first").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_WIDTH - 1)], F.max(F.col("s")[_WIDTH - 1]).alias("own")).toPandas()
+        weights = np.log10(backoff_weights(added.drop(columns="first").to_numpy(np.float64), discount[-1], lower)) if len(added) else []
+        shares = counted.mapInArrow(_finish(n, discount[-1], lower, dict(zip(added["first"].tolist(), weights, strict=True))), "cell long, level int, part int, block binary")
+        replies = replies.unionByName(shares)
+        lower = np.append(discount[-1], 1.0)
+    return said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_evaluate(order, parts, hot, starts, discount, total, room), _RESULT)

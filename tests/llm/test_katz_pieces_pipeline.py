@@ -24,35 +24,42 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
     tokens = [(k, [*re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), "END"]) for k, t in rows]
     train = lambda k: k is None or zlib.crc32(str(k).encode()) % 7 != 2
-    count, follow, starts = Counter(), defaultdict(Counter), 0
+    count, follow = Counter(), [defaultdict(Counter) for _ in range(order + 1)]
     for k, w in tokens:
         if train(k):
             count.update(w)
-            starts += 1
-            for v, x in zip(["START", *w], w, strict=False):
-                follow[v][x] += 1
-    n, kinds = sum(count.values()), len(count)
-    seen = [sum(r == c for f in follow.values() for r in f.values()) for c in range(1, 7)]
-    d = katz.discounts(seen)
-    kept = lambda r: r * (d[r - 1] if r <= 5 else 1)
-    own = lambda v: starts if v == "START" else count[v]
-
-    def p(v, x):
-        uni = (count[x] + 1) / (n + kinds + 1)
-        if v != "START" and not count[v]:
-            return uni
-        f = follow[v]
+            said = ["START", *w]
+            for n in range(2, order + 1):
+                for i in range(n - 1, len(said)):
+                    follow[n][tuple(said[i - n + 1 : i])][said[i]] += 1
+    n_all, kinds = sum(count.values()), len(count)
+    d = [None, None, *(katz.discounts([sum(r == c for f in follow[n].values() for r in f.values()) for c in range(1, 7)]) for n in range(2, order + 1))]
+    kept = lambda n, r: r * (d[n][r - 1] if r <= 5 else 1)
+    # A context has as many followers as it occurs: an end has none, but no context ends with one.
+    own = lambda h: sum(follow[len(h) + 1][h].values())
+    cache = {}
+
+    def p(h, x):
+        if not h:
+            return (count[x] + 1) / (n_all + kinds + 1)
+        f = follow[len(h) + 1].get(h)
+        if not f:
+            return p(h[1:], x)
         if f[x]:
-            return kept(f[x]) / (own(v) + 1)
-        shown = [y for y in f if f[y]]
-        return (1 - sum(kept(f[y]) for y in shown) / (own(v) + 1)) / (1 - sum(count[y] + 1 for y in shown) / (n + kinds + 1)) * uni
+            return kept(len(h) + 1, f[x]) / (own(h) + 1)
+        if h not in cache:
+            shown = [y for y in f if f[y]]
+            cache[h] = (1 - sum(kept(len(h) + 1, f[y]) for y in shown) / (own(h) + 1)) / (1 - sum(p(h[1:], y) for y in shown))
+        return cache[h] * p(h[1:], x)
 
-    for v in ["START", *random.Random(0).sample(sorted(count, key=str), min(3, kinds))]:
-        assert sum(p(v, x) for x in [*count, "unknown"]) == pytest.approx(1)
-    return [(k, not train(k), len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + kinds + 1)) for x in w), sum(math.log10(p(v, x)) for v, x in zip(["START", *w], w, strict=False))) for k, w in tokens]
+    some = random.Random(0).sample(sorted(follow[order], key=str), min(3, len(follow[order])))
+    for h in [("START",), *some, *(c[1:] for c in some)]:
+        assert sum(p(h, x) for x in [*count, "unknown"]) == pytest.approx(1)
+    context = lambda w, i: tuple(["START", *w][max(0, i + 2 - order) : i + 1])
+    return [(k, not train(k), len(w), sum(count[x] > 0 for x in w), n_all, sum(math.log10(p((), x)) for x in w), sum(math.log10(p(context(w, i), x)) for i, x in enumerate(w))) for k, w in tokens]
 
 
 def same(got, want):
@@ -62,38 +69,60 @@ def same(got, want):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
 
 
-def test_katz_is_the_brute_force_model(spark, monkeypatch):
+@pytest.mark.parametrize(("order", "hot"), [(2, 16384), (3, 16384), (3, 50), (4, 16384)])
+def test_katz_is_the_brute_force_model(spark, monkeypatch, order, hot):
     monkeypatch.setattr(katz, "CELL_BYTES", 3000)
+    if hot < 100:  # many contexts are dealt over several parts
+        monkeypatch.setattr(katz, "max", lambda *x: max(5, *x[1:]), raising=False)
     rng = random.Random(8)
     rows = [(i, text(rng, rng.randint(0, 60)) + " the the" * rng.randint(0, 20)) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " and more") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     from corpuskiln.llm.common import cut
 
-    same(katz.katz_scores(cut(docs, "docs"), held_out(), part_bytes=5000).collect(), brute_katz(rows))
+    same(katz.katz_scores(cut(docs, "docs"), held_out(), order, part_bytes=5000).collect(), brute_katz(rows, order))
 
 
 def test_katz_odd_rows(spark, odd_documents, no_documents):
     from corpuskiln.llm.common import cut
 
     docs = cut(odd_documents, "docs")
-    same(katz.katz_scores(docs, held_out()).collect(), brute_katz([(r.doc_id, r.text) for r in docs.collect()]))
+    same(katz.katz_scores(docs, held_out()).collect(), brute_katz([(r.doc_id, r.text) for r in docs.collect()], katz.ORDER))
     assert katz.katz_scores(no_documents, held_out()).count() == 0
     alone = katz.katz_scores(docs, F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.score == r.base_score for r in alone)
 
 
-def test_katz_sends_a_pair_once_for_a_cell(monkeypatch):
+def cells(rows):
+    docs = pa.RecordBatch.from_pydict(rows)
+    return pa.Table.from_batches(katz._cells(1, False)([docs])), pa.Table.from_batches(katz._cells(1, True)([docs]))
+
+
+def test_katz_sends_an_ngram_once_for_a_cell(monkeypatch):
     monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
-    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["the " * 50_000 + "end", "the the end", "the the the"], "train": [True, True, False]})
-    said = pa.Table.from_batches(katz._cells(1, False)([docs]))
-    asked = pa.Table.from_batches(katz._cells(1, True)([docs]))
+    said, asked = cells({"doc_id": [1, 2, 3], "text": ["the " * 50_000 + "end", "the the end", "the the the"], "train": [True, True, False]})
     answers = katz._count_words(1)(asked)
-    pairs = katz._pairs(1, 1000)(said, answers)
-    assert pairs.num_rows == 1
-    *_, place, count = katz.spread(pairs.column("block")[0].as_py())
-    assert len(place) == len(count) == 5 and sorted(count.tolist()) == [0, 2, 2, 2, 50_000]
-    (part,) = katz._count_pairs(1000)(pairs).to_pylist()
-    assert len(katz.spread(part["totals"][0])[0]) == 5 and len(pairs.column("block")[0].as_py()) + len(part["totals"][0]) < 1000
+    replies = answers.select(["cell", "part", "block"]).append_column("level", pa.array([1] * answers.num_rows, pa.int32()))
+    for n, most in ((2, 5), (3, 5)):
+        grams = katz._ask(n, 1, 1000, 2)(said, replies)
+        assert grams.num_rows == 1
+        count = katz.spread(grams.column("block")[0].as_py())[5]
+        assert len(count) == most and sorted(count.tolist())[-1] >= 49_999
+        counted = katz._count_grams(n, 1000, 1)(grams)
+        (part,) = counted.to_pylist()
+        assert len(katz.spread(part["totals"][0])[0]) == most and len(grams.column("block")[0].as_py()) + len(part["totals"][0]) < 1000
+        hot = {f: -1.0 for f in part["hot_first"]}
+        share = pa.Table.from_batches(katz._finish(n, katz.discounts([0] * 6), np.zeros(6), hot)(counted.to_batches()))
+        replies = pa.concat_tables([replies.select(share.column_names), share])
+
+
+def test_katz_notices_documents_in_another_order(monkeypatch):
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows = {"doc_id": [1, 2], "text": ["one two", "two one"], "train": [True, True]}
+    said, _ = cells(rows)
+    for other in ({k: v[::-1] for k, v in rows.items()}, rows | {"doc_id": [2, 1]}, rows | {"train": [True, False]}):
+        assert cells(other)[1].column("cell")[0] != said.column("cell")[0]
+    assert cells(rows)[1].column("cell")[0] == said.column("cell")[0]
 
 
 def test_discounts():
