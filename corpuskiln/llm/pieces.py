@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
-CHUNK = 32768
+#: Characters of a chunk; matrices that one task multiplies.
+CHUNK, FAN = 32768, 64
 SPACE = "▁"
 SCHEMA = "row long, doc_id long, part long, first_id long, ids array<int>, text string"
 
@@ -71,6 +73,12 @@ class Vocabulary:
         return out[1:] if first and out[:1] == b" " else out
 
 
+@functools.lru_cache(2)
+def vocabulary(model: str) -> Vocabulary:
+    """One for each worker process."""
+    return Vocabulary(model)
+
+
 #: How far before the cut the last piece ends, and its length: 0 at the text's start, and before the cut where
 #: the next piece doesn't depend on it.
 State = tuple[int, int]
@@ -184,7 +192,7 @@ def _compose(a: dict, b: dict) -> dict:
     return {s: x for s, x in out.items() if x}
 
 
-def crossings(matrices: list[dict], leave: State) -> list[tuple[State, State]]:
+def crossings(matrices: list[dict], entry: State, leave: State) -> list[tuple[State, State]]:
     """Entry and exit state of every chunk: products over a binary tree, then the cuts from the top."""
 
     def tree(lo: int, hi: int):
@@ -204,7 +212,7 @@ def crossings(matrices: list[dict], leave: State) -> list[tuple[State, State]]:
         walk(left, entry, middle)
         walk(right, middle, leave)
 
-    walk(tree(0, len(matrices)), (0, 0), leave)
+    walk(tree(0, len(matrices)), entry, leave)
     return out
 
 
@@ -215,7 +223,7 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 def _whole(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+        words = vocabulary(model)
         for batch in batches:
             for rows in _slices(batch, 64):
                 ids = words.library.encode(rows.column("text").to_pylist(), num_threads=1)
@@ -232,7 +240,7 @@ def _chunked(model: str, chunk: int):
     own: which of a chunk's SPACE are the document's and no spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room = 2 * Vocabulary(model).longest
+        room = 2 * vocabulary(model).longest
         for batch in batches:
             for row, doc, said in zip(batch.column("row"), batch.column("doc_id"), batch.column("text"), strict=True):
                 text = said.as_py()
@@ -248,37 +256,72 @@ def _chunked(model: str, chunk: int):
     return run
 
 
+_MATRIX = "row long, part long, matrix array<int>"
+
+
+def _flat(matrix: dict) -> list[int]:
+    return [x for s, outs in matrix.items() for o in outs for x in (*s, *o)]
+
+
+def _matrix(flat: list[int]) -> dict[State, list[State]]:
+    matrix: dict[State, list[State]] = {}
+    for a, b, c, d in zip(*[iter(flat)] * 4, strict=True):
+        matrix.setdefault((a, b), []).append((c, d))
+    return matrix
+
+
 def _transfers(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+        words = vocabulary(model)
         for batch in batches:
             for row, part, before, text in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "before")), batch.column("text"), strict=True):
                 matrix = _Chunk(words, text.as_py(), before).transfer(part == 0)
-                flat = [x for s, outs in matrix.items() for o in outs for x in (*s, *o)]
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([flat], pa.list_(pa.int32()))], ["row", "part", "matrix"])
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([_flat(matrix)], pa.list_(pa.int32()))], ["row", "part", "matrix"])
 
     return run
 
 
-def _resolve(chunks: pa.Table) -> pa.Table:
-    chunks = chunks.sort_by("part")
-    matrices = []
-    for flat in chunks.column("matrix").to_pylist():
-        matrix: dict[State, list[State]] = {}
-        for a, b, c, d in zip(*[iter(flat)] * 4, strict=True):
-            matrix.setdefault((a, b), []).append((c, d))
-        matrices.append(matrix)
-    whole = matrices[0]
-    for m in matrices[1:]:
-        whole = _compose(whole, m)
-    (leave,) = [s for s in whole[0, 0] if s[0] == 0]
-    cuts = np.array([[*a, *b] for a, b in crossings(matrices, leave)], np.int32)
-    return pa.table([chunks.column("row"), chunks.column("part"), *(pa.array(c) for c in cuts.T)], names=["row", "part", "e_back", "e_len", "l_back", "l_len"])
+def _product(stretch: pa.Table) -> pa.Table:
+    """One matrix of a stretch of neighbouring ones."""
+    stretch = stretch.sort_by("part")
+    whole = functools.reduce(_compose, map(_matrix, stretch.column("matrix").to_pylist()))
+    return pa.table([stretch.column("row")[:1], stretch.column("stretch")[:1], pa.array([_flat(whole)], pa.list_(pa.int32()))], names=["row", "part", "matrix"])
+
+
+_CUTS = "row long, part long, e_back int, e_len int, l_back int, l_len int"
+
+
+def _resolve(stretch: pa.Table) -> pa.Table:
+    """Entry and exit state of each of a stretch's matrices, from those of the stretch; l_back below 0: the text's end."""
+    stretch = stretch.sort_by("part")
+    matrices = [_matrix(flat) for flat in stretch.column("matrix").to_pylist()]
+    e_back, e_len, l_back, l_len = (stretch.column(c)[0].as_py() for c in ("e_back", "e_len", "l_back", "l_len"))
+    leave = (l_back, l_len)
+    if l_back < 0:
+        whole = functools.reduce(_compose, matrices)
+        (leave,) = [s for s in whole[0, 0] if s[0] == 0]
+    cuts = np.array([[*a, *b] for a, b in crossings(matrices, (e_back, e_len), leave)], np.int32)
+    return pa.table([stretch.column("row"), stretch.column("part"), *(pa.array(c) for c in cuts.T)], names=[f.split()[0] for f in _CUTS.split(", ")])
+
+
+def _all_cuts(matrices: DataFrame, most: int) -> DataFrame:
+    """The states at every chunk's ends: matrices are multiplied FAN at a time, in a task for each stretch and
+    level, and the cuts handed down the same way. most: of any text's chunks."""
+    stretch = F.floor(F.col("part") / FAN).alias("stretch")
+    levels = [matrices]
+    while most > FAN:
+        levels.append(cut(levels[-1].select("*", stretch).groupBy("row", "stretch").applyInArrow(_product, _MATRIX), "products"))
+        most = -(-most // FAN)
+    ends = [F.lit(x).alias(c) for c, x in (("e_back", 0), ("e_len", 0), ("l_back", -1), ("l_len", 0))]
+    cuts = levels.pop().select("*", *ends).groupBy("row").applyInArrow(_resolve, _CUTS)
+    while levels:
+        cuts = levels.pop().select("*", stretch).join(cuts.withColumnRenamed("part", "stretch"), ["row", "stretch"]).groupBy("row", "stretch").applyInArrow(_resolve, _CUTS)
+    return cuts
 
 
 def _traced(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+        words = vocabulary(model)
         for batch in batches:
             for r in (x for rows in _slices(batch, 1) for x in rows.to_pylist()):
                 chunk = _Chunk(words, r["text"], r["before"])
@@ -297,39 +340,51 @@ def _traced(model: str):
     return run
 
 
-def encode(documents: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+def encode(documents: DataFrame, model: str, chunk: int = CHUNK, then: tuple[Callable, str] | None = None) -> DataFrame:
     """Ids of whole texts by a SentencePiece BPE model with byte fallback and identity normalising.
 
     Returns row (one number for each document row), doc_id, part, first_id (how many ids come
     before the part), ids and text (what of the document the part spells). A text of up to `chunk`
     characters is one part, encoded by the library. A longer one is cut into chunks in different
     tasks: each yields a transfer matrix between the pieces that may cross its two ends, the matrices
-    are multiplied over a tree, and every chunk is traced back by itself between the two states it
-    then has. The ids are those the library gives for the whole text. (The model at hand is a
+    are multiplied over a tree, FAN of them in a task, and every chunk is traced back by itself between the two states it
+    then has. Of a chunk only the stretches around its ends go through the lattice; in the vocabulary at hand no piece
+    crosses a space that follows another character, so what lies between two such spaces is the library's (see _Chunk). The ids are those the library gives for the whole text. (The model at hand is a
     BPE model, whose encoding isn't the path of the largest sum of scores; the scan's weights are 0
     for neighbours the merges leave apart and minus infinity for others, see Vocabulary.)
 
+    then (a function over Arrow batches of the result, and its schema) is applied in the same workers.
+
     A null or empty text is one part without ids. A null doc_id and repeated rows are encoded as they
     come. Other columns aren't read. An empty table gives an empty result.
     """
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") > chunk
-    short = docs.where(~giant).mapInArrow(_whole(model), SCHEMA)
-    chunks = cut(docs.where(giant).mapInArrow(_chunked(model, chunk), "row long, doc_id long, part long, parts long, before long, text string, own array<long>"), "chunks")
-    dealt = chunks.repartition("row", "part")
-    matrices = dealt.mapInArrow(_transfers(model), "row long, part long, matrix array<int>")
-    cuts = matrices.groupBy("row").applyInArrow(_resolve, "row long, part long, e_back int, e_len int, l_back int, l_len int")
+    # The two ways have numbers of their own, whatever order a second reading has.
+    own = lambda rows, odd: rows.withColumn("row", 2 * F.col("row") + odd)
+    after, schema = then or (lambda batches: batches, SCHEMA)
+    whole = _whole(model)
+    short = own(docs.where(~giant), 0).mapInArrow(lambda batches: after(whole(batches)), schema)
+    chunks = cut(own(docs.where(giant), 1).mapInArrow(_chunked(model, chunk), "row long, doc_id long, part long, parts long, before long, text string, own array<long>"), "chunks")
+    most = chunks.agg(F.max("parts")).first()[0]
+    if most is None:
+        return short
+    matrices = cut(chunks.select("row", "part", "before", "text").repartition("row", "part").mapInArrow(_transfers(model), _MATRIX), "matrices")
+    cuts = _all_cuts(matrices, most)
     traced = cut(chunks.join(cuts, ["row", "part"]).mapInArrow(_traced(model), "row long, doc_id long, part long, n_ids long, ids array<int>, text string"), "traced")
+    drop(chunks)
+    drop(matrices)
     earlier = Window.partitionBy("row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = traced.withColumn("first_id", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
-    return short.unionByName(placed.select("row", "doc_id", "part", "first_id", "ids", "text"))
+    firsts = traced.select("row", "part", "n_ids").withColumn("first_id", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).drop("n_ids")
+    placed = traced.join(firsts, ["row", "part"]).select("row", "doc_id", "part", "first_id", "ids", "text")
+    return short.unionByName(placed.mapInArrow(after, schema) if then else placed)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """row, doc_id, part and text: the ids of each part spelt out; parts in order are the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+        words = vocabulary(model)
         for batch in batches:
             out = [words.decode(ids.values.to_numpy(), part == 0).decode("utf-8", "replace") for ids, part in zip(batch.column("ids"), batch.column("part").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("part"), pa.array(out, pa.string())], ["row", "doc_id", "part", "text"])
@@ -340,12 +395,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 MODULUS = 1_000_000_007
 
 
-def checked(encoded: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, n_ids, ids_sum (sum of (place + 1) * id, modulo 1,000,000,007) and exact
-    (the decoded text is the document's)."""
+def check(model: str) -> tuple[Callable, str]:
+    """What `checked` computes of each part, for encode(then=...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model)
+        words = vocabulary(model)
         for batch in (rows for whole in batches for rows in _slices(whole, 256)):
             n, total, exact = [], [], []
             for ids, part, first, text in zip(batch.column("ids"), *(batch.column(c).to_pylist() for c in ("part", "first_id", "text")), strict=True):
@@ -356,6 +410,12 @@ def checked(encoded: DataFrame, model: str) -> DataFrame:
                 exact.append(said == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(exact, pa.bool_())], ["row", "doc_id", "n_ids", "ids_sum", "exact"])
 
-    parts = encoded.mapInArrow(run, "row long, doc_id long, n_ids long, ids_sum long, exact boolean")
+    return run, "row long, doc_id long, n_ids long, ids_sum long, exact boolean"
+
+
+def checked(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_ids, ids_sum (sum of (place + 1) * id, modulo 1,000,000,007) and exact
+    (the decoded text is the document's). encoded: what encode returns, with the model, or what it returns with then=check(model)."""
+    parts = encoded.mapInArrow(*check(model)) if model else encoded
     merged = parts.groupBy("row", "doc_id").agg(F.sum("n_ids").alias("n_ids"), (F.sum("ids_sum") % MODULUS).alias("ids_sum"), F.min("exact").alias("exact"))
     return merged.select("doc_id", "n_ids", "ids_sum", "exact")

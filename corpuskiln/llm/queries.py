@@ -71,7 +71,7 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
-    return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model, then=pieces.check(model)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
