@@ -136,10 +136,12 @@ class _Grams:
 
     place: per token, -1 where the order's context isn't known; ids, counts: of the n-grams, as far as
     they are known; own: their contexts' counts; weight: of backing off, where training doesn't hold the n-gram.
+    A context that the documents, learnt or not, hold only once has its one follower once: such tokens are `lonely`, and
+    nobody is asked about them. alone: tokens whose n-gram is such a context.
     """
 
-    def __init__(self, place: np.ndarray, ids: np.ndarray | None, counts: np.ndarray | None, own: np.ndarray | None) -> None:
-        self.place, self.ids, self.counts, self.own, self.weight = place, ids, counts, own, None
+    def __init__(self, place: np.ndarray, ids: np.ndarray | None, counts: np.ndarray | None, own: np.ndarray | None, lonely: np.ndarray) -> None:
+        self.place, self.ids, self.counts, self.own, self.weight, self.lonely, self.alone = place, ids, counts, own, None, lonely, lonely
 
 
 class _Cell:
@@ -161,7 +163,7 @@ class _Cell:
         self.doc, self.c = np.repeat(np.arange(len(counts)), counts), often[self.at]
         self.words, self.first = ids, ends - counts
         #: A start is one more word, which only contexts have.
-        self.levels = [_Grams(self.at, np.append(ids, START), np.append(often, starts), None)]
+        self.levels = [_Grams(self.at, np.append(ids, START), np.append(often, starts), None, np.zeros(len(self.at), bool))]
         for n in range(2, order):
             self._add(blocks[n])
 
@@ -172,8 +174,12 @@ class _Cell:
             raise ValueError("a cell's n-grams and their counts differ; documents must come in the same order when they are read again")
         grams.counts, grams.weight = total, np.zeros(len(total))
         grams.weight[total == 0] = np.concatenate([np.zeros(0), *(b[1][b[2]] for b in blocks)])
-        grams.ids = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(b[3].astype(np.int64)) for b in blocks)])
-        grams.ids[total == 0] = UNKNOWN
+        alone = np.concatenate([np.zeros(0, bool), *(np.unpackbits(b[3], count=len(b[0])).astype(bool) for b in blocks)])
+        grams.ids = np.full(len(total), UNKNOWN)
+        named = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(b[4].astype(np.int64)) for b in blocks)])
+        if len(named):
+            grams.ids[(total > 0) & ~alone] = named
+        grams.alone = grams.lonely | np.append(alone, False)[grams.place]
         self.levels.append(grams)
 
     def next_order(self) -> _Grams:
@@ -181,13 +187,15 @@ class _Cell:
         last, first = self.levels[-1], len(self.levels) == 1
         before = np.append(0, last.place[:-1])
         before[self.first] = len(last.ids) - 1 if first else -1
-        keep = np.flatnonzero(np.append(last.counts, 0)[before] > 0)  # -1: the 0 at the end
-        by_id = np.argsort(last.ids)
-        rank = np.empty(len(by_id), np.int64)
-        rank[by_id] = np.arange(len(by_id))
+        lonely = np.append(False, last.alone[:-1])
+        lonely[self.first] = False
+        keep = np.flatnonzero((np.append(last.counts, 0)[before] > 0) & ~lonely)  # -1: the 0 at the end
+        by_id, by_word = np.argsort(last.ids, kind="stable"), np.argsort(self.words, kind="stable")
+        rank, word = np.empty(len(by_id), np.int64), np.empty(len(by_word), np.int64)
+        rank[by_id], word[by_word] = np.arange(len(by_id)), np.arange(len(by_word))
         width = len(self.words)
-        keys, index, place = np.unique(rank[before[keep]] * width + self.at[keep], return_index=True, return_inverse=True)
-        v, w = by_id[keys // width], keys % width
+        keys, index, place, times = np.unique(rank[before[keep]] * width + word[self.at[keep]], return_index=True, return_inverse=True, return_counts=True)
+        v, w = by_id[keys // width], by_word[keys % width]
         ids, own = last.ids[v], last.counts[v]
         mixed = mix(ids.view(_U))
         common = (own > self.hot) | (ids == START)
@@ -198,9 +206,10 @@ class _Cell:
         turned[order] = np.arange(len(order))
         full = np.full(len(self.at), -1, np.int64)
         full[keep] = turned[place]
-        grams = _Grams(full, None, None, own[order])
+        grams = _Grams(full, None, None, own[order], lonely)
         grams.part, grams.contexts, grams.last = part[order].astype(np.int64), ids[order], self.words[w[order]]
         grams.seen = np.bincount(place, self.train[self.doc[keep]], len(keys)).astype(np.int64)[order]
+        grams.once = times[order] == 1
         lower = last.place[keep[index[order]]]
         grams.lower = last.counts[lower]
         grams.lower_own = None if first else last.own[lower]
@@ -211,21 +220,27 @@ class _Cell:
 def _ask(order: int, parts: int, hot: int, starts: int):
     """Per cell and part: each distinct n-gram once, with how often the cell's training documents hold it.
 
-    A block: contexts (ascending, as steps), their numbers of n-grams and counts, then per n-gram its last token, the count that the
-    n-gram without its first token has, how often it was seen; and, above bigrams, per context the count of
-    the context without its first token.
+    A block: contexts (ascending, as steps), their numbers of n-grams and counts, then per n-gram its last token (as
+    steps within a context), the count that the n-gram without its first token has, how often it was seen and whether
+    the cell holds it only once; how many lonely tokens the cell has (in its first block); and, above bigrams, per context the
+    count of the context without its first token.
     """
 
     def run(said: pa.Table, replies: pa.Table) -> pa.Table:
         x = _Cell(said, replies, order, parts, hot, starts)
         g = x.next_order()
-        blocks = []
-        for a, b in zip(g.edge[:-1], g.edge[1:], strict=True):
-            firsts = a + np.flatnonzero(np.append(True, g.contexts[a + 1 : b] != g.contexts[a : b - 1]))
-            contexts = g.contexts[firsts]
+        blocks, lonely = [], int(g.lonely.sum())
+        edges = list(zip(g.edge[:-1], g.edge[1:], strict=True)) or [(0, 0)]
+        for a, b in edges:
+            new = np.append(True, g.contexts[a + 1 : b] != g.contexts[a : b - 1])[: b - a]
+            firsts = a + np.flatnonzero(new)
+            last = g.last[a:b] + 1
+            steps = np.where(new, last, last - np.append(0, last[:-1])[: b - a])
             extra = [] if g.lower_own is None else [_small(g.lower_own[firsts])]
-            blocks.append(squeeze(np.diff(contexts, prepend=0), _small(np.diff(np.append(firsts, b))), _small(g.own[firsts]), _small(g.last[a:b]), _small(g.lower[a:b]), _small(g.seen[a:b]), *extra))
-        return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(g.part[g.edge[:-1]], pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "part", "block"])
+            columns = [np.diff(g.contexts[firsts], prepend=0), _small(np.diff(np.append(firsts, b))), _small(g.own[firsts]), _small(steps), _small(g.lower[a:b]), _small(g.seen[a:b]), np.packbits(g.once[a:b])]
+            blocks.append(squeeze(*columns, np.array([0 if blocks else lonely]), *extra))
+        own = [int(g.part[a]) if b else 0 for a, b in edges]
+        return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(own, pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "part", "block"])
 
     return run
 
@@ -236,9 +251,9 @@ _PART_SCHEMA = "part int, seen array<long>, cells array<long>, totals array<bina
 _WIDTH = 2 * (LARGEST_GT + 1) + 1
 
 
-def _count_grams(order: int, hot: int, parts: int):
+def _count_grams(order: int, hot: int, parts: int, more: bool):
     """Adds up one part's n-grams. Keeps each cell's n-grams' totals and ids in the cell's order and, of contexts whose
-    weight some cell needs, the statistics."""
+    weight some cell needs, the statistics. more: an order above will need to know the n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
         own_part = table.column("part")[0].as_py()
@@ -248,12 +263,15 @@ def _count_grams(order: int, hot: int, parts: int):
         contexts, which = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
         own = np.zeros(len(contexts), np.int64)
         own[which] = np.concatenate([b[2].astype(np.int64) for b in blocks])
-        v = np.repeat(which, np.concatenate([b[1].astype(np.int64) for b in blocks]))
-        last, w = np.unique(np.concatenate([b[3].astype(np.int64) for b in blocks]), return_inverse=True)
+        many = np.concatenate([b[1].astype(np.int64) for b in blocks])
+        v = np.repeat(which, many)
+        steps = np.append(0, np.cumsum(np.concatenate([b[3].astype(np.int64) for b in blocks])))
+        last, w = np.unique(steps[1:] - np.repeat(steps[np.cumsum(many) - many], many), return_inverse=True)
         low = np.concatenate([b[4].astype(np.int64) for b in blocks])
         held = np.concatenate([b[5] for b in blocks]).astype(np.float64)
         lengths = [len(b[3]) for b in blocks]
-        keys, index, gram = np.unique(v * len(last) + w, return_index=True, return_inverse=True)
+        once = np.concatenate([np.unpackbits(b[6], count=len(b[3])) for b in blocks]).astype(bool)
+        keys, index, gram, askers = np.unique(v * len(last) + w, return_index=True, return_inverse=True, return_counts=True)
         often = np.bincount(gram, held, len(keys)).astype(np.int64)
         context, low = v[index], low[index]
         stats = np.zeros((len(contexts), _WIDTH))
@@ -265,20 +283,23 @@ def _count_grams(order: int, hot: int, parts: int):
             stats[:, LARGEST_GT + 1] = np.bincount(context, np.where(often > 0, low + 1.0, 0), len(contexts))
         else:
             lower_own = np.zeros(len(contexts), np.int64)
-            lower_own[which] = np.concatenate([b[6].astype(np.int64) for b in blocks])
+            lower_own[which] = np.concatenate([b[8].astype(np.int64) for b in blocks])
             mass = np.where(often > 0, low / (lower_own[context] + 1.0), 0)
             kind = np.minimum(low, LARGEST_GT + 1)
             for r in range(1, LARGEST_GT + 2):
                 stats[:, LARGEST_GT + r] = np.bincount(context, np.where(kind == r, mass, 0), len(contexts))
         stats[:, -1] = own
         seen = [int((often == r).sum()) for r in range(1, LARGEST_GT + 2)]
+        seen[0] += sum(int(b[7][0]) for b in blocks)
         total, of = often[gram], v
         missed = total == 0
         used, use = np.unique(of[missed], return_inverse=True)
         ends = np.cumsum(lengths)[:-1]
         uses = np.split(use, np.cumsum([int(m.sum()) for m in np.split(missed, ends)])[:-1])
-        ids = [np.diff(i, prepend=0) for i in np.split(gram * parts + own_part, ends)]
-        totals = [squeeze(_small(t), _small(u), i) for t, u, i in zip(np.split(total, ends), uses, ids, strict=True)]
+        alone = (total == 1) & (askers[gram] == 1) & once if more else np.zeros(len(gram), bool)
+        named = (total > 0) & ~alone if more else np.zeros(len(gram), bool)
+        per = zip(np.split(total, ends), uses, np.split(alone, ends), np.split(named, ends), np.split(gram, ends), strict=True)
+        totals = [squeeze(_small(t), _small(u), np.packbits(a), np.diff(i[n] * parts + own_part, prepend=0)) for t, u, a, n, i in per]
         common = (own > hot) | (contexts == START)
         hot_at = np.flatnonzero(common)
         values = [[own_part], [seen], [table.column("cell").to_pylist()], [totals], [contexts[used]], [common[used]], [squeeze(*stats[used].T)], [contexts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
@@ -323,9 +344,9 @@ def _finish(level: int, discount: np.ndarray, lower: np.ndarray, hot_weights: di
                 weight[~common] = np.log10(backoff_weights(stats[~common], discount, lower))
                 weight[common] = [hot_weights[f] for f, hot in zip(part["used"], part["common"], strict=True) if hot]
                 for cell, block in zip(part["cells"], part["totals"], strict=True):
-                    total, use, ids = spread(block)
+                    total, use, alone, ids = spread(block)
                     which, place = np.unique(use, return_inverse=True)
-                    out = squeeze(total, weight[which], _small(place), ids)
+                    out = squeeze(total, weight[which], _small(place), alone, ids)
                     yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([level], pa.int32()), pa.array([part["part"]], pa.int32()), pa.array([out], pa.binary())], ["cell", "level", "part", "block"])
 
     return run
@@ -348,6 +369,7 @@ def _evaluate(order: int, parts: int, hot: int, starts: int, discount: list[np.n
             at = np.flatnonzero(grams.place >= 0)
             gram = grams.place[at]
             each[at] = np.where(grams.counts[gram] > 0, value[gram], grams.weight[gram] + each[at])
+            each[grams.lonely] = np.log10(d[0] / 2)
         n = len(x.tokens)
         known = np.bincount(x.doc, x.c > 0, n).astype(np.int64)
         columns = [pa.array(x.doc_ids, mask=x.null), pa.array(~x.train), pa.array(x.tokens), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(np.bincount(x.doc, alone, n)), pa.array(np.bincount(x.doc, each, n))]
@@ -372,7 +394,8 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
     Cells of documents ask the parts of the vocabulary for their distinct words' counts. Then order by order every
     distinct n-gram of a cell goes once, with the cell's count of it and what the orders below have replied, to the part that adds up
     its context's followers, or for a common context a share of them. The n-gram's total and id come back, with
-    the context's weight where training doesn't hold the n-gram; at last the cell scores its own documents.
+    the context's weight where training doesn't hold the n-gram; at last the cell scores its own documents. What follows
+    a context that occurs once in all documents needs no asking (see _Grams).
     Nothing of the vocabulary or of the n-grams is sent to the driver but sums and the weights of common contexts, fewer
     than MOST_HOT for each order.
 
@@ -397,7 +420,7 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
     lower, discount = np.append(1 / room, np.zeros(LARGEST_GT)), []
     for n in range(2, order + 1):
         grams = said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_ask(n, parts, hot, starts), "cell long, part int, block binary")
-        counted = cut(grams.groupBy("part").applyInArrow(_count_grams(n, hot, parts), _PART_SCHEMA), "grams")
+        counted = cut(grams.groupBy("part").applyInArrow(_count_grams(n, hot, parts, n < order), _PART_SCHEMA), "grams")
         seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
         discount.append(discounts([int(x or 0) for x in seen]))
         stats = counted.select(F.posexplode("hot_first").alias("i", "first"), "hot_stats").select("first", F.slice("hot_stats", F.col("i") * _WIDTH + 1, F.lit(_WIDTH)).alias("s"))
