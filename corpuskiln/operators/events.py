@@ -25,24 +25,28 @@ def classified(kind: Column, path: Column, to: Column, exists: Column) -> Column
     return out.otherwise(none)
 
 
-def sessions(events: DataFrame, gap_s: float, bucket: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap_s: float) -> DataFrame:
     """Adds session (from 1) to events (ts, seq): a quiet time longer than gap_s parts two sessions.
 
     One deadline for all events is a total order, but no task sees all of them: events are ordered
-    within time buckets, and only one row for each bucket is ordered as a whole.
+    within seconds, one row for each second within hours, and only one row for each hour as a whole.
     """
-    rows = events.withColumn("_at", F.date_trunc(bucket.split()[1], "ts"))
-    summary = rows.groupBy("_at").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    before = summary.withColumn("_before", F.lag("last").over(Window.orderBy("_at"))).select("_at", "_before")
-    within = Window.partitionBy("_at").orderBy("ts", "seq")
-    rows = rows.join(before, "_at").withColumn("_previous", F.coalesce(F.lag("ts").over(within), "_before"))
+    rows = events.withColumns({"_hour": F.date_trunc("hour", "ts"), "_second": F.date_trunc("second", "ts")})
+    hour, day = Window.partitionBy("_hour").orderBy("_second"), Window.orderBy("_hour")
+    seconds = rows.groupBy("_hour", "_second").agg(F.max("ts").alias("last"))
+    hours = seconds.groupBy("_hour").agg(F.max("last").alias("last")).select("_hour", F.lag("last").over(day).alias("_earlier"))
+    before = seconds.select("_hour", "_second", F.lag("last").over(hour).alias("_before")).join(hours, "_hour")
+    before = before.select("_hour", "_second", F.coalesce("_before", "_earlier").alias("_before"))
+    within = Window.partitionBy("_hour", "_second").orderBy("ts", "seq")
+    rows = rows.join(before, ["_hour", "_second"]).withColumn("_previous", F.coalesce(F.lag("ts").over(within), "_before"))
     apart = F.unix_micros("ts") - F.unix_micros("_previous") > int(gap_s * 1_000_000)
     rows = rows.withColumn("_new", F.when(apart | F.col("_previous").isNull(), 1).otherwise(0))
-    starts = rows.groupBy("_at").agg(F.sum("_new").alias("n"))
-    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_hour", "_second").agg(F.sum("_new").alias("n"))
+    ahead = starts.groupBy("_hour").agg(F.sum("n").alias("n")).select("_hour", earlier(day).alias("_ahead"))
+    starts = starts.select("_hour", "_second", earlier(hour).alias("_offset")).join(ahead, "_hour")
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(starts, "_at").withColumn("session", (F.col("_offset") + F.sum("_new").over(upto)).cast("long"))
+    out = rows.join(starts, ["_hour", "_second"]).withColumn("session", (F.col("_ahead") + F.col("_offset") + F.sum("_new").over(upto)).cast("long"))
     return out.select(*events.columns, "session")
 
 
