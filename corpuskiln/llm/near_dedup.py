@@ -207,6 +207,8 @@ def _link_buckets(buckets: DataFrame, docs: DataFrame, percent: int, star_rounds
         alive = cut(state.mixed(salted(prefixes, hot, "bucket", "rep"), hot), "alive")
         drop(prefixes)
         state.finish(state.stars(alive, star_rounds, hot), hot)
+    for old in (sets, *state.written):
+        drop(old)
     return state.labels
 
 
@@ -217,6 +219,7 @@ class _State:
         self.sets, self.percent = sets, percent
         none = sets.sparkSession.createDataFrame([], "a long, b long")
         self.links, self.tried, self.labels = none, none, components(none)
+        self.written: list[DataFrame] = []
 
     def compare(self, near: DataFrame) -> None:
         """Compares (rep, centre) pairs whose sizes allow a link, once each."""
@@ -226,6 +229,7 @@ class _State:
         if pairs.isEmpty():
             return
         checked = cut(_verified(pairs, self.sets, self.percent), "checked")
+        self.written += [pairs, checked]
         self.tried = self.tried.unionByName(checked.select("a", "b"))
         good = checked.where("linked").select("a", "b")
         if not good.isEmpty():
@@ -241,6 +245,7 @@ class _State:
         each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
         each = each.select("bucket", "low", "high", "block", "rep", "component").join(self.sets, F.col("rep") == F.col("doc_id"))
         found = cut(each.groupBy("bucket", "low", "high").applyInArrow(_compare_members(self.percent), "a long, b long"), "finished")
+        self.written += [alive, found]
         if not found.isEmpty():
             self.links = self.links.unionByName(found)
             self.labels = components(self.links)
