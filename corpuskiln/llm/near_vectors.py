@@ -73,7 +73,8 @@ class _Cell:
         for i, row in enumerate(rows):
             self.x[i, : len(row)] = row / np.abs(row).max()
         self.norm = np.sqrt((self.x * self.x).sum(1))
-        self.runs, self.blocks, self.sizes = (column(c).flatten().to_numpy().reshape(n, -1) for c in ("runs", "blocks", "sizes"))
+        self.runs, self.blocks = (column(c).flatten().to_numpy().reshape(n, -1) for c in ("runs", "blocks"))
+        self.size = column("size").to_numpy()
         self.near, self.links = np.zeros((n, n), bool), np.zeros(n, np.int64)
 
     def compare(self, a: np.ndarray, b: np.ndarray, take) -> None:
@@ -102,7 +103,7 @@ def _compare_windows(threshold: float, window: int):
     """A stretch of the sorted order: every block of `window` rows with itself and with the next one."""
 
     def ours(cell: _Cell, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return ~((cell.runs[i, cell.turn] == cell.runs[j, cell.turn]) & (cell.sizes[i, cell.turn] > window))
+        return ~((cell.runs[i, cell.turn] == cell.runs[j, cell.turn]) & (cell.size[i] > window))
 
     def run(table: pa.Table) -> pa.Table:
         cell = _Cell(table, threshold)
@@ -194,8 +195,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, window: int = W
     stands = at.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("turn", "run", "block", F.coalesce("n", F.lit(0)).alias("size")))).alias("s"))
     stands = stands.select("rep", F.col("s.run").alias("runs"), F.col("s.block").alias("blocks"), F.col("s.size").alias("sizes"))
     each = cut(coded.drop("codes", "dim").join(stands, "rep"), "stands").select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("turn"))
+    # A pass needs to know of itself and of those before.
+    upto = lambda c: F.slice(c, F.lit(1), F.col("turn") + 1).alias(c)
+    each = each.select("rep", "label", "embedding", "copies", "turn", upto("runs"), upto("blocks"), F.col("sizes")[F.col("turn")].alias("size"))
 
-    own, size = F.col("blocks")[F.col("turn")], F.col("sizes")[F.col("turn")]
+    own, size = F.col("blocks")[F.col("turn")], F.col("size")
     stretch = F.floor(own / STRETCH)
     # A stretch's first block is the last neighbour of the stretch before.
     stretches = each.withColumn("stretch", F.explode(F.when(own % STRETCH == 0, F.array(stretch - 1, stretch)).otherwise(F.array(stretch))))
