@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -45,6 +46,7 @@ class Vocabulary:
         for b, i in enumerate(self.bytes):
             self.spelt[i] = bytes([b])
         self.beside: dict[tuple[str, str], bool] = {}
+        self.stretches: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         symbols = list(text)
@@ -63,6 +65,17 @@ class Vocabulary:
             got = self.beside[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
+    def stretch_ids(self, text: str) -> list[int]:
+        """Ids of a stretch that no piece crosses the ends of, by its own lattice; short ones, mostly words, are kept."""
+        got = self.stretches.get(text)
+        if got is None:
+            got = _Chunk(self, text, 0).lattice_ids(0, 0, len(text))
+            if len(text) <= 64:
+                if len(self.stretches) > 200_000:
+                    self.stretches.clear()
+                self.stretches[text] = got
+        return got
+
     def piece_ids(self, piece: str) -> list[int]:
         own = self.ids.get(piece)
         return [own] if own is not None else [self.bytes[b] for b in piece.encode()]
@@ -89,8 +102,8 @@ class _Chunk:
 
     Where a space follows another character no piece of such a vocabulary goes across (`apart`), so every
     path has a piece end there and what follows doesn't depend on what came before: the matrix has rank
-    one at these places. Only the stretches from an entry to the first of them and from the last of them
-    to the exit need the lattice; what lies between is encoded by the library.
+    one at these places. The transfer matrix therefore needs the lattice only from an entry to the first of them and from
+    the last of them to the exit; the trace goes through all of it, stretch by stretch.
     """
 
     def __init__(self, words: Vocabulary, text: str, before: int) -> None:
@@ -167,7 +180,7 @@ class _Chunk:
                 out[entry] = found
         return out
 
-    def _trace(self, start: int, length: int, stop: int) -> list[int]:
+    def lattice_ids(self, start: int, length: int, stop: int) -> list[int]:
         last, _ = self.run(start, length, stop, [])
         p, pieces = stop, []
         while p > start:
@@ -180,10 +193,11 @@ class _Chunk:
         start, stop = self.before - entry[0], len(self.text) - leave[0]
         inner = [p for p in self.ahead if p <= stop]
         if not inner:
-            return self._trace(start, entry[1], stop)
-        middle = self.text[inner[0] : inner[-1]]
-        between = self.words.library.encode(middle[1:].replace(SPACE, " ")) if middle else []
-        return self._trace(start, entry[1], inner[0]) + between + self._trace(inner[-1], 0, stop)
+            return self.lattice_ids(start, entry[1], stop)
+        ids = self.lattice_ids(start, entry[1], inner[0])
+        for a, b in itertools.pairwise(inner):
+            ids += self.words.stretch_ids(self.text[a:b])
+        return ids + self.lattice_ids(inner[-1], 0, stop)
 
 
 def _compose(a: dict, b: dict) -> dict:
@@ -348,8 +362,7 @@ def encode(documents: DataFrame, model: str, chunk: int = CHUNK, then: tuple[Cal
     characters is one part, encoded by the library. A longer one is cut into chunks in different
     tasks: each yields a transfer matrix between the pieces that may cross its two ends, the matrices
     are multiplied over a tree, FAN of them in a task, and every chunk is traced back by itself between the two states it
-    then has. Of a chunk only the stretches around its ends go through the lattice; in the vocabulary at hand no piece
-    crosses a space that follows another character, so what lies between two such spaces is the library's (see _Chunk). The ids are those the library gives for the whole text. (The model at hand is a
+    then has, all of it through the lattice. The ids are those the library gives for the whole text. (The model at hand is a
     BPE model, whose encoding isn't the path of the largest sum of scores; the scan's weights are 0
     for neighbours the merges leave apart and minus infinity for others, see Vocabulary.)
 
