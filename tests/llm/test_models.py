@@ -128,3 +128,68 @@ def test_training_is_plain_ftrl(spark, monkeypatch, shards):
     want[0] = want.get(0, 0.0) + base
     got = dict(zip(places.tolist(), weights.tolist(), strict=True))
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want) and len(got) > 20
+
+
+def plain_additive(x, y):
+    """Cyclic boosting by loops: per feature trees of up to two cuts, then per pair trees of one cut each way."""
+    n, d = len(x), len(x[0])
+    cuts = [sorted(set(np.quantile([r[j] for r in x], np.linspace(0, 1, quality.BINS + 1)[1:-1]).tolist())) for j in range(d)]
+    rough = [c[:: max(1, len(c) // 7)][:7] for c in cuts]
+    bin_of = lambda c, v: sum(v >= k for k in c)
+    bias = math.log((sum(y) + 1) / (n - sum(y) + 1))
+    logit = [bias] * n
+
+    def sums(rows):
+        p = [1 / (1 + math.exp(-logit[i])) for i in rows]
+        return sum(y[i] - q for i, q in zip(rows, p, strict=True)), sum(q * (1 - q) for q in p)
+
+    gain = lambda rows: (lambda g, h: g * g / (h + 1))(*sums(rows))
+    value = lambda rows: (lambda g, h: g / (h + 1))(*sums(rows))
+
+    def fit_feature(j):
+        rows_in = [[i for i in range(n) if bin_of(cuts[j], x[i][j]) == b] for b in range(len(cuts[j]) + 1)]
+        flat = lambda a, b: [i for bin in rows_in[a:b] for i in bin]
+        parts = [(0, len(rows_in))]
+        while len(parts) < 3:
+            options = [(gain(flat(a, c)) + gain(flat(c, b)) - gain(flat(a, b)), -k, -c) for k, (a, b) in enumerate(parts) for c in range(a + 1, b)]
+            best = max(options, default=None)
+            if best is None or best[0] <= 1e-12:
+                break
+            a, b = parts.pop(-best[1])
+            parts += [(a, -best[2]), (-best[2], b)]
+        return [(flat(a, b), value(flat(a, b))) for a, b in parts]
+
+    def fit_pair(i, j):
+        cell = [(bin_of(rough[i], r[i]), bin_of(rough[j], r[j])) for r in x]
+        quarters = lambda a, b: [[k for k in range(n) if (cell[k][0] <= a) == up and (cell[k][1] <= b) == left] for up in (True, False) for left in (True, False)]
+        _, _, _, best = max((round(sum(map(gain, quarters(a, b))), 9), -a, -b, (a, b)) for a in range(7) for b in range(7))
+        return [(q, value(q)) for q in quarters(*best)]
+
+    def push(steps):
+        for rows, v in steps:
+            for i in rows:
+                logit[i] += quality.RATE * v
+
+    for _ in range(quality.ROUNDS):
+        for j in range(d):
+            push(fit_feature(j))
+    gains = {}
+    for i in range(d):
+        for j in range(i + 1, d):
+            cells = {}
+            for k in range(n):
+                cells.setdefault((bin_of(rough[i], x[k][i]), bin_of(rough[j], x[k][j])), []).append(k)
+            gains[i, j] = sum((lambda g, h: g * g / (h + 5))(*sums(rows)) for rows in cells.values())
+    for _ in range(quality.PAIR_ROUNDS):
+        for i, j in sorted(gains, key=lambda k: -gains[k])[: quality.PAIRS]:
+            push(fit_pair(i, j))
+    return [1 / (1 + math.exp(-v)) for v in logit]
+
+
+def test_boosting_is_plain_boosting(monkeypatch):
+    for name, value in (("ROUNDS", 3), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 10)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 3))
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6) | (rng.random(60) < 0.1)).astype(float)
+    assert np.allclose(quality.Additive(x, y).scores(x), plain_additive(x.tolist(), y.tolist()))
