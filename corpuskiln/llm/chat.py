@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 START, MIDDLE, END = "<|start|>", "<|sep|>", "<|end|>\n"
 #: Control strings of this and other templates; each starts with < or [ and has neither inside.
 CONTROL = r"(<|\[)(\\*)(\|[a-z_]+\|>|/?s>|/?SYS>|/?INST\])"
-PIECE_TURNS, LONG = 512, 4096
+PIECE_TURNS, PIECE_BYTES, LONG = 512, 32 << 20, 4096
 SCHEMA = "conv_id long, piece long, turns long, text binary, loss_starts array<int>, loss_lengths array<int>"
 
 
@@ -70,14 +70,24 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
     return buffer, np.append(to[:, 0], ends[-1] if n else 0), to[:, 3], lengths[:, 3]
 
 
-def _format(piece_turns: int):
+def _parts(batch: pa.RecordBatch, turns: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most so many turns and bytes, or one turn."""
+    size = np.cumsum(sum(np.diff(_bytes(batch.column(c))[1]) for c in ("role", "text")))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))
+        end = min(max(end, at + 1), at + turns, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _format(piece_turns: int, piece_bytes: int):
     """Formats a partition ordered by conversation and turn; a piece is a run of one's turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, done, held = None, 0, []
         for batch in batches:
-            for at in range(0, batch.num_rows, piece_turns):
-                rows = batch.slice(at, piece_turns)
+            for rows in _parts(batch, piece_turns, piece_bytes):
                 conv = rows.column("conv_id").fill_null(0).to_numpy()
                 null = rows.column("conv_id").is_null().to_numpy(zero_copy_only=False)
                 first = np.flatnonzero(np.concatenate([[True], (conv[1:] != conv[:-1]) | (null[1:] != null[:-1])]))
@@ -102,13 +112,15 @@ def _format(piece_turns: int):
     return run
 
 
-def format_chat(conversations: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
+def format_chat(conversations: DataFrame, piece_turns: int = PIECE_TURNS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Formats conversations, one row a turn, into text with the spans of what carries loss.
 
     Returns per piece conv_id, piece (from 0; a conversation is as many pieces as its turns need, most
     have one), turns, text (UTF-8 bytes) and the starts and lengths in bytes of the assistant turns'
     texts. A conversation's pieces, in order, are its formatted text; they follow each other in one
-    partition. Memory in a task is `piece_turns` turns, however long a conversation is.
+    partition. A piece is at most `piece_turns` turns and `piece_bytes` bytes, or one turn, however long a conversation
+    is; a task holds one piece beside its input batch. One conversation is one task's, as its digests are over its turns in
+    their order.
 
     Turns are ordered by turn, then role, then text, nulls first, so repeated rows all stay. A null
     role or text is empty. Rows with a null conv_id are one conversation. Other columns aren't read.
@@ -116,7 +128,7 @@ def format_chat(conversations: DataFrame, piece_turns: int = PIECE_TURNS) -> Dat
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format(piece_turns), SCHEMA)
+    return rows.select("conv_id", "role", "text").mapInArrow(_format(piece_turns, piece_bytes), SCHEMA)
 
 
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(MIDDLE) + "(.*?)" + re.escape(END), re.S)

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
+def vocabulary_file(name: str) -> str:
+    """A vocabulary's place on this machine, so that workers find their own: a path, or the name of a public file."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import vocabulary_file
+
 CAPACITY, END_ID, LEAST = 2048, 1, 128
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
@@ -37,7 +40,7 @@ class _Tokens:
     def __init__(self, tokenizer: str, ranks: str | None) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.whole = Tokenizer.from_file(vocabulary_file(tokenizer))
         self.fast = None
         if ranks:
             import base64
@@ -45,7 +48,7 @@ class _Tokens:
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as lines:
+            with open(vocabulary_file(ranks), "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
@@ -58,9 +61,15 @@ class _Tokens:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.lru_cache(2)
+def _tokens(tokenizer: str, ranks: str | None) -> _Tokens:
+    """One for each worker process."""
+    return _Tokens(tokenizer, ranks)
+
+
 def _pack(tokenizer: str, ranks: str | None, capacity: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens(tokenizer, ranks)
+        tokens = _tokens(tokenizer, ranks)
         sequence = TaskContext.get().partitionId() << 40
         bins: dict[int, list] = {}
         rows: list[tuple] = []

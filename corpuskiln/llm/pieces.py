@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, vocabulary_file
 
 #: Characters of a chunk; matrices that one task multiplies.
 CHUNK, FAN = 32768, 64
@@ -32,7 +32,7 @@ class Vocabulary:
     def __init__(self, model: str) -> None:
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(model))
         sp = self.library
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}

@@ -49,14 +49,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity_model, toxicity_model.toxicity(documents, table(spark, sf_dir, "labels")))
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return packing.with_digest(pieces)
 
 
@@ -70,7 +64,7 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
+    model = "piece_bpe_32k.model"
     return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model, then=pieces.check(model)))
 
 

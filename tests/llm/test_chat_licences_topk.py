@@ -33,6 +33,8 @@ def test_digests(spark):
     rows += [(99, None, "assistant", "b", 1, "p"), (99, 1, "assistant", "b", 1, "p"), (99, 1, "assistant", "b", 1, "p"), (99, 1, "assistant", "a", 1, "p")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece int, turns string")
     got = {r.conv_id: r for r in chat.digests(chat.format_chat(frame, 3)).collect()}
+    by_bytes = chat.format_chat(frame, 100, 6000)
+    assert sorted(map(str, chat.digests(by_bytes).collect())) == sorted(map(str, got.values())) and by_bytes.where("length(text) > 6000").where("turns > 1").isEmpty()
     want = {}
     for c, t, role, words, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", words or ""))

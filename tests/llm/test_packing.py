@@ -23,6 +23,14 @@ def test_cuts(n):
     assert all(x >= packing.LEAST and 2048 // x * x > 2048 - 2048 // x for x in found[:-1])
 
 
+@given(st.lists(st.sampled_from(["a", "Ab", "'ll", "'S", "12", "3", " ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u3000", "é", "e\u0301", "中文", "😀", "👩‍👩‍👧", "\u200b", "\ufeff", "\x00", "ß", "ſ", "İ", "٣", "²", "_", "!?", "<|endoftext|>", "<|"]) | st.text(max_size=4), max_size=30).map("".join))
+@settings(max_examples=2000, deadline=None)
+def test_ids_are_those_of_tokenizers(words):
+    tokens = packing._tokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    words = words.encode("utf-8", "ignore").decode()
+    assert tokens.ids(words).tolist() == tokens.whole.encode(words, add_special_tokens=False).ids
+
+
 def check(rows, texts):
     tokenizer = Tokenizer.from_file(JSON)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
