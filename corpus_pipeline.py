@@ -16,7 +16,6 @@ from corpuskiln.llm import packing
 from corpuskiln.llm.common import cut, table
 from corpuskiln.llm.near_dedup import near_duplicates
 from corpuskiln.llm.quality import quality
-from corpuskiln.llm.queries import vocabulary
 from corpuskiln.llm.toxicity import held_out_rows, toxicity, usable
 
 
@@ -54,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
