@@ -114,7 +114,10 @@ def presence(beats: DataFrame, quiet: str = "40 seconds", key: str = "device") -
 
 
 def open_connections(changes: DataFrame, key: str = "device") -> DataFrame:
-    """Adds open: how many connections a key has after each change (ts, seq, delta)."""
+    """Adds open: how many connections a key has after each change (ts, seq, delta).
+
+    A key's changes are one task's, which streams them in order and can spill.
+    """
     return changes.withColumn("open", F.sum("delta").over(Window.partitionBy(key).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)))
 
 

@@ -48,11 +48,12 @@ def event_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT path, 'watch' AS change FROM (SELECT user_id AS path FROM events WHERE event_id % 100 < 40 EXCEPT SELECT user_id FROM events WHERE event_id % 100 >= 99)
-UNION ALL SELECT path, 'unwatch' FROM (SELECT user_id AS path FROM events WHERE event_id % 100 >= 99 EXCEPT SELECT user_id FROM events WHERE event_id % 100 < 40)""")
+WITH p AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS path, event_id % 2 AS side FROM events), b AS (SELECT path FROM p WHERE side = 1), a AS (SELECT path FROM p WHERE side = 0)
+SELECT path, 'watch' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT path, 'unwatch' FROM (FROM b EXCEPT FROM a)""")
 def watch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"))
-    return E.watch_changes(events.where("event_id % 100 >= 99").select("path"), events.where("event_id % 100 < 40").select("path"))
+    path = F.concat(F.col("user_id"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    events = table(spark, sf_dir, "events").select("event_id", path.alias("path"))
+    return E.watch_changes(events.where("event_id % 2 = 1").select("path"), events.where("event_id % 2 = 0").select("path"))
 
 
 @query("SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
@@ -123,8 +124,8 @@ def last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n.event_id AS seq, c.event_id AS connection FROM events n JOIN events c ON n.user_id = c.user_id AND n.event_type = 'purchase' AND c.event_type = 'signup' AND c.event_id % 4 = 0""")
+SELECT n.event_id AS seq, c.event_id AS connection FROM events n JOIN events c ON n.user_id = c.user_id AND n.event_type = 'purchase' AND c.event_type = 'signup'""")
 def notify_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "device")
-    open_ones = events.where("event_type = 'signup' and event_id % 4 = 0").select("device", F.col("event_id").alias("connection"))
+    open_ones = events.where("event_type = 'signup'").select("device", F.col("event_id").alias("connection"))
     return E.fan_out(events.where("event_type = 'purchase'").select("device", F.col("event_id").alias("seq")), open_ones).select("seq", "connection")
