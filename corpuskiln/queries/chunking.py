@@ -19,23 +19,25 @@ def _lines(text: str) -> str:
     return f"CASE WHEN {text} LIKE '%' || chr(10) THEN string_split({text}, chr(10))[:-2] ELSE string_split({text}, chr(10)) END"
 
 
-def _packed(units: str, size: int = SIZE, overlap: int = OVERLAP) -> str:
+def _packed(units: str, size: int | str = SIZE, overlap: int = OVERLAP, gap: int = 0) -> str:
     """SQL steps from units (doc_id, sec, base, l) to chunks (doc_id, sec, n, a, b, content).
 
+    size: a number or a column of units; gap: what one more line takes besides its bytes.
+
     State of a unit: i and j (the chunk is [i, j)), held bytes, k (where the next one may begin), covered
     bytes; mode 0 adds a line, 1 has a chunk, 2 walks back.
     """
     return f"""{units},
-s AS (SELECT doc_id, sec, base, l, list_transform(l, lambda x: strlen(x)) AS z, len(l) AS n FROM units WHERE len(l) > 0),
-walk AS (SELECT doc_id, sec, z, n, 1 AS i, 1 AS j, 0::BIGINT AS held, 1 AS k, 0::BIGINT AS covered, 0 AS mode FROM s
+s AS (SELECT doc_id, sec, base, l, list_transform(l, lambda x: strlen(x)) AS z, len(l) AS n, {size} AS room FROM units WHERE len(l) > 0),
+walk AS (SELECT doc_id, sec, z, n, room, 1 AS i, 1 AS j, 0::BIGINT AS held, 1 AS k, 0::BIGINT AS covered, 0 AS mode FROM s
   UNION ALL
-  SELECT doc_id, sec, z, n,
+  SELECT doc_id, sec, z, n, room,
     CASE WHEN mode = 1 AND ({overlap} = 0 OR j > n) THEN j WHEN mode = 2 AND NOT (k > i AND covered < {overlap}) THEN CASE WHEN k = i THEN j ELSE k END ELSE i END,
-    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] <= {size}) THEN j + 1 WHEN mode = 2 AND NOT (k > i AND covered < {overlap}) THEN CASE WHEN k = i THEN j ELSE k END ELSE j END,
-    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] <= {size}) THEN held + z[j] + CASE WHEN held > 0 THEN 1 ELSE 0 END WHEN mode = 0 THEN held ELSE 0 END,
+    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] + {gap} <= room) THEN j + 1 WHEN mode = 2 AND NOT (k > i AND covered < {overlap}) THEN CASE WHEN k = i THEN j ELSE k END ELSE j END,
+    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] + {gap} <= room) THEN held + z[j] + CASE WHEN held > 0 THEN 1 ELSE 0 END WHEN mode = 0 THEN held ELSE 0 END,
     CASE WHEN mode = 1 THEN j WHEN mode = 2 AND k > i AND covered < {overlap} THEN k - 1 ELSE k END,
     CASE WHEN mode = 1 THEN 0 WHEN mode = 2 AND k > i AND covered < {overlap} THEN covered + z[k - 1] + 1 ELSE covered END,
-    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] <= {size}) THEN 0 WHEN mode = 0 THEN 1 WHEN mode = 1 AND ({overlap} = 0 OR j > n) THEN 0 WHEN mode = 1 THEN 2 WHEN k > i AND covered < {overlap} THEN 2 ELSE 0 END
+    CASE WHEN mode = 0 AND j <= n AND (j = i OR held + z[j] + {gap} <= room) THEN 0 WHEN mode = 0 THEN 1 WHEN mode = 1 AND ({overlap} = 0 OR j > n) THEN 0 WHEN mode = 1 THEN 2 WHEN k > i AND covered < {overlap} THEN 2 ELSE 0 END
   FROM walk WHERE NOT (mode = 1 AND j > n)),
 cut AS (SELECT doc_id, sec, base, i, j, ltrim(array_to_string(l[i:j - 1], chr(10)), chr(10)) AS content FROM walk JOIN s USING (doc_id, sec) WHERE mode = 1)"""
 
@@ -107,16 +109,31 @@ def _as_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, "rs").withColumn("text", text)
 
 
-@query(None)
+def _code_sql(size: int, overlap: int) -> str:
+    """SQL steps to `parts` (doc_id, pos, start_line, end_line, content): the chunks of _as_code's texts.
+
+    A long function's paragraphs are its head with the first statement, each further statement, and the closing brace.
+    """
+    units = f"""
+WITH RECURSIVE t AS (SELECT doc_id, 'fn f' || doc_id || '(a: u8) {{' AS head, list_transform(string_split(text, chr(10)), lambda x: '    // ' || regexp_replace(x, '[{{}}"]', ' ', 'g')) AS b FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, len(b) AS k, head || chr(10) || array_to_string(b, chr(10) || chr(10)) || chr(10) || chr(10) || '}}' AS whole FROM t),
+units AS (SELECT doc_id, 0 AS sec, 0 AS base, [head || chr(10) || b[1]] || b[2:] || ['}}'] AS l, {size} - strlen(head) - 1 AS own FROM f WHERE strlen(whole) > {size})"""
+    return f"""{_packed(units, "own", overlap, 1)},
+p AS (SELECT c.*, head, b, strlen(head || chr(10) || b[1]) > room AND i = 1 AND strlen(head || b[1]) > {size} AS apart FROM cut c JOIN f USING (doc_id) JOIN s USING (doc_id)),
+parts AS (SELECT doc_id, i AS pos, CASE WHEN i = 1 THEN 3 ELSE 2 * i + 2 END AS start_line, CASE WHEN j = 2 THEN 4 ELSE 2 * (j - 1) + 2 END AS end_line, head || chr(10) || content AS content FROM p WHERE NOT apart
+  UNION ALL SELECT doc_id, 0, 3, 3, head || chr(10) || head FROM p WHERE apart UNION ALL SELECT doc_id, 1, 4, 4, head || chr(10) || b[1] FROM p WHERE apart
+  UNION ALL SELECT doc_id, 1, 3, 2 * k + 4, whole FROM f WHERE strlen(whole) <= {size}
+  UNION ALL SELECT doc_id, k + 2, 2 * k + 6, 2 * k + 6, 'pub fn small() {{ 1 }}' FROM f)"""
+
+
+@query(f"{_code_sql(SIZE, OVERLAP)} SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS chunk_index, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, md5(content) AS content FROM parts")
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(chunks(_as_code(spark, sf_dir)))
 
 
-@query(None)
+@query(f"{_code_sql(200, 20)} SELECT doc_id AS key, count(*) AS chunks, count(CASE WHEN starts_with(content, 'fn f' || doc_id || '(a: u8) {{') THEN 1 END) AS prefixed FROM parts GROUP BY doc_id")
 def signature_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks of a document's code are under the signature of the function they are from."""
     cut = chunks(_as_code(spark, sf_dir), 200, 20)
     of_first = F.startswith("content", F.concat(F.lit("fn f"), F.col("key").cast("string"), F.lit("(a: u8) {")))
     return cut.groupBy("key").agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(of_first, 1)).alias("prefixed"))
-
-
