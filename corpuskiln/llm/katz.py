@@ -401,8 +401,8 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
 
     A null or empty text has the end alone. A null doc_id is kept; held_out decides about it. Repeated
     rows are scored each, and learnt each. Without training documents N = V = 0 and score equals
-    base_score. Documents are read once for each order and must come in the same order again, as from files or a written
-    table; the job fails if they don't. Columns other than doc_id and text aren't read. An empty table gives an empty result.
+    base_score. Documents are read twice and must come in the same order again, as from files or a written table; the
+    job fails if they don't. Columns other than doc_id and text aren't read. An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~held_out).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
@@ -414,7 +414,7 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
     total, kinds = (int(n or 0) for n in answers.agg(F.sum("total"), F.sum("kinds")).first())
     room = float(total + kinds + 1)
     hot = max(1000, total // parts // 4, total // MOST_HOT)
-    said = docs.mapInArrow(_cells(parts, False), "cell long, block binary")
+    said = cut(docs.mapInArrow(_cells(parts, False), "cell long, block binary"), "cells")
     replies = answers.select("cell", F.lit(1).alias("level"), "part", "block")
     # A bigram's lower mass is one sum of counts; above, the lower order's classes are discounted as that order is.
     lower, discount = np.append(1 / room, np.zeros(LARGEST_GT)), []
