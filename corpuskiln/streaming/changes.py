@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -65,6 +65,16 @@ def debounced(events: DataFrame, quiet_ms: int = 500) -> DataFrame:
     )
 
 
+def arrivals(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
+    """A stream of events (path, kind, ts, seq) of files as they come into a folder, also below it.
+
+    Only listings are read, no contents. A file that changes later or goes is not seen; that takes a source of such events.
+    """
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folder)
+    at = F.col("modificationTime")
+    return found.select("path", F.lit("upsert").alias("kind"), at.alias("ts"), F.unix_micros(at).alias("seq"))
+
+
 def indexing(events: DataFrame, store: Store, embedder: Embedder, read: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
     """A writer that keeps the store up to date with events (path, kind, ts, seq).
 

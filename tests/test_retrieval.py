@@ -1,8 +1,12 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import rerank, retrieval
-from corpuskiln.operators.embedding import HashEmbedder, HttpEmbedder, Swappable, Unavailable, embedded, mean_pool
+from corpuskiln.operators.embedding import HashEmbedder, HttpEmbedder, Swappable, Unavailable, available, embedded, mean_pool
 
 Q = [0.5, 0.5, 0.5, 0.5]
 
@@ -81,6 +85,35 @@ def test_embedders(spark):
     assert mean_pool(np.array([[[1.0], [3.0], [9.0]]]), np.array([[1, 1, 0]])).tolist() == [[2.0]]
 
 
+def test_http_embedder(spark):
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"model": asked["model"], "embeddings": [[float(len(t)), 1.0] for t in asked["input"]]}).encode()
+            self.send_response(200 if self.path == "/api/embed" else 404)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/"
+        e = HttpEmbedder(url, "m", 2)
+        assert e.answers() and available(e, HashEmbedder(2)) is e and e.embed(["abc"]).tolist() == [[3.0, 1.0]]
+        rows = embedded(spark.createDataFrame([(k, "x" * k) for k in range(70)], "chunk_id long, content string"), e).collect()
+        assert [r.embedding[0] for r in rows] == [float(k) for k in range(70)]
+        wrong = HttpEmbedder(url, "m", 3)
+        with pytest.raises(ValueError, match="dimension 3"):
+            wrong.embed(["abc"])
+        other = HashEmbedder(3)
+        assert available(wrong, other) is other
+    finally:
+        server.shutdown()
+
+
 def test_rerank(tables):
     got = rerank.reranked(tables[1], "busy moon", rerank.Overlap()).collect()
     assert [(r.chunk_id, r.score) for r in got] == [(1, 0.5), (0, 0.0)]

@@ -5,7 +5,8 @@ from datetime import datetime
 from corpuskiln.operators.embedding import HashEmbedder
 from corpuskiln.operators.store import Store
 from corpuskiln.plans.search import status
-from corpuskiln.streaming.changes import debounced, first_uploads, indexing, notified, request_counts
+from corpuskiln.sources.files import read_files
+from corpuskiln.streaming.changes import arrivals, debounced, first_uploads, indexing, notified, request_counts
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "watcher string, path string, kind string, ts timestamp, seq long"
@@ -28,6 +29,23 @@ def test_indexing_follows_events(spark, tmp_path):
     assert status(store) == {"files": 1, "chunks": 1}
 
 
+def test_arriving_files_are_indexed(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    store = Store(spark, str(tmp_path / "store"), 8)
+
+    def run():
+        read = lambda paths: read_files(spark, [r.path for r in paths.collect()])[0]
+        indexing(arrivals(spark, str(tmp_path / "in"), "*.md"), store, HashEmbedder(8), read, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+
+    (tmp_path / "in" / "a.md").write_text("# one")
+    (tmp_path / "in" / "b.txt").write_text("two")
+    run()
+    assert status(store) == {"files": 1, "chunks": 1}
+    (tmp_path / "in" / "deep" / "c.md").write_text("# three")
+    run()
+    assert status(store) == {"files": 2, "chunks": 2}
+
+
 def test_debounce_gives_the_last_kinds_once_it_is_quiet(spark, tmp_path):
     rows = [("w", "/a", "upsert", T0, 1), ("w", "/a", "remove", T0, 2), ("w", "/b", "upsert", T0, 3)]
     spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
