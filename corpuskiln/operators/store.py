@@ -71,9 +71,13 @@ class Store:
         fs, log = self._fs(), self._path("_log")
         numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(log)), reverse=True) if fs.exists(log) else []
         for n in numbers:
-            text = self.spark.read.text(f"{self.root}/_log/{n:09d}", wholetext=True).first()
-            if text and text[0].endswith("]"):  # an entry that is still being written isn't one yet
-                return n, json.loads(text[0])
+            entry = fs.open(self._path(f"_log/{n:09d}"))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(entry, "UTF-8")
+            finally:
+                entry.close()
+            if text.endswith("]"):  # an entry that is still being written isn't one yet
+                return n, json.loads(text)
         return 0, []
 
     def _commit(self, update: Callable[[list[str]], list[str]]) -> None:
@@ -108,8 +112,13 @@ class Store:
             rows = rows.join(gone, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_until")), "left_anti")
         return rows.drop("_at")
 
+    def tables(self, *names: str) -> list[DataFrame]:
+        """Several tables as one log entry has them."""
+        live = self._latest()[1]
+        return [self._live(live, name) for name in names]
+
     def table(self, name: str) -> DataFrame:
-        return self._live(self._latest()[1], name)
+        return self.tables(name)[0]
 
     def _write(self, change: str, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.root}/changes/{change}/{name}"
@@ -173,4 +182,5 @@ class Store:
 
     def stats(self) -> DataFrame:
         """One row: files and chunks."""
-        return self.table("files").agg(F.count(F.lit(1)).alias("files")).join(F.broadcast(self.table("lengths").agg(F.count(F.lit(1)).alias("chunks"))))
+        files, lengths = self.tables("files", "lengths")
+        return files.agg(F.count(F.lit(1)).alias("files")).join(F.broadcast(lengths.agg(F.count(F.lit(1)).alias("chunks"))))

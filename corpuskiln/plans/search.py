@@ -53,13 +53,13 @@ def search(
     use_hybrid = config.hybrid_search if use_hybrid is None else use_hybrid
     threshold = config.relevance_threshold if threshold is None else threshold
     threshold = threshold if threshold is not None and 0 <= threshold <= 1 else None
-    pieces = store.table("chunks").withColumnRenamed("path", "file_path")
+    pieces, vectors, *said = store.tables("chunks", "vectors", "postings", "lengths")
+    pieces = pieces.withColumnRenamed("path", "file_path")
     if not query.strip():
         return pieces.withColumn("score", F.lit(0.0)).withColumn("score_kind", F.lit("none")).select(*RESULT).limit(0)
-    vectors = store.table("vectors")
     q = embedder.embed([query])[0].tolist()
     if use_hybrid:
-        hits, kind = hybrid(vectors, None, q, query, top_k, threshold, index=(store.table("postings"), store.table("lengths"))), "rrf"
+        hits, kind = hybrid(vectors, None, q, query, top_k, threshold, index=tuple(said)), "rrf"
     else:
         hits, kind = with_threshold(nearest(vectors, q, top_k), threshold).withColumnRenamed("distance", "score"), "distance"
     best = hits.select("chunk_id", "score").collect()
