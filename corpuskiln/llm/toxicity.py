@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .words import buffer_of, groups, hashes, mix, spans
 
 _U = np.uint64
-WIDTH, SAMPLE, SHARD_ROWS, EPOCHS = 1 << 20, 16000, 8000, 2
+WIDTH, SAMPLE, SHARD_ROWS, EPOCHS = 1 << 20, 16000, 8000, 3
 ALPHA, BETA, L2 = 0.1, 1.0, 0.01
 #: L1 strength for a full shard; the noise it must exceed grows with the root of the rows.
 L1 = 30.0
