@@ -60,21 +60,25 @@ class Vocabulary:
     def may_follow(self, left: str, right: str) -> bool:
         got = self.beside.get((left, right))
         if got is None:
-            if len(self.beside) > 100_000:
+            if len(self.beside) > 200_000:
                 self.beside.clear()
             got = self.beside[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
     def stretch_ids(self, text: str) -> list[int]:
-        """Ids of a stretch that no piece crosses the ends of, by its own lattice; short ones, mostly words, are kept."""
+        """Ids of a stretch that no piece crosses the ends of: its one path through the lattice.
+
+        Short stretches, mostly words, are kept; for them the merges propose the path, which is the lattice's if
+        all its neighbours may stand side by side.
+        """
         got = self.stretches.get(text)
-        if got is None:
-            got = _Chunk(self, text, 0).lattice_ids(0, 0, len(text))
-            if len(text) <= 64:
+        if got is None and len(text) <= 64:
+            path = self.merged(text)
+            if self.may_follow("", path[0]) and all(self.may_follow(a, b) for a, b in itertools.pairwise(path)):
                 if len(self.stretches) > 200_000:
                     self.stretches.clear()
-                self.stretches[text] = got
-        return got
+                got = self.stretches[text] = [i for piece in path for i in self.piece_ids(piece)]
+        return _Chunk(self, text, 0).lattice_ids(0, 0, len(text)) if got is None else got
 
     def piece_ids(self, piece: str) -> list[int]:
         own = self.ids.get(piece)
@@ -122,7 +126,7 @@ class _Chunk:
         last = bytearray(stop - start + 1)
         dead = 0
         for p in range(max(start, self.before) + 1, stop + 1):
-            for n in range(1, min(most, p - start) + 1):
+            for n in range(min(most, p - start), 0, -1):  # one of them fits, mostly a long one
                 q = p - n
                 m = length if q == start else last[q - start]
                 if q != start and not m:
