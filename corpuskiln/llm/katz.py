@@ -15,7 +15,7 @@ from .common import cut
 from .words import groups, mix, word_hashes
 
 _U = np.uint64
-ORDER, CELL_BYTES, PART_BYTES, LARGEST_GT = 3, 6 << 20, 8 << 20, 5
+ORDER, CELL_BYTES, PART_BYTES, LARGEST_GT = 3, 4 << 20, 8 << 20, 5
 #: Contexts with more than one in MOST_HOT of all tokens, at least, are dealt over several parts: fewer than MOST_HOT.
 MOST_HOT = 16384
 #: Ids of what is no word of the corpus: the end, a document's start, and a word or context not learnt.
@@ -207,6 +207,7 @@ class _Cell:
         full = np.full(len(self.at), -1, np.int64)
         full[keep] = turned[place]
         grams = _Grams(full, None, None, own[order], lonely)
+        grams.common = common[order]
         grams.part, grams.contexts, grams.last = part[order].astype(np.int64), ids[order], self.words[w[order]]
         grams.seen = np.bincount(place, self.train[self.doc[keep]], len(keys)).astype(np.int64)[order]
         grams.once = times[order] == 1
@@ -220,7 +221,7 @@ class _Cell:
 def _ask(order: int, parts: int, hot: int, starts: int):
     """Per cell and part: each distinct n-gram once, with how often the cell's training documents hold it.
 
-    A block: contexts (ascending, as steps), their numbers of n-grams and counts, then per n-gram its last token (as
+    A block: contexts (ascending, as steps), their numbers of n-grams and whether they are common, then per n-gram its last token (as
     steps within a context), the count that the n-gram without its first token has, how often it was seen and whether
     the cell holds it only once; how many lonely tokens the cell has (in its first block); and, above bigrams, per context the
     count of the context without its first token.
@@ -237,7 +238,7 @@ def _ask(order: int, parts: int, hot: int, starts: int):
             last = g.last[a:b] + 1
             steps = np.where(new, last, last - np.append(0, last[:-1])[: b - a])
             extra = [] if g.lower_own is None else [_small(g.lower_own[firsts])]
-            columns = [np.diff(g.contexts[firsts], prepend=0), _small(np.diff(np.append(firsts, b))), _small(g.own[firsts]), _small(steps), _small(g.lower[a:b]), _small(g.seen[a:b]), np.packbits(g.once[a:b])]
+            columns = [np.diff(g.contexts[firsts], prepend=0), _small(np.diff(np.append(firsts, b))), np.packbits(g.common[firsts]), _small(steps), _small(g.lower[a:b]), _small(g.seen[a:b]), np.packbits(g.once[a:b])]
             blocks.append(squeeze(*columns, np.array([0 if blocks else lonely]), *extra))
         own = [int(g.part[a]) if b else 0 for a, b in edges]
         return pa.table([pa.array([x.cell] * len(blocks), pa.int64()), pa.array(own, pa.int32()), pa.array(blocks, pa.binary())], names=["cell", "part", "block"])
@@ -251,7 +252,7 @@ _PART_SCHEMA = "part int, seen array<long>, cells array<long>, totals array<bina
 _WIDTH = 2 * (LARGEST_GT + 1) + 1
 
 
-def _count_grams(order: int, hot: int, parts: int, more: bool):
+def _count_grams(order: int, parts: int, more: bool):
     """Adds up one part's n-grams. Keeps each cell's n-grams' totals and ids in the cell's order and, of contexts whose
     weight some cell needs, the statistics. more: an order above will need to know the n-grams."""
 
@@ -261,8 +262,8 @@ def _count_grams(order: int, hot: int, parts: int, more: bool):
         for b in blocks:
             b[0] = np.cumsum(b[0].astype(np.int64))
         contexts, which = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
-        own = np.zeros(len(contexts), np.int64)
-        own[which] = np.concatenate([b[2].astype(np.int64) for b in blocks])
+        common = np.zeros(len(contexts), bool)
+        common[which] = np.concatenate([np.unpackbits(b[2], count=len(b[0])) for b in blocks]).astype(bool)
         many = np.concatenate([b[1].astype(np.int64) for b in blocks])
         v = np.repeat(which, many)
         steps = np.append(0, np.cumsum(np.concatenate([b[3].astype(np.int64) for b in blocks])))
@@ -288,7 +289,8 @@ def _count_grams(order: int, hot: int, parts: int, more: bool):
             kind = np.minimum(low, LARGEST_GT + 1)
             for r in range(1, LARGEST_GT + 2):
                 stats[:, LARGEST_GT + r] = np.bincount(context, np.where(kind == r, mass, 0), len(contexts))
-        stats[:, -1] = own
+        # A context is seen as often as its followers are after it; a common one's parts add up.
+        stats[:, -1] = np.bincount(context, often, len(contexts))
         seen = [int((often == r).sum()) for r in range(1, LARGEST_GT + 2)]
         seen[0] += sum(int(b[7][0]) for b in blocks)
         total, of = often[gram], v
@@ -300,7 +302,6 @@ def _count_grams(order: int, hot: int, parts: int, more: bool):
         named = (total > 0) & ~alone if more else np.zeros(len(gram), bool)
         per = zip(np.split(total, ends), uses, np.split(alone, ends), np.split(named, ends), np.split(gram, ends), strict=True)
         totals = [squeeze(_small(t), _small(u), np.packbits(a), np.diff(i[n] * parts + own_part, prepend=0)) for t, u, a, n, i in per]
-        common = (own > hot) | (contexts == START)
         hot_at = np.flatnonzero(common)
         values = [[own_part], [seen], [table.column("cell").to_pylist()], [totals], [contexts[used]], [common[used]], [squeeze(*stats[used].T)], [contexts[hot_at].tolist()], [stats[hot_at].ravel().tolist()]]
         types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())]
@@ -420,11 +421,11 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
     lower, discount = np.append(1 / room, np.zeros(LARGEST_GT)), []
     for n in range(2, order + 1):
         grams = said.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_ask(n, parts, hot, starts), "cell long, part int, block binary")
-        counted = cut(grams.groupBy("part").applyInArrow(_count_grams(n, hot, parts, n < order), _PART_SCHEMA), "grams")
+        counted = cut(grams.groupBy("part").applyInArrow(_count_grams(n, parts, n < order), _PART_SCHEMA), "grams")
         seen = counted.agg(*[F.sum(F.col("seen")[k]) for k in range(LARGEST_GT + 1)]).first()
         discount.append(discounts([int(x or 0) for x in seen]))
         stats = counted.select(F.posexplode("hot_first").alias("i", "first"), "hot_stats").select("first", F.slice("hot_stats", F.col("i") * _WIDTH + 1, F.lit(_WIDTH)).alias("s"))
-        added = stats.groupBy("first").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_WIDTH - 1)], F.max(F.col("s")[_WIDTH - 1]).alias("own")).toPandas()
+        added = stats.groupBy("first").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_WIDTH)]).toPandas()
         weights = np.log10(backoff_weights(added.drop(columns="first").to_numpy(np.float64), discount[-1], lower)) if len(added) else []
         shares = counted.mapInArrow(_finish(n, discount[-1], lower, dict(zip(added["first"].tolist(), weights, strict=True))), "cell long, level int, part int, block binary")
         replies = replies.unionByName(shares)

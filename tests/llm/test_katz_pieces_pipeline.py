@@ -108,7 +108,7 @@ def test_katz_sends_an_ngram_once_for_a_cell(monkeypatch):
         assert grams.num_rows == 1
         count = katz.spread(grams.column("block")[0].as_py())[5]
         assert len(count) == most and count.max() == 50_002 - 2 * (n - 1)
-        counted = katz._count_grams(n, 1000, 1, n < 3)(grams)
+        counted = katz._count_grams(n, 1, n < 3)(grams)
         (part,) = counted.to_pylist()
         assert len(katz.spread(part["totals"][0])[0]) == most and len(grams.column("block")[0].as_py()) + len(part["totals"][0]) < 1000
         hot = {f: -1.0 for f in part["hot_first"]}
