@@ -12,6 +12,7 @@ from . import chat, katz, licences, packing, pieces, topk
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 from .common import table
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .near_vectors import near_vectors
 
@@ -68,12 +69,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model, then=pieces.check(model)))
 
 
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     escaped = "regexp_replace({}, '" + chat.CONTROL + r"', '\1\\\2\3', 'g')"
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    plain = f"list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     fixed = len(chat.START + chat.MIDDLE + chat.END)
     return {
         "op1_chat_format": f"""
@@ -111,4 +120,14 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+        "op13_contamination": f"""
+WITH b AS (SELECT item_id, {plain} AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS k, doc_id, {plain} AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT k, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+o AS (SELECT DISTINCT k, i, n, item_id FROM dw JOIN iw USING (n, s)),
+h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM o) GROUP BY k),
+l AS (SELECT k, count(x) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM o) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN l USING (k)""",
     }
