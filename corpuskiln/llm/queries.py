@@ -15,6 +15,7 @@ from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .near_vectors import near_vectors
+from .spelling import ONE_IN, spelling_variants, word_counts
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +70,26 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model, then=pieces.check(model)))
 
 
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), one_in=ONE_IN))
+
+
 def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _crc32(text: str) -> str:
+    """SQL of the crc32 of a text of characters below U+0100, by a table of its 256 remainders."""
+    remainders = [i for i in range(256)]
+    for _ in range(8):
+        remainders = [c >> 1 ^ 0xEDB88320 * (c & 1) for c in remainders]
+    table_of = f"[{', '.join(map(str, remainders))}]::BIGINT[]"
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, b: xor(a >> 8, ({table_of})[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -120,6 +135,18 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+        "op12_spellings": f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS k, coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS w FROM documents),
+c AS (SELECT d, w, count(*) AS n, {_crc32("d || ':' || w")} AS h FROM r WHERE length(w) >= 6 GROUP BY d, w),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM x WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word))) AS part FROM v),
+p AS (SELECT DISTINCT a.word, b.word AS near FROM g a JOIN g b USING (part) WHERE a.word <> b.word),
+e AS (SELECT p.word, near, n FROM p JOIN v ON near = v.word WHERE length(p.word) <> length(near) OR len(list_filter(range(1, length(near) + 1), lambda i: substr(p.word, i, 1) <> substr(near, i, 1))) = 1),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM e GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON t.next = f.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word) WHERE next IS NULL""",
         "op13_contamination": f"""
 WITH b AS (SELECT item_id, {plain} AS w FROM benchmark),
 d AS (SELECT row_number() OVER () AS k, doc_id, {plain} AS w FROM documents),
