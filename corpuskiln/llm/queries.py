@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, licences, packing, pieces, topk
+from . import chat, katz, licences, packing, pieces, repair, topk
 from . import quality as quality_model
 from . import toxicity as toxicity_model
 from .common import table
@@ -70,6 +70,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.checked(pieces.encode(table(spark, sf_dir, "documents"), model, then=pieces.check(model)))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    rows = given.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("damage")).where("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    damaged = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(F.col("damage") == 3, 2).otherwise(1))))
+    found = repair.audits(repair.repaired(damaged)).withColumnRenamed("conv_id", "_conv")
+    out = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf_dir, "documents"), one_in=ONE_IN))
 
@@ -90,6 +104,19 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, b: xor(a >> 8, ({table_of})[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
 
 
+def _cheapest(steps: str) -> str:
+    """SQL of a conversation's least (cost in nine digits and audit): steps are [initial, fault, '', ''], + where turns may be inserted; four of them, one a state, go from step to step."""
+    add = lambda k, cost, letter: f"lpad(CAST(CAST(left(a[{k}], 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr(a[{k}], 10) || '{letter}'"
+    least = lambda *ways: f"least({', '.join(ways)})"
+    stays, more = "b[2] NOT IN ('blank', 'duplicate')", "CASE b[2] WHEN 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda k, c: f"CASE WHEN {stays} AND b[1] = '{c}' THEN {add(k, more, 'K')} END"
+    other = lambda k: f"CASE WHEN {stays} THEN {add(k, f'1 + {more}', 'R')} END"
+    insert = f"[a[1], a[2], {least('a[3]', *(add(k, 5, 'I') for k in (1, 2, 4)))}, {least('a[4]', add(3, 5, 'I'))}]"
+    turn = f"[{add(1, 2, 'D')}, {least(add(2, 2, 'D'), keep(1, 's'))}, {least(add(3, 2, 'D'), *(way for k in (1, 2, 4) for way in (keep(k, 'u'), other(k))))}, {least(add(4, 2, 'D'), keep(3, 'a'), other(3))}]"
+    end = f"list_reduce(list_prepend(['000000000', NULL, NULL, NULL], {steps}), lambda a, b: CASE WHEN b[2] = '+' THEN {insert} ELSE {turn} END)"
+    return f"list_min(list_transform([{end}], lambda a: least(a[1], a[4])))"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -135,6 +162,22 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+        "op11_repair": f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {_crc32("k")} % 20 AS h FROM k),
+x AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+r AS (SELECT *, row_number() OVER c AS i, left(role, 1) AS c, coalesce(lag(left(role, 1)) OVER c || left(role, 1), 'ua') AS pair, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM x WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  {_cheapest("list_concat(flatten(list([['', '+', '', ''], [c, fault, '', '']] ORDER BY i)), [['', '+', '', ''], ['', '+', '', '']])")} AS best FROM f GROUP BY conv_id),
+e AS (SELECT conv_id, j, substr(best, j + 9, 1) AS l, j - length(replace(substr(best, 10, j), 'I', '')) AS skipped FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS j FROM a)),
+p AS (SELECT e.conv_id, j, l, f.role, f.c, CASE l WHEN 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY e.conv_id ORDER BY j) - max(CASE WHEN l = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS m
+  FROM e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND l <> 'I' AND f.i = j - skipped WHERE l <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN m % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS t FROM p GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(left(best, 9), '0') AS BIGINT) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON o.conv_id IS NOT DISTINCT FROM t.conv_id""",
         "op12_spellings": f"""
 WITH RECURSIVE r AS (SELECT row_number() OVER () AS k, coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS w FROM documents),
 c AS (SELECT d, w, count(*) AS n, {_crc32("d || ':' || w")} AS h FROM r WHERE length(w) >= 6 GROUP BY d, w),
