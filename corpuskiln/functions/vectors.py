@@ -19,9 +19,9 @@ def norm(vector: Column) -> Column:
 
 
 def normalised(vector: Column) -> Column:
-    """The unit vector; a zero vector stays as it is."""
-    length = norm(vector)
-    return F.transform(doubles(vector), lambda x: F.when(length > 0, x / length).otherwise(x))
+    """The unit vector; a zero vector stays as it is. The norm is computed once a row, as a lambda's variable."""
+    unit = lambda length: F.transform(doubles(vector), lambda x: F.when(length > 0, x / length).otherwise(x))
+    return F.transform(F.array(norm(vector)), unit)[0]
 
 
 def has_dimension(vector: Column, dimension: int) -> Column:

@@ -55,13 +55,23 @@ def with_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
 
 
 def postings(chunks: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
-    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf) and (chunk_id, length), with the columns `also`."""
+    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf, positions) and (chunk_id, length), with the columns `also`.
+
+    A chunk's words are sorted and their runs counted within its row, so nothing is shuffled. Positions count words from 0.
+    """
     split = chunks.select("chunk_id", *also, words(F.coalesce("content", F.lit(""))).alias("w"))
-    terms = split.select("chunk_id", *also, F.explode("w").alias("term")).groupBy("term", "chunk_id", *also).agg(F.count(F.lit(1)).alias("tf"))
+    placed = split.select("chunk_id", *also, F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))).alias("w"))
+    same = lambda i: F.coalesce(F.get("w", i)["term"] == F.get("w", i - 1)["term"], F.lit(False))
+    runs = placed.select("chunk_id", *also, "w", F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: ~same(i)).alias("run"))
+    # The last number is the number of words, where no word is.
+    long = lambda i, k: F.get("run", k + 1) - i
+    row = lambda i, k: F.struct(F.get("w", i)["term"].alias("term"), long(i, k).cast("long").alias("tf"), F.transform(F.slice("w", i + 1, long(i, k)), lambda x: x["at"]).alias("positions"))
+    counted = F.transform(F.slice("run", F.lit(1), F.size("run") - 1), row)
+    terms = runs.select("chunk_id", *also, F.explode(counted).alias("t")).select("t.term", "chunk_id", *also, "t.tf", "t.positions")
     return terms, split.select("chunk_id", *also, F.size("w").cast("long").alias("length"))
 
 
-def _scored(hits: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
+def scored(hits: DataFrame, totals: DataFrame, terms: int) -> DataFrame:
     """BM25 of rows (chunk_id, length, tf0, tf1, ...) given one row (n, mean, df0, df1, ...)."""
 
     def part(i: int) -> Column:
@@ -70,7 +80,7 @@ def _scored(hits: DataFrame, totals: DataFrame, terms: list[str]) -> DataFrame:
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
-    return hits.join(F.broadcast(totals)).select("chunk_id", sum((part(i) for i in range(1, len(terms))), part(0)).alias("bm25"))
+    return hits.join(F.broadcast(totals)).select("chunk_id", sum((part(i) for i in range(1, terms)), part(0)).alias("bm25"))
 
 
 def _distinct(query: str) -> list[str]:
@@ -97,7 +107,7 @@ def lexical(chunks: DataFrame, query: str, k: int) -> DataFrame:
     held = held.repartition("chunk_id")
     totals = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     every = held.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
-    return _scored(every, totals, terms).orderBy(F.desc("bm25"), "chunk_id").limit(k)
+    return scored(every, totals, len(terms)).orderBy(F.desc("bm25"), "chunk_id").limit(k)
 
 
 def lexical_indexed(terms_table: DataFrame, lengths: DataFrame, query: str, k: int) -> DataFrame:
@@ -109,7 +119,7 @@ def lexical_indexed(terms_table: DataFrame, lengths: DataFrame, query: str, k: i
     df = own.agg(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).join(F.broadcast(df))
     every = own.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
-    return _scored(every.join(lengths, "chunk_id"), totals, terms).orderBy(F.desc("bm25"), "chunk_id").limit(k)
+    return scored(every.join(lengths, "chunk_id"), totals, len(terms)).orderBy(F.desc("bm25"), "chunk_id").limit(k)
 
 
 def fused(vector_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..functions.vectors import has_dimension, normalised
 from .retrieval import postings
 
 MOST_CHANGES = 32
-TABLES = {
+_PIECES = "chunk_id long, path string, chunk_index int, start_line int, end_line int, content string"
+#: What is written: a chunk's vector and length are columns of its row, so that a scan reads the ones it names.
+WRITTEN = {
     "files": "path string, file_type string, last_modified long, last_indexed long",
-    "chunks": "chunk_id long, path string, chunk_index int, start_line int, end_line int, content string",
-    "vectors": "chunk_id long, path string, embedding array<float>",
-    "postings": "term string, chunk_id long, path string, tf long",
-    "lengths": "chunk_id long, path string, length long",
+    "chunks": f"{_PIECES}, embedding array<float>, length long",
+    "postings": "term string, chunk_id long, path string, tf long, positions array<int>",
     "rejects": "path string, reason string",
+    "gone": "path string",
+}
+#: What is read, by table: where its rows are, and their columns.
+TABLES = {
+    "files": ("files", WRITTEN["files"]),
+    "chunks": ("chunks", _PIECES),
+    "vectors": ("chunks", "chunk_id long, path string, embedding array<float>"),
+    "postings": ("postings", WRITTEN["postings"]),
+    "lengths": ("chunks", "chunk_id long, path string, length long"),
+    "rejects": ("rejects", WRITTEN["rejects"]),
 }
-#: What a table's rows are sorted by, so that a lookup reads few of them.
-_SORTED = {"files": "path", "chunks": "chunk_id", "vectors": "chunk_id", "postings": "term", "lengths": "chunk_id", "rejects": "path"}
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def chunk_id(path: Column, index: Column) -> Column:
@@ -47,14 +61,13 @@ def with_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
 class Store:
     """Parquet tables as a log of changes, under one folder.
 
-    A change writes its rows, and the paths whose earlier rows they replace (`gone`), to a folder of its own. One small
-    file, `_log/<number>`, then lists all live changes; it is created only if nobody else has created that
-    number, so a change shows in all tables at once or in none, and of two writers the second one
-    commits on top of the first. A row is live unless a later change names its path. From
-    MOST_CHANGES on, compact() writes the live rows as one change, sorted for lookups; vacuum() deletes what
-    no log entry lists. The same change run again leaves the same rows.
+    A change writes its rows to a folder of its own. One small file, `_log/<number>`, then lists all live changes with their tables; it is
+    written aside and gets its name by a rename that replaces nothing, so a change shows in all tables at once or in
+    none, and of two writers the second one commits on top of the first. A row is live unless a later change has its path among its files
+    or its `gone` paths. From MOST_CHANGES on, compact() writes the live rows as one change; vacuum()
+    deletes what no log entry lists. The same change run again leaves the same rows.
 
-    Creating a file must be exclusive, as in HDFS and local file systems.
+    The file system's rename must not replace a file if it is told so, as in HDFS.
     """
 
     def __init__(self, spark: SparkSession, root: str, dimension: int) -> None:
@@ -66,96 +79,114 @@ class Store:
     def _fs(self):
         return self._path("_log").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _latest(self) -> tuple[int, list[str]]:
-        """The newest log entry: its number and the live changes, oldest first."""
+    def _latest(self) -> tuple[int, list[dict]]:
+        """The highest number in the log, and the live changes of the newest whole entry, oldest first."""
         fs, log = self._fs(), self._path("_log")
-        numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(log)), reverse=True) if fs.exists(log) else []
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
         for n in numbers:
             entry = fs.open(self._path(f"_log/{n:09d}"))
             try:
                 text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(entry, "UTF-8")
             finally:
                 entry.close()
-            if text.endswith("]"):  # an entry that is still being written isn't one yet
-                return n, json.loads(text)
-        return 0, []
-
-    def _commit(self, update: Callable[[list[str]], list[str]]) -> None:
+            if text.endswith("]"):  # else it broke off; the next entry's number is beyond it
+                return numbers[0], json.loads(text)
+        return (numbers or [0])[0], []
+
+    def _commit(self, update: Callable[[list[dict]], list[dict] | None]) -> bool:
+        """Makes what update returns for the live changes the newest entry; False if that is None."""
+        jvm, aside = self.spark._jvm, self._path(f"_log/.{uuid.uuid4().hex}")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        replace_nothing = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         while True:
             number, live = self._latest()
+            newer = update(live)
+            if newer is None:
+                return False
+            out = self._fs().create(aside, True)
+            out.write(bytearray(json.dumps(newer).encode()))
+            out.close()
             try:
-                out = self._fs().create(self._path(f"_log/{number + 1:09d}"), False)
+                files.rename(aside, self._path(f"_log/{number + 1:09d}"), replace_nothing)
+                return True
             except Py4JJavaError as error:
                 if "FileAlreadyExists" not in error.java_exception.getClass().getName():
                     raise
-                continue
-            try:
-                out.write(bytearray(json.dumps(update(live)).encode()))
-            finally:
-                out.close()
-            return
 
-    def _read(self, live: list[str], name: str, schema: str) -> DataFrame:
+    def _read(self, live: list[dict], written: str, schema: str) -> DataFrame:
         """The rows of these changes with `_at`, the change's place among them."""
-        fs = self._fs()
-        there = [c for c in live if fs.exists(self._path(f"changes/{c}/{name}"))]
-        places = F.create_map(*(F.lit(x) for k, c in enumerate(live) for x in (c, k))) if live else None
-        if not there:
+        places = {c["id"]: k for k, c in enumerate(live) if written in c["tables"]}
+        if not places:
             return self.spark.createDataFrame([], f"{schema}, _at int")
-        rows = self.spark.read.schema(f"{schema}, change string").parquet(*(f"{self.root}/changes/{c}/{name}" for c in there))
-        return rows.withColumn("_at", places[F.col("change")]).drop("change")
+        rows = self.spark.read.schema(f"{schema}, change string").parquet(*(f"{self.root}/changes/{c}/{written}" for c in places))
+        at = F.create_map(*(F.lit(x) for place in places.items() for x in place))
+        return rows.withColumn("_at", at[F.col("change")]).drop("change")
 
-    def _live(self, live: list[str], name: str) -> DataFrame:
-        rows = self._read(live, name, TABLES[name])
+    def _live(self, live: list[dict], written: str, schema: str) -> DataFrame:
+        rows = self._read(live, written, schema)
         if len(live) > 1:
-            gone = self._read(live, "gone", "path string").groupBy("path").agg(F.max("_at").alias("_until")).withColumnRenamed("path", "_path")
-            rows = rows.join(gone, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_until")), "left_anti")
+            later = ["gone", "files", *(["rejects"] if written == "rejects" else [])]
+            gone = [self._read(live, name, "path string") for name in later if any(name in c["tables"] for c in live)]
+            if gone:
+                until = functools.reduce(DataFrame.unionAll, gone).groupBy(F.col("path").alias("_path")).agg(F.max("_at").alias("_until"))
+                rows = rows.join(until, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_until")), "left_anti")
         return rows.drop("_at")
 
     def tables(self, *names: str) -> list[DataFrame]:
         """Several tables as one log entry has them."""
         live = self._latest()[1]
-        return [self._live(live, name) for name in names]
+        return [self._live(live, *TABLES[name]) for name in names]
 
     def table(self, name: str) -> DataFrame:
         return self.tables(name)[0]
 
-    def _write(self, change: str, name: str, rows: DataFrame) -> DataFrame:
-        path = f"{self.root}/changes/{change}/{name}"
-        if name in TABLES:
-            rows = rows.repartitionByRange(_SORTED[name], *(["chunk_id"] if name == "postings" else [])).sortWithinPartitions(_SORTED[name])
-        rows.withColumn("change", F.lit(change)).write.parquet(path)
+    def _write(self, change: dict, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/changes/{change['id']}/{name}"
+        rows.withColumn("change", F.lit(change["id"])).write.parquet(path)
+        change["tables"].append(name)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def upsert(self, files: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Replaces all that is stored of these files; returns rejects (path, reason).
+    def upsert(self, files: DataFrame, chunks: DataFrame, rejects: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+        """Replaces all that is stored of these files, in one change; returns rejects (path, reason).
 
         files (path, file_type, last_modified, last_indexed); chunks (path, chunk_index, start_line, end_line, content,
-        embedding, and, if given, chunk_id and error). Chunks are computed once. A file without chunks loses its old ones. A file
-        with an error in any chunk is a reject and keeps what it had.
+        embedding, and, if given, chunk_id and error). Chunks are computed once, by the write of their table; its pages are sorted by
+        chunk_id, the postings' by term, so that lookups read few of them. A file without chunks loses its old ones. A file
+        with an error in any chunk is a reject and keeps what it had. rejects are such files as came to nothing before, gone (path) what is to
+        be removed by the same change.
         """
-        change = uuid.uuid4().hex
+        change = {"id": uuid.uuid4().hex, "tables": []}
         given = chunks if "error" in chunks.columns else chunks.withColumn("error", F.lit(None).cast("string"))
         given = given if "chunk_id" in chunks.columns else given.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index")))
-        columns = [f.split()[0] for f in TABLES["chunks"].split(", ")]
-        staged = self._write(change, "_staged", with_dimension(given, self.dimension).select(*columns, F.col("embedding").cast("array<float>").alias("embedding"), "error"))
-        rejects = self._write(change, "rejects", staged.where("error is not null").groupBy("path").agg(F.min("error").alias("reason")))
-        kept = self._write(change, "files", removed(files.select([F.col(f.split()[0]) for f in TABLES["files"].split(", ")]), rejects, "path"))
-        rows = removed(staged, rejects, "path")
-        terms, lengths = postings(rows, "path")
-        self._write(change, "chunks", rows.select(*columns))
-        self._write(change, "vectors", rows.select("chunk_id", "path", normalised(F.col("embedding")).cast("array<float>").alias("embedding")))
-        self._write(change, "postings", terms)
-        self._write(change, "lengths", lengths)
-        self._write(change, "gone", kept.select("path").distinct())
-        self._fs().delete(self._path(f"changes/{change}/_staged"), True)
+        vector = normalised(F.col("embedding")).cast("array<float>").alias("embedding")
+        length = F.size(words(F.coalesce("content", F.lit("")))).cast("long").alias("length")
+        given = with_dimension(given, self.dimension).select(*_names(_PIECES), vector, length, "error").sortWithinPartitions("chunk_id")
+        errors = Observation()
+        written = self._write(change, "chunks", given.observe(errors, F.count("error").alias("n")))
+        bad = written.where("error is not null").groupBy("path").agg(F.min("error").alias("reason"))
+        bad = bad.unionByName(rejects.select("path", "reason")) if rejects is not None else bad
+        none = not errors.get["n"] and (rejects is None or rejects.isEmpty())
+        if not none:
+            bad = self._write(change, "rejects", bad)
+            change["tables"].remove("chunks")
+            path = self._path(f"changes/{change['id']}/chunks")
+            self._fs().rename(path, self._path(f"changes/{change['id']}/_staged"))
+            staged = self.spark.read.schema(written.schema).parquet(f"{self.root}/changes/{change['id']}/_staged")
+            written = self._write(change, "chunks", removed(staged, bad, "path").sortWithinPartitions("chunk_id"))
+            self._fs().delete(self._path(f"changes/{change['id']}/_staged"), True)
+        kept = files.select(_names(WRITTEN["files"]))
+        self._write(change, "files", kept if none else removed(kept, bad, "path"))
+        self._write(change, "postings", postings(written, "path")[0].sortWithinPartitions("term", "chunk_id"))
+        if gone is not None:
+            self._write(change, "gone", gone.select("path").distinct())
         self._commit(lambda live: [*live, change])
         self._compact_if_long()
-        return rejects
+        return bad if not none else self.spark.createDataFrame([], WRITTEN["rejects"])
 
     def remove(self, paths: Iterable[str] | DataFrame) -> None:
         given = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        change = uuid.uuid4().hex
+        change = {"id": uuid.uuid4().hex, "tables": []}
         self._write(change, "gone", given.select("path").distinct())
         self._commit(lambda live: [*live, change])
         self._compact_if_long()
@@ -164,18 +195,23 @@ class Store:
         if len(self._latest()[1]) >= MOST_CHANGES:
             self.compact()
 
-    def compact(self) -> None:
-        """Writes the live rows as one change; changes that others commit meanwhile stay after it."""
-        old, change = self._latest()[1], uuid.uuid4().hex
-        for name in TABLES:
-            self._write(change, name, self._live(old, name))
-        self._commit(lambda live: [change, *(c for c in live if c not in old)])
+    def compact(self) -> bool:
+        """Writes the live rows as one change; changes that others commit meanwhile stay after it. If another compaction
+        was first, its work stands and this one's is thrown away."""
+        old, change = self._latest()[1], {"id": uuid.uuid4().hex, "tables": []}
+        for name, by in (("files", ["path"]), ("chunks", ["chunk_id"]), ("postings", ["term", "chunk_id"]), ("rejects", ["path"])):
+            self._write(change, name, self._live(old, name, WRITTEN[name]).sortWithinPartitions(*by))
+        done = self._commit(lambda live: [change, *live[len(old) :]] if live[: len(old)] == old else None)
+        if not done:
+            self._fs().delete(self._path(f"changes/{change['id']}"), True)
+        return done
 
     def vacuum(self) -> None:
         """Deletes changes that the newest log entry doesn't list, and older entries. Nobody may be reading them or writing."""
+        self._commit(lambda live: live)  # so that the entry with the highest number is whole
         number, live = self._latest()
         fs = self._fs()
-        for folder, keep in (("changes", set(live)), ("_log", {f"{number:09d}"})):
+        for folder, keep in (("changes", {c["id"] for c in live}), ("_log", {f"{number:09d}"})):
             for status in fs.listStatus(self._path(folder)):
                 if status.getPath().getName() not in keep:
                     fs.delete(status.getPath(), True)

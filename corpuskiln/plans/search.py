@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-import itertools
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +15,44 @@ from ..operators.embedding import Embedder, embedded
 from ..operators.rerank import Reranker, reranked_if_possible
 from ..operators.retrieval import RESULT, hybrid, located, nearest, of_types, with_threshold
 from ..operators.store import Store
-from ..sources.files import read_files
+from ..sources.files import GONE, parted, read_paths
 
 
-def index(spark: SparkSession, store: Store, paths: list[str], embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Reads, cuts, embeds and stores files; returns the rejects (path, reason). An emptied or missing file loses its
-    chunks; a file that can't be cut or embedded is a reject and keeps those it had."""
-    files, rejects = read_files(spark, paths)
-    gone = rejects.where("reason = 'missing'").select("path")
-    if not gone.isEmpty():
-        store.remove(gone)
-    return rejects.unionByName(index_files(store, files, embedder, size, overlap).select("path", "reason"))
+def index(spark: SparkSession, store: Store, paths: list[str] | DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Reads, cuts, embeds and stores files, as one change; returns the rejects (path, reason), which the store keeps too.
 
-
-def index_files(store: Store, files: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """files: path, text, file_type, last_modified, line_offset. Returns the files that failed (path, reason)."""
+    paths is a list, or a DataFrame (path) of any length. An emptied or missing file loses its
+    chunks, as does a path that has become a link; a file that can't be read, cut or embedded is a reject and keeps those it had.
+    """
+    if not isinstance(paths, DataFrame):
+        if relative := [p for p in paths if not p.startswith("/") and ":/" not in p]:
+            raise ValueError(f"not absolute: {relative}")
+        paths = spark.createDataFrame([(p,) for p in paths], "path string")
+    return index_read(store, read_paths(paths), embedder, size, overlap)
+
+
+def index_read(store: Store, read: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP, gone: DataFrame | None = None) -> DataFrame:
+    """Stores what read_paths gave, and removes what is gone (path) besides; returns the rejects. Files are opened once."""
+    read = read.persist(StorageLevel.DISK_ONLY)
+    try:
+        files, rejects = parted(read)
+        left = rejects.where(F.col("reason").isin(GONE)).select("path")
+        left = left if gone is None else left.unionByName(gone.select("path"))
+        if read.isEmpty() and left.isEmpty():
+            return rejects
+        return index_files(store, files, embedder, size, overlap, rejects.where("reason <> 'link'"), left)
+    finally:
+        read.unpersist()
+
+
+def index_files(
+    store: Store, files: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP, rejects: DataFrame | None = None, gone: DataFrame | None = None,
+) -> DataFrame:
+    """files: path, text, file_type, last_modified, line_offset. Returns the files that failed (path, reason), with rejects among them."""
     cut = chunks(files.withColumn("key", F.xxhash64("path")), size, overlap, errors=True)
     meta = files.select("path", "file_type", "last_modified", F.lit(int(time.time())).cast("long").alias("last_indexed"))
-    return store.upsert(meta, embedded(cut.select("path", "chunk_index", "start_line", "end_line", "content", "error"), embedder))
+    made = embedded(cut.select("path", "chunk_index", "start_line", "end_line", "content", "error"), embedder)
+    return store.upsert(meta, made, rejects, gone).select("path", "reason")
 
 
 def search(
@@ -80,11 +99,9 @@ def remove(store: Store, paths: list[str]) -> None:
     store.remove(paths)
 
 
-def reindex(spark: SparkSession, store: Store, embedder: Embedder, paths: list[str] | None = None, at_once: int = 1000) -> DataFrame:
-    """Indexes the given files again, or all that the store knows, `at_once` paths a change."""
-    known = iter(paths) if paths is not None else (r.path for r in store.table("files").select("path").toLocalIterator())
-    rejects = [index(spark, store, block, embedder) for block in iter(lambda: list(itertools.islice(known, at_once)), [])]
-    return functools.reduce(DataFrame.unionByName, rejects) if rejects else spark.createDataFrame([], "path string, reason string")
+def reindex(spark: SparkSession, store: Store, embedder: Embedder, paths: list[str] | DataFrame | None = None) -> DataFrame:
+    """Indexes the given files again, or all that the store knows, as one change."""
+    return index(spark, store, store.table("files").select("path") if paths is None else paths, embedder)
 
 
 def status(store: Store) -> dict[str, int]:

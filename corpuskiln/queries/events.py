@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..session import SETTINGS, shared_dir
 from ..sources.tables import table
-from . import query
+from ..streaming import requests as R
+from . import ORACLES, query
 
 GAP_S = 1800
 _KIND = "CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END"
@@ -129,3 +134,74 @@ def notify_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "device")
     open_ones = events.where("event_type = 'signup'").select("device", F.col("event_id").alias("connection"))
     return E.fan_out(events.where("event_type = 'purchase'").select("device", F.col("event_id").alias("seq")), open_ones).select("seq", "connection")
+
+
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], batches: int = 3) -> DataFrame:
+    """What a stream over all events gives: they come in `batches` batches in time order, then two far later ones, without a user, by which the
+    watermark passes them all."""
+    events, place = table(spark, sf_dir, "events"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    edges = events.select(F.unix_micros("ts").alias("at")).approxQuantile("at", [k / batches for k in range(1, batches)], 0.01)
+    part = sum((F.when(F.unix_micros("ts") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    for k in range(batches):
+        events.where(part == k).coalesce(1).write.parquet(f"{place}/in/{k}")
+    for k in (batches, batches + 1):
+        later = events.agg((F.max("ts") + F.expr(f"INTERVAL {60 + k} DAYS")).alias("ts"))
+        later.select(*(F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes)).coalesce(1).write.parquet(f"{place}/in/{k}")
+    before = spark.conf.get(_STATE)
+    spark.conf.set(_STATE, SETTINGS[_STATE])
+    try:
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in/*")
+        build(stream).writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    finally:
+        spark.conf.set(_STATE, before)
+    return spark.read.parquet(f"{place}/out")
+
+
+@query(ORACLES["idempotent_dedup"])
+def replays_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idempotent_dedup as a stream: every upload gets its first id as it comes."""
+    key = F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))
+    uploads = lambda e: e.select(F.col("user_id").alias("device"), key.alias("key"), "ts", F.col("event_id").alias("seq"))
+    return _streamed(spark, sf_dir, lambda e: R.first_ids(uploads(e))).where("device is not null")
+
+
+@query("SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id % 50, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) <= 4 AS accepted FROM events")
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every request as it comes."""
+    requests = lambda e: e.select((F.col("user_id") % 50).cast("string").alias("key"), "ts", F.col("event_id").alias("seq"))
+    return _streamed(spark, sf_dir, lambda e: R.limited(requests(e), 4, "1 day")).where("seq is not null").select("seq", "accepted")
+
+
+@query(ORACLES["blacklist_antijoin"])
+def revocations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blacklist_antijoin as a join of two streams."""
+
+    def build(events: DataFrame) -> DataFrame:
+        until = F.col("ts") + F.make_interval(hours=(1 + F.col("event_id") % 24).cast("int"))
+        known = F.coalesce(F.col("event_type") == "signup", F.lit(True))
+        # A row without a token would never reach the join, nor move its watermark.
+        rows = events.withColumn("token", F.coalesce("user_id", F.lit(-1)))
+        revoked = rows.where(known).select("token", F.col("ts").alias("since"), F.coalesce(until, "ts").alias("until"))
+        return R.unrevoked(rows.where(F.coalesce(F.col("event_type") != "signup", F.lit(True))), revoked)
+
+    return _streamed(spark, sf_dir, build).where("event_id is not null").select("event_id")
+
+
+@query(ORACLES["presence_sessions"])
+def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """presence_sessions by timers: a span for each "gone"."""
+    beats = lambda e: e.select(F.col("user_id").alias("device"), "ts")
+    gone = _streamed(spark, sf_dir, lambda e: R.here(beats(e), 12 * 3600)).where("change = 'gone' and device is not null")
+    return gone.select("device", F.unix_micros("start").alias("start_us"), F.unix_micros("at").alias("end_us"), "beats")
+
+
+@query(ORACLES["recent_errors_ring"])
+def error_rings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recent_errors_ring as state: each owner's last ring."""
+    runs = lambda e: e.select((F.col("user_id") % 10).alias("owner"), F.col("user_id").alias("path"), (F.col("event_type") != "error").alias("ok"), "ts", F.col("event_id").alias("seq"))
+    rings = _streamed(spark, sf_dir, lambda e: R.error_rings(runs(e))).where("owner is not null")
+    last = rings.groupBy("owner").agg(F.max("until").alias("until"))
+    return rings.join(last, ["owner", "until"]).where("place > 0").select(F.col("owner").cast("long"), F.col("path").cast("long"), "seq", "place")

@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..functions.text import base64url, base64url_decoded, iso8601, is_blank, is_url, listed, path_tail, rpc_error, short_code, vector_similarity
 from ..operators import embedding, relay, rerank, retrieval, store
 from ..operators.embedding import HashEmbedder
+from ..operators.matching import Near, Phrase, Prefix, matched
 from ..plans.search import index_files, previews, search
 from ..session import shared_dir
 from ..sources.files import chunker_of, language_of
@@ -101,6 +102,24 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_indexed(terms, lengths, TEXT, 50).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+_PLACES = """p AS (SELECT doc_id AS chunk_id, i, w[i] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM
+  (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents))),
+phrase AS (SELECT a.chunk_id, count(*) AS n FROM p a JOIN p b ON a.chunk_id = b.chunk_id AND b.i = a.i + 1 AND a.term = 'on' AND b.term = 'the' GROUP BY 1),
+near AS (SELECT x.chunk_id, count(*) AS n FROM p x WHERE x.term IN ('with', 'is') AND EXISTS (SELECT 1 FROM p y WHERE y.chunk_id = x.chunk_id AND y.term IN ('with', 'is') AND y.term <> x.term AND y.i BETWEEN x.i AND x.i + 6) GROUP BY 1),
+prefix AS (SELECT chunk_id, count(*) AS n FROM p WHERE term LIKE 'ther%' GROUP BY 1),
+banned AS (SELECT chunk_id FROM p WHERE term = 'das')"""
+
+
+@query(f"""
+WITH {_PLACES}, f AS (SELECT chunk_id, phrase.n AS tf0, coalesce(near.n, 0) + coalesce(prefix.n, 0) AS tf1 FROM phrase LEFT JOIN near USING (chunk_id) LEFT JOIN prefix USING (chunk_id))
+SELECT chunk_id, tf0, tf1 FROM f WHERE tf1 > 0 AND chunk_id NOT IN (SELECT chunk_id FROM banned)""")
+def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, and words near each other or a prefix, and not a word; by positional postings."""
+    terms, _ = retrieval.postings(_parts(spark, sf_dir)[2])
+    wanted = [Phrase("on the"), [Near("with is", 5), Prefix("ther")]]
+    return matched(terms, wanted, [Phrase("das")])
+
+
 @query(f"WITH {_DIST}, {_near(20)}, {_CHUNKS}, {_bm25(20)}, {_fused('near')} SELECT chunk_id, round(rrf, 6) AS rrf FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, q, chunks = _parts(spark, sf_dir)
@@ -207,7 +226,7 @@ def _stored(spark: SparkSession, sf_dir: str, files: DataFrame, into: store.Stor
     """A store of files (doc_id, path, n_chars, text) that have an embedding: one chunk for each."""
     into = into or store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 64)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = files.join(vectors, "doc_id").select(
+    chunks = files.join(vectors, "doc_id").repartition("path").select(
         F.col("doc_id").alias("chunk_id"), "path", F.lit(0).alias("chunk_index"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"), "embedding"
     )
     into.upsert(files.select("path", F.lit("txt").alias("file_type"), F.col("n_chars").alias("last_modified"), F.lit(0).cast("long").alias("last_indexed")), chunks)
@@ -352,5 +371,5 @@ def index_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/data/"), "doc_id", F.lit(".txt")).alias("path"), "text", F.lit("txt").alias("file_type"), F.lit(0).cast("long").alias("last_modified"), F.lit(0).alias("line_offset")
     )
     kept, embedder = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 64), HashEmbedder(64)
-    index_files(kept, files, embedder)
+    index_files(kept, files.repartition("path"), embedder)  # however few row groups the table has
     return search(kept, embedder, "the attention of the station", 20).select("chunk_id", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"))

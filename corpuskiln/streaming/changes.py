@@ -13,7 +13,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.embedding import Embedder
 from ..operators.events import last_writers
 from ..operators.store import Store
-from ..plans.search import index_files
+from ..plans.search import index_read
+from ..sources.files import read_paths
 
 
 class Debounce(StatefulProcessor):
@@ -68,31 +69,25 @@ def debounced(events: DataFrame, quiet_ms: int = 500) -> DataFrame:
 def arrivals(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
     """A stream of events (path, kind, ts, seq) of files as they come into a folder, also below it.
 
-    Only listings are read, no contents. A file that changes later or goes is not seen; that takes a source of such events.
+    Only listings are read, no contents. A file that changes later or goes is not seen; `sources.changes` sees those.
     """
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folder)
     at = F.col("modificationTime")
     return found.select("path", F.lit("upsert").alias("kind"), at.alias("ts"), F.unix_micros(at).alias("seq"))
 
 
-def indexing(events: DataFrame, store: Store, embedder: Embedder, read: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
-    """A writer that keeps the store up to date with events (path, kind, ts, seq).
+def indexing(events: DataFrame, store: Store, embedder: Embedder, checkpoint: str, read: Callable[[DataFrame], DataFrame] = read_paths) -> DataStreamWriter:
+    """A writer that keeps the store up to date with events (path, kind, ts, seq), one change of the store for each batch.
 
-    read gives files (path, text, file_type, last_modified, line_offset) of the upserted paths (path);
-    a path that it doesn't give is removed, as it isn't there any more. A batch that runs again
-    leaves the same rows.
+    read gives a row (path, text, file_type, last_modified, line_offset, reason) for every upserted path (path), as read_paths does. Files
+    that it says are missing go, as do removed ones; one that it can't read or that has no reader is a reject and keeps what the
+    store has. A batch that runs again leaves the same rows.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         last = last_writers(batch, "path").persist()
         try:
-            files = read(last.where("kind = 'upsert'").select("path")).persist()
-            gone = last.select("path").join(files, "path", "left_anti")
-            if not gone.isEmpty():
-                store.remove(gone)
-            if not files.isEmpty():
-                index_files(store, files, embedder)
-            files.unpersist()
+            index_read(store, read(last.where("kind = 'upsert'").select("path")), embedder, gone=last.where("kind = 'remove'"))
         finally:
             last.unpersist()
 

@@ -105,7 +105,7 @@ def test_a_change_shows_in_all_tables_or_in_none(spark, tmp_path, monkeypatch):
     plain = Store._write
 
     def stops(self, change, name, rows):
-        if name == "lengths":
+        if name == "postings":
             raise RuntimeError("lost")
         return plain(self, change, name, rows)
 
@@ -139,6 +139,93 @@ def test_a_change_shows_in_all_tables_or_in_none(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "store" / "changes").iterdir())) == 1 and len(list((tmp_path / "store" / "_log").glob("0*"))) == 1
 
 
+def test_two_compactions_that_meet(spark, tmp_path, monkeypatch):
+    one, two = (Store(spark, str(tmp_path / "store"), 4) for _ in range(2))
+    e = Counting(tmp_path / "log")
+    for k in range(3):
+        index_files(one, texts(spark, [(f"/{k}.txt", f"text {k}"), ("/same.txt", f"same {k}")]), e)
+    before = {t: sorted(map(str, one.table(t).collect())) for t in TABLES}
+    plain, once = Store._commit, []
+
+    def late(self, update):
+        if self is two and not once:  # two has read the live changes and written them; one is first
+            once.append(1)
+            index_files(one, texts(spark, [("/new.txt", "meanwhile")]), e)
+            assert one.compact()
+        return plain(self, update)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    assert not two.compact()
+    monkeypatch.undo()
+    assert status(two) == {"files": 5, "chunks": 5} and len(two._latest()[1]) == 1
+    assert sorted(map(str, two.table("postings").where("path <> '/new.txt'").collect())) == before["postings"]
+    # A change that comes between a compaction's reading and its commit stays after it.
+    once.clear()
+
+    def between(self, update):
+        if self is two and not once:
+            once.append(1)
+            one.remove(["/new.txt"])
+        return plain(self, update)
+
+    monkeypatch.setattr(Store, "_commit", between)
+    assert two.compact()
+    monkeypatch.undo()
+    assert {t: sorted(map(str, two.table(t).collect())) for t in TABLES} == before
+    reading = two.table("files")
+    two.compact()
+    assert reading.count() == 4  # what a reader had before a compaction stays readable
+    assert len(list((tmp_path / "store" / "changes").iterdir())) > 1
+    two.vacuum()
+    assert len(list((tmp_path / "store" / "changes").iterdir())) == 1 and status(two) == {"files": 4, "chunks": 4}
+
+
+@pytest.mark.parametrize("torn", ["", '[{"id": "x", "ta'])
+def test_a_torn_log_entry_stops_nothing(spark, tmp_path, torn):
+    store = Store(spark, str(tmp_path / "store"), 4)
+    index_files(store, texts(spark, [("/a.txt", "one"), ("/b.txt", "two")]), Counting(tmp_path / "log"))
+    (tmp_path / "store" / "_log" / "000000002").write_text(torn)
+    store.remove(["/a.txt"])
+    assert status(store) == {"files": 1, "chunks": 1}
+    assert sorted(p.name for p in (tmp_path / "store" / "_log").glob("0*"))[-1] == "000000003"
+    (tmp_path / "store" / "_log" / "000000004").write_text(torn)
+    store.vacuum()
+    assert status(store) == {"files": 1, "chunks": 1}
+
+
+def test_many_changes_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpuskiln.operators.store.MOST_CHANGES", 4)
+    store = Store(spark, str(tmp_path / "store"), 4)
+    for k in range(6):
+        index_files(store, texts(spark, [(f"/{k}.txt", f"text {k}")]), Counting(tmp_path / "log"))
+    assert status(store) == {"files": 6, "chunks": 6} and len(store._latest()[1]) < 4
+
+
+def test_links_and_files_that_turn_unreadable(spark, tmp_path):
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"), 32)
+    folder.mkdir()
+    (folder / "real.md").write_text("# real")
+    (folder / "link.md").symlink_to(folder / "real.md")
+    (folder / "again.md").symlink_to("link.md")
+    (folder / "dangling.md").symlink_to("nowhere.md")
+    (folder / "loop.md").symlink_to("loop.md")
+    (folder / "empty.txt").write_text("")
+    names = ("real.md", "link.md", "again.md", "dangling.md", "loop.md", "empty.txt")
+    paths = spark.createDataFrame([(str(folder / n),) for n in names] + [("rel.md",), (None,), (f"file:{folder}/real.md",)], "path string")
+    rejects = {r.path.rpartition("/")[2]: r.reason for r in index(spark, store, paths, E).collect()}
+    assert rejects.pop("loop.md").startswith("unreadable") and rejects == {"dangling.md": "missing", "rel.md": "not absolute"}
+    assert [r.path.rpartition("/")[2] for r in store.table("files").orderBy("path").collect()] == ["empty.txt", "real.md"]
+    (folder / "real.md").write_bytes(b"\xff\xfe")
+    assert [r.reason for r in reindex(spark, store, E).collect()] == ["not UTF-8"]
+    assert status(store) == {"files": 2, "chunks": 1} and store.table("rejects").where("reason = 'not UTF-8'").count() == 1
+    # A stored file that becomes a link to another one is no file of its own any more.
+    (folder / "other.md").write_text("# other")
+    (folder / "real.md").unlink()
+    (folder / "real.md").symlink_to("other.md")
+    assert reindex(spark, store, E).count() == 0
+    assert [r.path.rpartition("/")[2] for r in store.table("files").orderBy("path").collect()] == ["empty.txt", "other.md"]
+
+
 def test_search_reads_the_index_and_survives_its_reranker(spark, notes):
     class Broken:
         def scores(self, query, content):
