@@ -83,6 +83,13 @@ def rpc_error(body: Column) -> Column:
     return F.when(F.get_json_object(body, "$.id").isNotNull(), bad)
 
 
+def pretty_json(items: Column, fields: list[str]) -> Column:
+    """An array of structs of scalars as JSON text over lines, indented by two spaces; nulls are written, an empty array is `[]`."""
+    scalar = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    one = lambda x: F.concat(F.lit("  {\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'    "{f}": '), scalar(x[f])) for f in fields)), F.lit("\n  }"))
+    return F.when(F.size(items) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(items, one), ",\n"), F.lit("\n]")))
+
+
 def vector_similarity(distance: Column) -> Column:
     """Cosine similarity from the distance of unit vectors, within 0 and 1."""
     return clamp(1 - distance * distance / 2)

@@ -88,6 +88,12 @@ _OPENS = {
     "javascript": r"\s*(export\s+)?(default\s+)?((async\s+)?function\b|class\b|interface\b|(const|let|var)\s+\w+\s*=\s*(async\s*)?(\([^)]*\)|\w+)\s*=>)",
     "go": r"\s*(func|type)\b",
 }
+#: Comments, and literals that may hold braces, by language; Rust's lifetimes are no literals.
+_APART = {
+    "rust": r"//[^\n]*|/\*.*?\*/|\bb?r(?P<hash>#*)\".*?\"(?P=hash)|\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n]{1,10}?|[^\\'\n])'",
+    "javascript": r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|\$\{(?:[^{}`]|`[^`]*`|\{(?:[^{}`]|`[^`]*`)*\})*\}|[^`\\])*`",
+    "go": r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\[^\n]{1,10}?|[^\\'\n])'",
+}
 _LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "javascript", "jsx": "javascript", "tsx": "javascript", "go": "go"}
 
 
@@ -97,11 +103,18 @@ def _python_spans(text: str) -> list[tuple[int, int]]:
     return [(min([x.lineno, *(d.lineno for d in x.decorator_list)]) - 1, x.end_lineno) for x in nodes]
 
 
-def _brace_spans(lines: list[str], opens: str) -> list[tuple[int, int]]:
+def _bare(text: str, language: str) -> str:
+    """The text with blanks in place of comments and literals; lines stay where they are."""
+    return re.sub(_APART[language], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+
+
+def _brace_spans(text: str, language: str) -> list[tuple[int, int]]:
     """Outermost definitions: from a line that opens one to where its braces are closed again.
 
-    Strings and comments that hold braces can mislead this; it stands in for a syntax tree.
+    Braces in comments and literals don't count, over several lines either. It stands in for a syntax tree: nested
+    block comments, literals of regular expressions and templates deep inside templates can mislead it.
     """
+    lines, opens = lines_of(_bare(text, language)), _OPENS[language]
     out, k = [], 0
     while k < len(lines):
         if not re.match(opens, lines[k]):
@@ -109,10 +122,9 @@ def _brace_spans(lines: list[str], opens: str) -> list[tuple[int, int]]:
             continue
         depth, seen, end = 0, False, k
         for end in range(k, len(lines)):
-            code = re.sub(r'"(\\.|[^"\\])*"|//.*', "", lines[end])
-            depth += code.count("{") - code.count("}")
-            seen |= "{" in code
-            if (seen and depth <= 0) or (not seen and code.rstrip().endswith(";")):
+            depth += lines[end].count("{") - lines[end].count("}")
+            seen |= "{" in lines[end]
+            if (seen and depth <= 0) or (not seen and lines[end].rstrip().endswith(";")):
                 break
         out.append((k, end + 1))
         k = end + 1
@@ -159,7 +171,7 @@ def code(text: str, path: str, size: int = SIZE, overlap: int = OVERLAP) -> list
     language = _LANGUAGES.get(path.rpartition(".")[2])
     lines = lines_of(text)
     try:
-        spans = _python_spans(text) if language == "python" else _brace_spans(lines, _OPENS[language]) if language else []
+        spans = _python_spans(text) if language == "python" else _brace_spans(text, language) if language else []
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         spans = []
     if not spans:

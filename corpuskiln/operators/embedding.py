@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import urllib.request
 from collections.abc import Iterator
@@ -63,25 +64,26 @@ class HttpEmbedder:
             return False
 
 
+@functools.lru_cache(4)
+def onnx_session(model: str, tokenizer: str):
+    """A model's session and its tokenizer, loaded once in each worker, whatever the number of tasks and batches that come to it."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(tokenizer)
+    coder.enable_truncation(TOKENS)
+    coder.enable_padding()
+    return onnxruntime.InferenceSession(model), coder
+
+
 class OnnxEmbedder:
     """A transformer with its tokenizer; vectors are means over the tokens that count, made unit length."""
 
     def __init__(self, model: str, tokenizer: str, dimension: int) -> None:
-        self.model, self.tokenizer, self.dimension, self._loaded = model, tokenizer, dimension, None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_loaded": None}
+        self.model, self.tokenizer, self.dimension = model, tokenizer, dimension
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        if self._loaded is None:
-            import onnxruntime
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(self.tokenizer)
-            tokenizer.enable_truncation(TOKENS)
-            tokenizer.enable_padding()
-            self._loaded = (onnxruntime.InferenceSession(self.model), tokenizer)
-        session, tokenizer = self._loaded
+        session, tokenizer = onnx_session(self.model, self.tokenizer)
         coded = tokenizer.encode_batch(texts)
         mask = np.array([c.attention_mask for c in coded], np.int64)
         fields = {"input_ids": np.array([c.ids for c in coded], np.int64), "attention_mask": mask, "token_type_ids": np.array([c.type_ids for c in coded], np.int64)}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, sigmoid, words
-from .embedding import BATCH, TOKENS
+from .embedding import BATCH, onnx_session
 
 MOST_MB = 600
 
@@ -44,12 +44,7 @@ class OnnxReranker:
 
         @F.pandas_udf("double")
         def score(batches: pd.Series) -> pd.Series:
-            import onnxruntime
-            from tokenizers import Tokenizer
-
-            session, tokenizer = onnxruntime.InferenceSession(model), Tokenizer.from_file(file)
-            tokenizer.enable_truncation(TOKENS)
-            tokenizer.enable_padding()
+            session, tokenizer = onnx_session(model, file)
             out: list[float] = []
             for at in range(0, len(batches), BATCH):
                 coded = tokenizer.encode_batch([(query, p or "") for p in batches[at : at + BATCH]])

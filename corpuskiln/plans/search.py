@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,11 @@ def index(spark: SparkSession, store: Store, paths: list[str] | DataFrame, embed
     return index_read(store, read_paths(paths), embedder, size, overlap)
 
 
-def index_read(store: Store, read: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP, gone: DataFrame | None = None) -> DataFrame:
-    """Stores what read_paths gave, and removes what is gone (path) besides; returns the rejects. Files are opened once."""
+def index_read(store: Store, read: DataFrame, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP, gone: DataFrame | None = None, on_results: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Stores what read_paths gave, and removes what is gone (path) besides; returns the rejects. Files are opened once.
+
+    on_results is called, when all is stored, with what became of every path: (path, result, reason), result indexed, rejected or removed.
+    """
     read = read.persist(StorageLevel.DISK_ONLY)
     try:
         files, rejects = parted(read)
@@ -40,7 +44,14 @@ def index_read(store: Store, read: DataFrame, embedder: Embedder, size: int = SI
         left = left if gone is None else left.unionByName(gone.select("path"))
         if read.isEmpty() and left.isEmpty():
             return rejects
-        return index_files(store, files, embedder, size, overlap, rejects.where("reason <> 'link'"), left)
+        failed = index_files(store, files, embedder, size, overlap, rejects.where("reason <> 'link'"), left)
+        if on_results:
+            bad = failed.groupBy("path").agg(F.min("reason").alias("reason"))
+            stored = files.select("path", F.lit("indexed").alias("result")).unionByName(left.distinct().withColumn("result", F.lit("removed")))
+            results = stored.join(bad, "path", "full_outer")
+            result = F.when(F.col("result") == "removed", "removed").when(F.col("reason").isNotNull(), "rejected").otherwise("indexed")
+            on_results(results.select("path", result.alias("result"), "reason"))
+        return failed
     finally:
         read.unpersist()
 

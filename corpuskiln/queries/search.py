@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import base64url, base64url_decoded, iso8601, is_blank, is_url, listed, path_tail, rpc_error, short_code, vector_similarity
+from ..functions.text import base64url, base64url_decoded, iso8601, is_blank, is_url, listed, path_tail, pretty_json, rpc_error, short_code, vector_similarity
 from ..operators import embedding, relay, rerank, retrieval, store
 from ..operators.embedding import HashEmbedder
 from ..operators.matching import Near, Phrase, Prefix, matched
@@ -336,7 +336,28 @@ def rpc_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(rpc_error(body), F.lit(0)).alias("error"))
 
 
-_INDEXES: dict[tuple[str, str], store.Store] = {}
+@query("""
+WITH r AS (SELECT d.source, d.doc_id, d.lang, n.text AS note FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 AND n.n_chars < 400 WHERE d.n_chars < 200),
+o AS (SELECT source, '[' || chr(10) || string_agg('  {' || chr(10) || '    "doc_id": ' || doc_id || ',' || chr(10) || '    "lang": ' || to_json(lang) || ',' || chr(10) || '    "note": ' || coalesce(to_json(note)::VARCHAR, 'null') || chr(10) || '  }', ',' || chr(10) ORDER BY doc_id) || chr(10) || ']' AS text FROM r GROUP BY source)
+SELECT source, coalesce(o.text, '[]') AS text FROM (SELECT DISTINCT source FROM documents) LEFT JOIN o USING (source)""")
+def tool_result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short documents of each source as the text of a tool's result."""
+    documents = table(spark, sf_dir, "documents")
+    notes = documents.where("n_chars < 400").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("note"))
+    rows = documents.where("n_chars < 200").select("doc_id", "source", "lang").join(notes, "doc_id", "left")
+    listed_rows = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang", "note"))).alias("items"))
+    every = documents.select("source").distinct().join(listed_rows, "source", "left")
+    none = F.array().cast("array<struct<doc_id:long,lang:string,note:string>>")
+    return every.select("source", pretty_json(F.coalesce("items", none), ["doc_id", "lang", "note"]).alias("text"))
+
+
+_INDEXES: dict[tuple, store.Store] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells that a folder's tables are others than before: their files' number, sizes and times."""
+    about = [F.count_distinct("_metadata.file_path"), F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size")]
+    return tuple(tuple(table(spark, sf_dir, n).agg(*about).first()) for n in names)
 
 
 @query(
@@ -346,7 +367,7 @@ _INDEXES: dict[tuple[str, str], store.Store] = {}
 )
 def indexed_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search in a store of all documents with an embedding; the session's first call builds the store."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir, "documents", "embeddings"))
     if key not in _INDEXES:
         _INDEXES[key] = _stored(spark, sf_dir, _files(spark, sf_dir))
     first = table(spark, sf_dir, "embeddings").where("vec_id = 0").select(V.doubles(F.col("embedding")).alias("e")).first()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.embedding import Embedder
@@ -76,22 +76,62 @@ def arrivals(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
     return found.select("path", F.lit("upsert").alias("kind"), at.alias("ts"), F.unix_micros(at).alias("seq"))
 
 
-def indexing(events: DataFrame, store: Store, embedder: Embedder, checkpoint: str, read: Callable[[DataFrame], DataFrame] = read_paths) -> DataStreamWriter:
+def indexing(events: DataFrame, store: Store, embedder: Embedder, checkpoint: str, read: Callable[[DataFrame], DataFrame] = read_paths, on_results: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """A writer that keeps the store up to date with events (path, kind, ts, seq), one change of the store for each batch.
 
     read gives a row (path, text, file_type, last_modified, line_offset, reason) for every upserted path (path), as read_paths does. Files
     that it says are missing go, as do removed ones; one that it can't read or that has no reader is a reject and keeps what the
-    store has. A batch that runs again leaves the same rows.
+    store has. A batch that runs again leaves the same rows. on_results is called for each batch with what became of its paths
+    (path, result, reason) and the batch's number, as `Totals.results`.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         last = last_writers(batch, "path").persist()
         try:
-            index_read(store, read(last.where("kind = 'upsert'").select("path")), embedder, gone=last.where("kind = 'remove'"))
+            told = None if on_results is None else lambda results: on_results(results, number)
+            index_read(store, read(last.where("kind = 'upsert'").select("path")), embedder, gone=last.where("kind = 'remove'"), on_results=told)
         finally:
             last.unpersist()
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    seen = events.observe("index_events", F.count(F.when(F.col("kind") == "upsert", 1)).alias("upserts"), F.count(F.when(F.col("kind") == "remove", 1)).alias("removes"))
+    return seen.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+class Totals(StreamingQueryListener):
+    """Counters of indexing streams: events as the streams' progress reports them, and results as `results` is told of them.
+
+    A batch that runs again counts once. spark.streams.addListener(totals) makes it hear of all of the session's streams; it heeds those of `indexing`.
+    """
+
+    def __init__(self) -> None:
+        self._events: dict[tuple, dict[str, int]] = {}
+        self._results: dict[int, dict[str, int]] = {}
+
+    def results(self, results: DataFrame, batch: int) -> None:
+        self._results[batch] = {r["result"]: r["n"] for r in results.groupBy("result").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def counters(self) -> dict[str, int]:
+        """upserts and removes seen; indexed, rejected and removed paths."""
+        total = dict.fromkeys(("upserts", "removes", "indexed", "rejected", "removed"), 0)
+        for counts in (*self._events.values(), *self._results.values()):
+            for name, n in counts.items():
+                total[name] += n
+        return total
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        found = progress.observedMetrics.get("index_events")
+        if found is not None and progress.numInputRows:
+            self._events[str(progress.id), progress.batchId] = {"upserts": found["upserts"], "removes": found["removes"]}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def first_uploads(uploads: DataFrame, hours: int = 24) -> DataFrame:

@@ -73,3 +73,15 @@ def test_chunks_on_spark(spark):
     rows = spark.createDataFrame([(1, "a.txt", "x\ny", 3), (2, "b.md", "# h\nz", 0), (3, "c.txt", None, 0), (4, "d.txt", "", 0)], "key long, path string, text string, line_offset long")
     got = {(r.key, r.chunk_index, r.start_line, r.end_line, r.content) for r in chunks(rows, 100, 0).collect()}
     assert got == {(1, 0, 4, 5, "x\ny"), (2, 0, 1, 2, "# h\nz")}
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.js", "function f() {\n  const s = `{ ${g({a: `}`})}\n  }}} `\n  return s\n}\n\n/* function no() {\n*/\nclass B {\n  // }\n  x = '}'\n}\n", [(1, 5), (9, 12)]),
+        ("a.rs", "fn f<'a>(x: &'a str) -> char {\n  let s = r#\"} \"} \n }\"#;\n  /* }\n } */\n  '}'\n}\n\nstruct S;\nimpl S {\n  fn g() { \"{\\\"{\n{\"; }\n}\n", [(1, 7), (9, 9), (10, 13)]),
+        ("a.go", "func f() string {\n\treturn `{{\nfunc no() {\n`\n}\n\ntype T struct { // {\n\tx rune /* { */\n}\n\nfunc g() rune { return '{' }\n", [(1, 5), (7, 9), (11, 11)]),
+    ],
+)
+def test_braces_in_literals_and_comments(path, text, want):
+    assert spans(code(text, path, 400, 20)) == want

@@ -2,6 +2,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,39 @@ def test_http_embedder(spark):
 def test_rerank(tables):
     got = rerank.reranked(tables[1], "busy moon", rerank.Overlap()).collect()
     assert [(r.chunk_id, r.score) for r in got] == [(1, 0.5), (0, 0.0)]
+
+
+def test_a_worker_loads_a_model_once(monkeypatch, tmp_path):
+    import sys
+    import types
+
+    from corpuskiln.operators import embedding
+
+    made = []
+
+    class Coded:
+        ids, attention_mask, type_ids = [1, 2], [1, 1], [0, 0]
+
+    class Tokenizer:
+        @classmethod
+        def from_file(cls, file):
+            made.append(file)
+            return cls()
+
+        enable_truncation = enable_padding = lambda self, *a: None
+        encode_batch = lambda self, texts: [Coded for _ in texts]
+
+    class Session:
+        def __init__(self, model):
+            made.append(model)
+
+        get_inputs = lambda self: [types.SimpleNamespace(name="input_ids")]
+        run = lambda self, _, fields: [np.ones((*fields["input_ids"].shape, 3))]
+
+    monkeypatch.setitem(sys.modules, "onnxruntime", types.SimpleNamespace(InferenceSession=Session))
+    monkeypatch.setitem(sys.modules, "tokenizers", types.SimpleNamespace(Tokenizer=Tokenizer))
+    embedding.onnx_session.cache_clear()
+    for _ in range(3):  # as copies that come with tasks
+        out = embedding.OnnxEmbedder("m.onnx", "t.json", 3).embed(["a", "b"])
+    assert made == ["t.json", "m.onnx"] and out.shape == (2, 3) and np.allclose((out**2).sum(1), 1)
+    embedding.onnx_session.cache_clear()

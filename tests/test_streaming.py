@@ -6,7 +6,7 @@ from corpuskiln.operators.embedding import HashEmbedder
 from corpuskiln.operators.store import Store
 from corpuskiln.plans.search import status
 from corpuskiln.sources.changes import _Changes, file_changes
-from corpuskiln.streaming.changes import arrivals, debounced, first_uploads, indexing, notified, request_counts
+from corpuskiln.streaming.changes import Totals, arrivals, debounced, first_uploads, indexing, notified, request_counts
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "watcher string, path string, kind string, ts timestamp, seq long"
@@ -77,6 +77,38 @@ def test_changed_and_removed_files_reach_the_store(spark, tmp_path):
     assert run()["bad.md"] == "fine again" and store.table("rejects").count() == 0
 
 
+def test_totals_are_the_tables_counts(spark, tmp_path):
+    folder, store, totals, told = tmp_path / "in", Store(spark, str(tmp_path / "store"), 8), Totals(), []
+    folder.mkdir()
+    spark.streams.addListener(totals)
+
+    def results(df, batch):
+        told.extend((r.path.rpartition("/")[2], r.result, r.reason) for r in df.collect())
+        totals.results(df, batch)
+
+    def run():
+        until_done(indexing(file_changes(spark, str(folder), str(tmp_path / "listings"), 2), store, HashEmbedder(8), str(tmp_path / "ck"), on_results=results))
+
+    try:
+        for name in ("a.md", "b.md", "c.png"):
+            (folder / name).write_text(name)
+        run()
+        (folder / "d.md").write_bytes(b"\xff")
+        (folder / "a.md").write_text("a again")
+        run()
+        (folder / "b.md").unlink()
+        run()
+        end = time.time() + 30
+        while time.time() < end and totals.counters()["removes"] < 1:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(totals)
+    assert sorted(told, key=repr) == [("a.md", "indexed", None)] * 2 + [("b.md", "indexed", None), ("b.md", "removed", None), ("c.png", "rejected", "unsupported: png"), ("d.md", "rejected", "not UTF-8")]
+    counts = totals.counters()
+    assert counts == {"upserts": 5, "removes": 1, "indexed": 3, "rejected": 2, "removed": 1}
+    assert store.table("rejects").count() == counts["rejected"] and status(store)["files"] == len({"a.md", "b.md"}) - counts["removed"]
+
+
 def test_differences_of_listings(spark, tmp_path):
     (tmp_path / "in").mkdir()
     reader = _Changes({"path": str(tmp_path / "in"), "state": str(tmp_path / "listings"), "parts": "2"})
