@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,21 +55,47 @@ def with_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
     return hits if threshold is None else hits.where(vector_similarity(F.col("distance")) >= threshold)
 
 
-def postings(chunks: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
-    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf, positions) and (chunk_id, length), with the columns `also`.
-
-    A chunk's words are sorted and their runs counted within its row, so nothing is shuffled. Positions count words from 0.
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (term, chunk_id, tf, positions) of chunks (chunk_id, content), some thousands of words' at once."""
+    ids: list[int] = []
+    terms: list[str] = []
+    sizes: list[int] = []
+    positions: list[int] = []
+
+    def written() -> pa.RecordBatch:
+        tf = np.array(sizes, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(np.array(positions, np.int32)))
+        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tf), lists], ["term", "chunk_id", "tf", "positions"])
+        for column in (ids, terms, sizes, positions):
+            column.clear()
+        return out
+
+    for batch in batches:
+        for chunk, content in zip(batch.column("chunk_id").to_pylist(), batch.column("content"), strict=True):
+            held: dict[str, list[int]] = {}
+            for at, word in enumerate(_WORDS.findall((content.as_py() or "").lower())):
+                held.setdefault(word, []).append(at)
+            ids += [chunk] * len(held)
+            terms += held
+            for places in held.values():
+                sizes.append(len(places))
+                positions += places
+            if len(positions) > 1 << 16:
+                yield written()
+    if ids:
+        yield written()
+
+
+def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index tables of chunks (chunk_id, content): (term, chunk_id, tf, positions) and (chunk_id, length).
+
+    A chunk's words are counted within its row, so nothing is shuffled. Positions count words from 0.
     """
-    split = chunks.select("chunk_id", *also, words(F.coalesce("content", F.lit(""))).alias("w"))
-    placed = split.select("chunk_id", *also, F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("at")))).alias("w"))
-    same = lambda i: F.coalesce(F.get("w", i)["term"] == F.get("w", i - 1)["term"], F.lit(False))
-    runs = placed.select("chunk_id", *also, "w", F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: ~same(i)).alias("run"))
-    # The last number is the number of words, where no word is.
-    long = lambda i, k: F.get("run", k + 1) - i
-    row = lambda i, k: F.struct(F.get("w", i)["term"].alias("term"), long(i, k).cast("long").alias("tf"), F.transform(F.slice("w", i + 1, long(i, k)), lambda x: x["at"]).alias("positions"))
-    counted = F.transform(F.slice("run", F.lit(1), F.size("run") - 1), row)
-    terms = runs.select("chunk_id", *also, F.explode(counted).alias("t")).select("t.term", "chunk_id", *also, "t.tf", "t.positions")
-    return terms, split.select("chunk_id", *also, F.size("w").cast("long").alias("length"))
+    terms = chunks.select(F.col("chunk_id").cast("long"), "content").mapInArrow(_placed, "term string, chunk_id long, tf long, positions array<int>")
+    return terms, chunks.select("chunk_id", F.size(words(F.coalesce("content", F.lit("")))).cast("long").alias("length"))
 
 
 def scored(hits: DataFrame, totals: DataFrame, terms: int) -> DataFrame:
@@ -84,8 +111,6 @@ def scored(hits: DataFrame, totals: DataFrame, terms: int) -> DataFrame:
 
 
 def _distinct(query: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
 
 

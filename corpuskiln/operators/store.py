@@ -21,7 +21,7 @@ _PIECES = "chunk_id long, path string, chunk_index int, start_line int, end_line
 WRITTEN = {
     "files": "path string, file_type string, last_modified long, last_indexed long",
     "chunks": f"{_PIECES}, embedding array<float>, length long",
-    "postings": "term string, chunk_id long, path string, tf long, positions array<int>",
+    "postings": "term string, chunk_id long, tf long, positions array<int>",
     "rejects": "path string, reason string",
     "gone": "path string",
 }
@@ -30,7 +30,7 @@ TABLES = {
     "files": ("files", WRITTEN["files"]),
     "chunks": ("chunks", _PIECES),
     "vectors": ("chunks", "chunk_id long, path string, embedding array<float>"),
-    "postings": ("postings", WRITTEN["postings"]),
+    "postings": ("postings", f"{WRITTEN['postings']}, path string"),
     "lengths": ("chunks", "chunk_id long, path string, length long"),
     "rejects": ("rejects", WRITTEN["rejects"]),
 }
@@ -123,7 +123,10 @@ class Store:
         at = F.create_map(*(F.lit(x) for place in places.items() for x in place))
         return rows.withColumn("_at", at[F.col("change")]).drop("change")
 
-    def _live(self, live: list[dict], written: str, schema: str) -> DataFrame:
+    def _alive(self, live: list[dict], written: str, schema: str) -> DataFrame:
+        """The rows that no later change replaces or removes, with `_at`."""
+        if written == "postings":  # they go with their chunks, and have their paths
+            return self._read(live, written, WRITTEN[written]).join(self._alive(live, "chunks", "chunk_id long, path string"), ["chunk_id", "_at"])
         rows = self._read(live, written, schema)
         if len(live) > 1:
             later = ["gone", "files", *(["rejects"] if written == "rejects" else [])]
@@ -131,7 +134,10 @@ class Store:
             if gone:
                 until = functools.reduce(DataFrame.unionAll, gone).groupBy(F.col("path").alias("_path")).agg(F.max("_at").alias("_until"))
                 rows = rows.join(until, (F.col("path") == F.col("_path")) & (F.col("_at") < F.col("_until")), "left_anti")
-        return rows.drop("_at")
+        return rows
+
+    def _live(self, live: list[dict], written: str, schema: str) -> DataFrame:
+        return self._alive(live, written, schema).select(_names(schema))
 
     def tables(self, *names: str) -> list[DataFrame]:
         """Several tables as one log entry has them."""
@@ -177,7 +183,7 @@ class Store:
             self._fs().delete(self._path(f"changes/{change['id']}/_staged"), True)
         kept = files.select(_names(WRITTEN["files"]))
         self._write(change, "files", kept if none else removed(kept, bad, "path"))
-        self._write(change, "postings", postings(written, "path")[0].sortWithinPartitions("term", "chunk_id"))
+        self._write(change, "postings", postings(written)[0].sortWithinPartitions("term", "chunk_id"))
         if gone is not None:
             self._write(change, "gone", gone.select("path").distinct())
         self._commit(lambda live: [*live, change])
