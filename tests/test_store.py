@@ -250,3 +250,28 @@ def test_wrong_dimension_changes_nothing(spark, notes):
     with pytest.raises(Exception, match="dimension 32 expected, got 1"):
         store.upsert(files, chunks)
     assert status(store) == {"files": 2, "chunks": 2}
+
+
+def test_index_and_search_is_brute_force(spark):
+    """The registered query, with its chunkers, vectors and order done again in plain Python."""
+    import pyarrow.parquet as pq
+    import xxhash
+
+    from corpuskiln.operators.chunking import OVERLAP, SIZE, fallback
+    from corpuskiln.queries import QUERIES
+
+    data, embedder = "/root/testdata/sf0.001", HashEmbedder(64)
+    found, vectors = [], []
+    for row in pq.read_table(f"{data}/documents.parquet").to_pylist():
+        path = f"/data/{row['doc_id']}.txt"
+        for k, c in enumerate(fallback(row["text"], path, SIZE, OVERLAP) if row["text"] else []):
+            h = xxhash.xxh64_intdigest(path.encode(), 42)
+            h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), h)
+            found.append((h - (1 << 64) if h >> 63 else h, path, c.start_line, c.end_line, c.content))
+    for at in range(0, len(found), 500):
+        vectors.append(embedder.embed([f[4] for f in found[at : at + 500]]))
+    distance = np.sqrt(((np.concatenate(vectors).astype(np.float32).astype(float) - embedder.embed(["the attention of the station"])[0]) ** 2).sum(1))
+    order = sorted(range(len(found)), key=lambda i: (round(float(distance[i]), 6), found[i][0]))[:20]
+    got = sorted(QUERIES["index_and_search"](spark, data).collect(), key=lambda r: (r.score, r.chunk_id))
+    assert [(r.chunk_id, r.file_path, r.start_line, r.end_line) for r in got] == [found[i][:4] for i in order]
+    assert np.allclose([r.score for r in got], [distance[i] for i in order], atol=1e-6)
