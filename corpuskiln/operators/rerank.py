@@ -7,6 +7,7 @@ from pathlib import Path
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ class OnnxReranker:
         self.model, self.tokenizer, self.logits = model, tokenizer, logits
 
     def scores(self, query: str, content: Column) -> Column:
-        import pandas as pd
-
         model, file, logits = self.model, self.tokenizer, self.logits
 
         @F.pandas_udf("double")
