@@ -117,6 +117,21 @@ def _compare_windows(threshold: float, window: int):
     return run
 
 
+def _not_met(cell: _Cell, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, as products of sets, without those that the largest earlier run among them has compared: of a group of near copies, which is one
+    run in most passes, only the rows that weren't in it are compared again. left and right are equal or disjoint."""
+    same, met = left is right, np.zeros(len(cell.ids), bool)
+    both = left if same else np.append(left, right)
+    for t in range(cell.turn):
+        runs, place, often = np.unique(cell.runs[both, t], return_inverse=True, return_counts=True)
+        if often.max() > met.sum():
+            met[:] = False
+            met[both[place == often.argmax()]] = True
+    others, again = left[~met[left]], left[met[left]]
+    pairs = [(others, others), (others, again)] if same else [(others, right), (again, right[~met[right]])]
+    return [(a, b) for a, b in pairs if len(a) and len(b)]
+
+
 def _compare_run(threshold: float):
     """Two blocks of a run that is longer than a window (or one with itself)."""
 
@@ -128,11 +143,12 @@ def _compare_run(threshold: float):
         low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
         part = table.column("part").to_numpy()
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        if low == high:
-            cell.compare(left, right, ours)
-        else:
-            for at in range(0, len(left), 256):
-                cell.compare(left[at : at + 256], right, ours)
+        for a, b in _not_met(cell, left, left if low == high else right):
+            if a is b:
+                cell.compare(a, b, ours)
+            else:
+                for at in range(0, len(a), 256):
+                    cell.compare(a[at : at + 256], b, ours)
         return cell.found()
 
     return run
@@ -155,7 +171,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, window: int = W
     of close vectors) is also compared whole, in pairs of blocks that are tasks of their own, so
     no group is capped. The passes are as many as leave a pair at the threshold without a common run
     with chance `miss`; closer pairs, and neighbours over a run's edge, meet more surely. Rows carry their
-    runs and blocks of all passes, so a pair counts only in the first pass that compares it; what leaves a
+    runs and blocks of all passes, so a pair counts only in the first pass that compares it, and of a long run only the rows outside its largest
+    earlier run are compared again; what leaves a
     task is one row for each linked vector: its new links and the root of its local group.
 
     Vectors that are null, empty, all zero or hold null or non-finite components, and rows without a

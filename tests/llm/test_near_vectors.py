@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
+from corpuskiln.llm import near_vectors as nv
 from corpuskiln.llm.near_vectors import near_vectors
 
 SCHEMA = "vec_id long, label int, embedding array<float>, code string, rep int"
@@ -68,6 +70,30 @@ def test_a_group_far_larger_than_a_window(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
 
 
+def test_a_group_that_stays_together_is_compared_once(spark, monkeypatch):
+    """20,000 near copies in ten blocks and three passes; a few rows fall out of the group's run in each."""
+    rng = np.random.default_rng(8)
+    n, size, passes = 20_000, 2000, 3
+    out = [rng.choice(n, 20, replace=False) for _ in range(passes)]
+    runs = np.array([[-1 - i * passes - t if i in set(out[t].tolist()) else 7 + t for t in range(passes)] for i in range(n)])
+    compared = np.zeros(passes, np.int64)
+
+    def count(cell, a, b, take):
+        compared[cell.turn] += len(a) * (len(a) + 1) // 2 if len(a) == len(b) and (a == b).all() else len(a) * len(b)
+
+    monkeypatch.setattr(nv._Cell, "compare", count)
+    for t in range(passes):
+        own = np.flatnonzero(runs[:, t] == 7 + t)
+        for low in range(n // size):
+            for high in range(low, n // size):
+                rows = own[np.isin(own // size, [low, high])]
+                table = {"rep": rows, "copies": np.ones(len(rows), np.int64), "label": np.zeros(len(rows), np.int64), "embedding": [[1.0]] * len(rows), "runs": list(runs[rows, : t + 1]), "blocks": list(np.zeros((len(rows), t + 1), np.int64))}
+                table |= {"size": np.full(len(rows), len(own)), "turn": np.full(len(rows), t), "low": np.full(len(rows), low), "high": np.full(len(rows), high), "part": rows // size}
+                nv._compare_run(0.93)(pa.table(table))
+    assert compared[0] == (n - 20) * (n - 19) // 2
+    assert compared[1:].max() <= 20 * n
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 0, None), (2, 0, []), (3, 0, [0.0, 0.0]), (4, 0, [nan, 1.0]), (5, 0, [inf, 1.0]), (6, 0, [None, 1.0]), (7, None, [1.0, 0.0]), (8, 0, [1.0, 0.0]), (9, 0, [2.0, 0.0]), (9, 0, [2.0, 0.0]), (10, 0, [1.0, 0.0, 0.0]), (None, 0, [1.0, 0.0]), (11, 0, [1e30, 0.0])]
