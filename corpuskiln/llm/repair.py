@@ -275,11 +275,15 @@ def repaired(conversations: DataFrame, block_turns: int = BLOCK_TURNS, block_byt
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     dealt = rows.repartitionByRange("conv_id", "turn", F.substring("role", 1, 32), F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text")
-    turns = cut(dealt.mapInArrow(_numbered(block_turns, block_bytes), "conv_id long, turn long, role string, text string, at long, block long"), "turns")
     initial, bare = F.substring("role", 1, 1), _bare(F.col("text"))
-    initial = F.when(initial.isin("s", "u", "a"), initial).otherwise("x")
-    kinds = turns.select("block", "conv_id", "at", initial.alias("initial"), (bare == "").alias("blank"), (~F.right(bare, F.lit(1)).isin(".", "!", "?")).alias("truncated"))
-    prints = turns.select(F.struct("conv_id", F.sha2("role", 256), F.sha2("text", 256)).cast("string").alias("print"), "block", "at")
+    initial = F.when(initial.isin("s", "u", "a"), initial).otherwise("x").alias("initial")
+    # What is asked of a turn's texts later is worked out once; only edits and digests read the texts again.
+    said = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
+    dealt = dealt.select("conv_id", "turn", "role", "text", initial, (bare == "").alias("blank"), (~F.right(bare, F.lit(1)).isin(".", "!", "?")).alias("truncated"), F.unhex(said).alias("print"))
+    schema = "conv_id long, turn long, role string, text string, initial string, blank boolean, truncated boolean, print binary, at long, block long"
+    turns = cut(dealt.mapInArrow(_numbered(block_turns, block_bytes), schema), "turns")
+    kinds = turns.select("block", "conv_id", "at", "initial", "blank", "truncated")
+    prints = turns.select(F.struct("conv_id", "print").alias("print"), "block", "at")
     first = prints.groupBy("print").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first")
     repeated = cut(prints.join(first, "print").where("at > first").select("block", "at"), "repeated")
     segments = cut(kinds.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_segments, "conv_id long, block long, kinds string"), "segments")
@@ -292,7 +296,7 @@ def repaired(conversations: DataFrame, block_turns: int = BLOCK_TURNS, block_byt
     plans = cut(plans.mapInArrow(_audited, "block long, conv_id long, entry int, kinds string, audit string"), "audits")
     for old in (repeated, segments, crossings):
         drop(old)
-    return turns.withColumn("blank", bare == "").groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_edited, SCHEMA)
+    return turns.select("block", "conv_id", "turn", "role", "text", "blank", "at").groupBy("block").cogroup(plans.groupBy("block")).applyInArrow(_edited, SCHEMA)
 
 
 AUDIT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
