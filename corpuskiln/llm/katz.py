@@ -400,6 +400,7 @@ def katz_scores(documents: DataFrame, held_out, order: int = ORDER, part_bytes:
     Nothing of the vocabulary or of the n-grams is sent to the driver but sums and the weights of common contexts, fewer
     than MOST_HOT for each order.
 
+    Words are 64-bit hashes of their bytes: two of n distinct ones fall together with a chance of about n^2 / 2^65 (3 % at 10^9).
     A null or empty text has the end alone. A null doc_id is kept; held_out decides about it. Repeated
     rows are scored each, and learnt each. Without training documents N = V = 0 and score equals
     base_score. Documents are read twice and must come in the same order again, as from files or a written table; the

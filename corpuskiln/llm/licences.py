@@ -147,8 +147,13 @@ def canonical(text: Column) -> Column:
     return _joined(_plain_lines(text))
 
 
-def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "licence string, licence_text string")
+def known_licences(spark: SparkSession, files: str | None = None) -> DataFrame:
+    """Known texts (licence, licence_text): those of this module and, if a folder of text files is given, each file's whole text under its name."""
+    own = spark.createDataFrame(KNOWN, "licence string, licence_text string")
+    if files is None:
+        return own
+    read = spark.read.text(files, wholetext=True)
+    return own.unionByName(read.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("licence"), F.col("value").alias("licence_text")))
 
 
 def licences(documents: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 import hashlib
 import math
+import os
 import random
 import textwrap
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,6 +75,24 @@ def test_licences_are_found_at_every_width(spark):
     assert got == want and len(full) == 9
 
 
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files here")
+def test_licences_given_as_files(spark, tmp_path):
+    names = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"]
+    docs = []
+    for name in names:
+        with open(f"{COMMON}/{name}") as file:
+            text = file.read()
+        (tmp_path / name).write_text(text)
+        # A copyright line is left out by its line; where there is one, lines stay.
+        other = "\n".join(f"  {line}  " for line in text.upper().splitlines()) if "GPL" in name else textwrap.fill(" ".join(text.split()), 61).upper()
+        docs += [(len(docs), name, text), (len(docs) + 1, name, other), (len(docs) + 2, None, text.replace("the", "teh", 1))]
+    got = licences.licences(spark.createDataFrame([(k, t) for k, _, t in docs], "doc_id long, text string"), licences.known_licences(spark, str(tmp_path)))
+    assert {r.doc_id: r.text_licence for r in got.collect()} == {k: name for k, name, _ in docs}
+
+
 def test_every_text_of_a_doc_id_has_its_licence(spark):
     mit, isc = (next(t for k, t in licences.KNOWN if k == name and len(t) > 300) for name in ("MIT", "ISC"))
     rows = [(1, mit), (1, isc), (1, isc), (1, None), (None, mit), (None, "x\nReleased under the MIT License."), (None, "x\nReleased under the MIT License.")]

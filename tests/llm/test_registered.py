@@ -1,5 +1,6 @@
 """The registered queries that have no SQL, as they are registered, against plain Python on the smallest tables."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -10,8 +11,10 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from corpuskiln.llm import pieces
 from corpuskiln.llm.queries import queries
 
+from .conftest import text
 from .test_katz_pieces_pipeline import brute_katz, same
 
 DATA = "/root/testdata/sf0.001"
@@ -79,3 +82,15 @@ def test_pieces(spark):
         ids = library.encode(text or "")
         want.append((doc, len(ids), sum((k + 1) * x for k, x in enumerate(ids)) % 1_000_000_007, library.decode(ids) == (text or "")))
     assert sorted(map(tuple, queries()["op10_pieces"](spark, DATA).collect())) == sorted(want)
+
+
+def test_texts_beyond_the_production_chunk(spark):
+    rng, model = random.Random(11), public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [text(rng, 20_000), "".join(rng.choices("ab ▁é日😀\n", k=70_000)), "x" * 100_000, " " * 40_000 + "y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for doc, words in enumerate(texts):
+        ids = library.encode(words)
+        want.append((doc, len(ids), sum((k + 1) * x for k, x in enumerate(ids)) % 1_000_000_007, library.decode(ids) == words))
+    assert sorted(map(tuple, pieces.checked(pieces.encode(frame, model, then=pieces.check(model))).collect())) == want
