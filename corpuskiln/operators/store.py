@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import has_dimension, normalised
+from ..session import shuffles_deleted
 from .retrieval import postings
 
 MOST_CHANGES = 32
@@ -149,7 +150,8 @@ class Store:
 
     def _write(self, change: dict, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.root}/changes/{change['id']}/{name}"
-        rows.withColumn("change", F.lit(change["id"])).write.parquet(path)
+        with shuffles_deleted(self.spark):
+            rows.withColumn("change", F.lit(change["id"])).write.parquet(path)
         change["tables"].append(name)
         return self.spark.read.schema(rows.schema).parquet(path)
 
