@@ -113,9 +113,18 @@ def _hirschberg(kinds: str, p: int, q: int) -> str:
     return _hirschberg(kinds[:middle], p, between) + _hirschberg(kinds[middle:], between, q)
 
 
-@functools.lru_cache(1 << 16)
 def audit(kinds: str, entry: int = 0, end: int | None = None) -> str:
     """The cheapest edits of turns of these kinds, least in ASCII of equal ones; without `end`, those that end a conversation."""
+    return _known_audit(kinds, entry, end) if len(kinds) <= 32 else _audit(kinds, entry, end)
+
+
+@functools.lru_cache(1 << 16)
+def _known_audit(kinds: str, entry: int, end: int | None) -> str:
+    """Short conversations are often alike."""
+    return _audit(kinds, entry, end)
+
+
+def _audit(kinds: str, entry: int, end: int | None) -> str:
     if end is not None:
         return _hirschberg(kinds, entry, end)
     forward = _at(entry)
