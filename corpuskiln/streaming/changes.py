@@ -145,10 +145,15 @@ def request_counts(requests: DataFrame, limit: int, window: str, late: str = "1
     return counted.select("key", F.col("w.start").alias("start"), "requests", F.least("requests", F.lit(limit)).alias("accepted"))
 
 
-def notified(channels: DataFrame, connections: DataFrame) -> DataFrame:
-    """Published messages (channel, message) for each open connection of the device the channel names.
+def notices(channels: DataFrame) -> DataFrame:
+    """Messages of the subscribed channels (channel, message, ...) with the device that a channel names.
 
-    A channel that isn't `sync:notify:` and a UUID is skipped.
+    A channel that isn't `sync:notify:` and a UUID is skipped. As `messages` of requests.delivered they reach the connections that are open at their time.
     """
     device = F.regexp_extract("channel", r"^sync:notify:([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$", 1)
-    return channels.withColumn("device", device).where("device <> ''").join(connections, "device")
+    return channels.withColumn("device", device).where("device <> ''")
+
+
+def notified(channels: DataFrame, connections: DataFrame) -> DataFrame:
+    """Published messages (channel, message) for each connection (device, ...) of a table of open ones."""
+    return notices(channels).join(connections, "device")

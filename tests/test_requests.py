@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.operators import events as E
 from corpuskiln.operators import relay
+from corpuskiln.streaming.changes import notices
 from corpuskiln.streaming.requests import bundle_lives, delivered, error_rings, first_ids, here, limited, unrevoked
 
 T0 = datetime(2024, 1, 1)
@@ -122,6 +123,14 @@ def test_delivered(spark, tmp_path):
     same(got.where("device <> 'end'"), want)
 
 
+def test_published_messages_reach_open_connections(spark, tmp_path):
+    device = "00000000-0000-0000-0000-00000000000a"
+    published = [(f"sync:notify:{device}", "in time", at(50)), (f"sync:notify:{device}", "too late", at(70)), ("sync:notify:x", "no device", at(50)), ("other", "no", at(50)), (f"sync:notify:{device}", "end", LATER)]
+    fed = Fed(spark, tmp_path, lambda published, connections: delivered(notices(published), connections), published="channel string, message string, ts timestamp", connections="device string, connection string, ts timestamp, delta int")
+    got = fed.feed(published=[published[:4], published[4:]], connections=[[(device, "7", at(10), 1), (device, "7", at(60), -1)], [("end", "", LATER, 1)]])
+    assert [(r.connection, r.message) for r in got.collect()] == [("7", "in time")]
+
+
 def test_error_rings(spark, tmp_path):
     rng = random.Random(5)
     schema = "owner string, path string, ok boolean, ts timestamp, seq long"
