@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +59,12 @@ def with_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
 _WORDS = re.compile(r"[^\W_]+")
 
 
+#: So many words' postings are put in the order of their terms at once.
+_SORTED_WORDS = 1 << 19
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, chunk_id, tf, positions) of chunks (chunk_id, content), some thousands of words' at once."""
+    """Rows (term, chunk_id, tf, positions) of chunks (chunk_id, content), in runs that are sorted by term."""
     ids: list[int] = []
     terms: list[str] = []
     sizes: list[int] = []
@@ -68,7 +73,11 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def written() -> pa.RecordBatch:
         tf = np.array(sizes, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(np.array(positions, np.int32)))
-        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tf), lists], ["term", "chunk_id", "tf", "positions"])
+        named = pa.array(terms, pa.string()).dictionary_encode()
+        rank = np.empty(len(named.dictionary), np.int32)
+        rank[pc.sort_indices(named.dictionary).to_numpy()] = np.arange(len(rank), dtype=np.int32)
+        out = pa.RecordBatch.from_arrays([named.cast(pa.string()), pa.array(ids, pa.int64()), pa.array(tf), lists], ["term", "chunk_id", "tf", "positions"])
+        out = out.take(pa.array(np.argsort(rank[named.indices.to_numpy()], kind="stable")))
         for column in (ids, terms, sizes, positions):
             column.clear()
         return out
@@ -83,7 +92,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for places in held.values():
                 sizes.append(len(places))
                 positions += places
-            if len(positions) > 1 << 16:
+            if len(positions) > _SORTED_WORDS:
                 yield written()
     if ids:
         yield written()
@@ -92,7 +101,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index tables of chunks (chunk_id, content): (term, chunk_id, tf, positions) and (chunk_id, length).
 
-    A chunk's words are counted within its row, so nothing is shuffled. Positions count words from 0.
+    A chunk's words are counted within its row, so nothing is shuffled; a task's postings come in runs sorted by term, so that a file's pages
+    hold few terms each. Positions count words from 0.
     """
     terms = chunks.select(F.col("chunk_id").cast("long"), "content").mapInArrow(_placed, "term string, chunk_id long, tf long, positions array<int>")
     return terms, chunks.select("chunk_id", F.size(words(F.coalesce("content", F.lit("")))).cast("long").alias("length"))

@@ -151,7 +151,7 @@ class Store:
     def _write(self, change: dict, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.root}/changes/{change['id']}/{name}"
         with shuffles_deleted(self.spark):
-            rows.withColumn("change", F.lit(change["id"])).write.parquet(path)
+            rows.withColumn("change", F.lit(change["id"])).write.option("compression", "zstd").parquet(path)
         change["tables"].append(name)
         return self.spark.read.schema(rows.schema).parquet(path)
 
@@ -159,8 +159,8 @@ class Store:
         """Replaces all that is stored of these files, in one change; returns rejects (path, reason).
 
         files (path, file_type, last_modified, last_indexed); chunks (path, chunk_index, start_line, end_line, content,
-        embedding, and, if given, chunk_id and error). Chunks are computed once, by the write of their table; its pages are sorted by
-        chunk_id, the postings' by term, so that lookups read few of them. A file without chunks loses its old ones. A file
+        embedding, and, if given, chunk_id and error). Chunks are computed once, by the write of their table; tasks sort their own rows by
+        chunk_id, and postings by term, so that lookups read few pages; compaction sorts the whole tables. A file without chunks loses its old ones. A file
         with an error in any chunk is a reject and keeps what it had. rejects are such files as came to nothing before, gone (path) what is to
         be removed by the same change.
         """
@@ -185,7 +185,7 @@ class Store:
             self._fs().delete(self._path(f"changes/{change['id']}/_staged"), True)
         kept = files.select(_names(WRITTEN["files"]))
         self._write(change, "files", kept if none else removed(kept, bad, "path"))
-        self._write(change, "postings", postings(written)[0].sortWithinPartitions("term", "chunk_id"))
+        self._write(change, "postings", postings(written)[0])
         if gone is not None:
             self._write(change, "gone", gone.select("path").distinct())
         self._commit(lambda live: [*live, change])
@@ -208,7 +208,7 @@ class Store:
         was first, its work stands and this one's is thrown away."""
         old, change = self._latest()[1], {"id": uuid.uuid4().hex, "tables": []}
         for name, by in (("files", ["path"]), ("chunks", ["chunk_id"]), ("postings", ["term", "chunk_id"]), ("rejects", ["path"])):
-            self._write(change, name, self._live(old, name, WRITTEN[name]).sortWithinPartitions(*by))
+            self._write(change, name, self._live(old, name, WRITTEN[name]).repartitionByRange(*by).sortWithinPartitions(*by))
         done = self._commit(lambda live: [change, *live[len(old) :]] if live[: len(old)] == old else None)
         if not done:
             self._fs().delete(self._path(f"changes/{change['id']}"), True)
