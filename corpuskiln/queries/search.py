@@ -337,18 +337,13 @@ def rpc_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT d.source, d.doc_id, d.lang, n.text AS note FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 AND n.n_chars < 400 WHERE d.n_chars < 200),
-o AS (SELECT source, '[' || chr(10) || string_agg('  {' || chr(10) || '    "doc_id": ' || doc_id || ',' || chr(10) || '    "lang": ' || to_json(lang) || ',' || chr(10) || '    "note": ' || coalesce(to_json(note)::VARCHAR, 'null') || chr(10) || '  }', ',' || chr(10) ORDER BY doc_id) || chr(10) || ']' AS text FROM r GROUP BY source)
-SELECT source, coalesce(o.text, '[]') AS text FROM (SELECT DISTINCT source FROM documents) LEFT JOIN o USING (source)""")
+SELECT doc_id // 10 AS page, '[' || chr(10) || string_agg('  {' || chr(10) || '    "doc_id": ' || doc_id || ',' || chr(10) || '    "lang": ' || to_json(lang) || ',' || chr(10)
+  || '    "text": ' || coalesce(to_json(text)::VARCHAR, 'null') || chr(10) || '  }', ',' || chr(10) ORDER BY doc_id) || chr(10) || ']' AS text FROM documents GROUP BY 1""")
 def tool_result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short documents of each source as the text of a tool's result."""
-    documents = table(spark, sf_dir, "documents")
-    notes = documents.where("n_chars < 400").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("note"))
-    rows = documents.where("n_chars < 200").select("doc_id", "source", "lang").join(notes, "doc_id", "left")
-    listed_rows = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang", "note"))).alias("items"))
-    every = documents.select("source").distinct().join(listed_rows, "source", "left")
-    none = F.array().cast("array<struct<doc_id:long,lang:string,note:string>>")
-    return every.select("source", pretty_json(F.coalesce("items", none), ["doc_id", "lang", "note"]).alias("text"))
+    """All documents, ten to a page, as the texts of a tool's results."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") - F.col("doc_id") % 10).alias("first"), F.struct("doc_id", "lang", "text").alias("item"))
+    pages = rows.groupBy("first").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return pages.select((F.col("first") / 10).cast("long").alias("page"), pretty_json(F.col("items"), ["doc_id", "lang", "text"]).alias("text"))
 
 
 _INDEXES: dict[tuple, store.Store] = {}
