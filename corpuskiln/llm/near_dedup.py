@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, for_salts, hot_keys, local_roots, salted
+from .common import components, cut, drop, for_salts, hot_keys, local_roots
 from .words import groups, mix, shingle_sets
 
 _U = np.uint64
@@ -97,6 +97,17 @@ def _sized(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """Adds salt, by which the rows of a hot key are dealt evenly; 0 for others. The hot keys, fewer than HOT, stand
+    in the expression: all rows get a salt, and few are of a hot key, so they aren't joined for it."""
+    few = {r[key]: r["salts"] for r in hot.select(key, "salts").collect()}
+    salts = F.lit(1)
+    if few:
+        of = F.create_map(*[F.lit(x) for pair in few.items() for x in pair])
+        salts = F.when(F.col(key).isin(list(few)), F.element_at(of, F.col(key))).otherwise(salts)
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds `linked`: whether the full sets of a and b overlap enough. a may be one star's centre in many pairs."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -108,14 +119,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A document's rarest shingles, enough that any two documents to be linked share one of them."""
+    """A document's rarest shingles, enough that any two documents to be linked share one of them; at: how many of its
+    shingles are rarer."""
     each = sets.join(rest, F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "component", F.explode("shingles").alias("bucket"))
     sizes = cut(_sized(each, "bucket").where("n > 1"), "sizes")
     hot = hot_keys(sizes, "bucket")
     counted = salted(each, hot, "bucket", "rep").join(for_salts(sizes, hot, "bucket"), ["bucket", "salt"], "left")
     listed = counted.groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("often"), "bucket"))).alias("s"))
     length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    return listed.select("rep", "n_shingles", "component", F.explode(F.slice("s", F.lit(1), length.cast("int"))).alias("s")).where("s.often > 1").select("s.bucket", "rep", "n_shingles", "component")
+    rarest = listed.select("rep", "n_shingles", "component", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("at", "s"))
+    return rarest.where("s.often > 1").select("s.bucket", "rep", "n_shingles", "component", "at")
+
+
+def _reachable(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Without the members whose bucket can't be the first that they share with one they are to be linked with.
+
+    Two documents share nothing rarer than the rarest shingle they share, so there the overlap is at most
+    n_shingles - at; a member for which this is too little even with the bucket's smallest set, or the smallest that fits, has its links elsewhere.
+    """
+    least = for_salts(rows.groupBy("bucket").agg(F.min("n_shingles").alias("least")), hot, "bucket")
+    other = F.greatest("least", F.ceil(F.col("n_shingles") * percent / 100))
+    enough = (100 + percent) * (F.col("n_shingles") - F.col("at")) >= percent * (F.col("n_shingles") + other)
+    return rows.join(least, ["bucket", "salt"]).where(enough).drop("least", "at")
 
 
 def _compare_members(percent: int):
@@ -161,7 +186,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     members are then in different components loses its centre, which has been compared with all
     of them, and proposes another star. What `star_rounds` stars leave mixed is finished exactly: those
     documents' rarest shingles, as many as two documents to be linked can't both avoid, are
-    buckets in the same way, and what stars leave mixed there is compared pair by pair inside tasks, in
+    buckets in the same way, without members that have too many rarer ones for a link there, and what stars leave mixed there is compared pair by pair inside tasks, in
     blocks, which give back only each local group's root. No bucket is capped, so a pair that shares one is never lost; that a pair of
     similarity 0.85 shares none has a chance of (1 - 0.85^6)^32, under 3e-7.
 
@@ -205,7 +230,9 @@ def _link_buckets(buckets: DataFrame, docs: DataFrame, percent: int, star_rounds
         rest = alive.select("rep", "n_shingles", "component").distinct()
         prefixes = cut(_prefixes(rest, sets, percent), "prefixes")
         hot = hot_keys(_sized(prefixes, "bucket"), "bucket")
-        alive = cut(state.mixed(salted(prefixes, hot, "bucket", "rep"), hot), "alive")
+        near = cut(_reachable(salted(prefixes, hot, "bucket", "rep"), hot, percent), "near")
+        alive = cut(state.mixed(near, hot), "alive")
+        drop(near)
         drop(prefixes)
         state.finish(state.stars(alive, star_rounds, hot), hot)
     for old in (sets, *state.written):

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpuskiln.llm import near_dedup
@@ -105,3 +106,27 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_a_salt_needs_no_join(spark):
+    rows = spark.range(4000).selectExpr("if(id < 1000, 7, id) AS bucket", "id AS rep")
+    hot = near_dedup.hot_keys(rows.groupBy("bucket").count().withColumnRenamed("count", "n"), "bucket")
+    for some, most in ((hot, 4), (hot.where("false"), 1)):
+        got = near_dedup.salted(rows, some, "bucket", "rep")
+        assert "Join" not in got._jdf.queryExecution().toString()
+        salts = {r.hot: r.salts for r in got.groupBy((F.col("bucket") == 7).alias("hot")).agg(F.countDistinct("salt").alias("salts")).collect()}
+        assert got.count() == 4000 and salts == {True: most, False: 1}
+
+
+def test_members_too_far_apart_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng, finish, left = random.Random(8), near_dedup._State.finish, []
+    monkeypatch.setattr(near_dedup._State, "finish", lambda self, alive, hot: left.append(alive.count()) or finish(self, alive, hot))
+    base, rows = text(rng, 150).split(), []
+    for key in range(60):
+        own = list(base)
+        for at in rng.sample(range(4, 145), 1 if key < 12 else 3):
+            own[at] = f"own{key}x{at}"
+        rows.append((key, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 85)
+    assert sum(left) < 12 * 20
