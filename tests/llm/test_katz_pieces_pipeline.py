@@ -130,6 +130,28 @@ def test_discounts():
     assert katz.discounts([0] * 6).tolist() == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]
 
 
+@pytest.mark.parametrize(("low", "high"), [(0, 9), (-2, 40), (0, 1 << 40), (-(1 << 62), 1 << 62), (5, 6)])
+def test_distinct_is_numpys(low, high):
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 700):
+        values = np.concatenate([rng.integers(low, high, size)] * 2)
+        for a, b in zip(katz._distinct(values), np.unique(values, return_index=True, return_inverse=True, return_counts=True), strict=True):
+            assert (a == b).all() and len(a) == len(b)
+        assert (katz._sorted(values)[1] == np.argsort(values, kind="stable")).all()
+    hashed = rng.integers(0, 1 << 64, 50, dtype=np.uint64)[rng.integers(0, 50, 900)]
+    assert all((a == b).all() for a, b in zip(katz._distinct_hashes(hashed), np.unique(hashed, return_inverse=True), strict=True))
+
+
+def test_katz_replays_an_order_without_what_only_asking_needs(monkeypatch):
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    said, asked = cells({"doc_id": [1], "text": ["a b a b c a b"], "train": [True]})
+    answers = katz._count_words(1)(asked)
+    replies = answers.select(["cell", "part", "block"]).append_column("level", pa.array([1] * answers.num_rows, pa.int32()))
+    cell = katz._Cell(said, replies, 2, 1, 1000, 1)
+    full, again = cell.next_order(), cell.next_order(ask=False)
+    assert (full.place == again.place).all() and (full.own == again.own).all() and hasattr(full, "seen") and not hasattr(again, "seen")
+
+
 def test_blocks_come_back():
     arrays = [np.arange(5, dtype=np.uint32), np.zeros(0, np.int64), np.array([1.5, -2]), np.array([True, False])]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, katz.spread(katz.squeeze(*arrays)), strict=True))
