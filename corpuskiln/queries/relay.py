@@ -125,7 +125,7 @@ _BOUNDS = "(SELECT 1024 * CAST(pow(2, i) AS BIGINT) AS le FROM range(15) t(i) UN
 
 @query(f"WITH b AS (SELECT {_TYPE} AS content_type, CAST(o_totalprice * 50 AS BIGINT) AS size FROM orders) SELECT content_type, coalesce(le, -1) AS le, count(CASE WHEN le IS NULL OR size <= le THEN 1 END) AS n FROM b CROSS JOIN {_BOUNDS} GROUP BY content_type, le")
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.size_histogram(table(spark, sf_dir, "orders").select(_type().alias("content_type"), F.round(F.col("o_totalprice") * 50).cast("long").alias("size"))).withColumn("le", _or_none("le"))
+    return R.size_histogram(table(spark, sf_dir, "orders").select(_type().alias("content_type"), F.rint(F.col("o_totalprice") * 50).cast("long").alias("size"))).withColumn("le", _or_none("le"))
 
 
 @query("WITH r AS (SELECT user_id % 5 AS route, 200 + 100 * (event_id % 4) AS status, value FROM events) SELECT route, CASE WHEN status >= 500 THEN 'error' WHEN status >= 400 THEN 'warn' ELSE 'info' END AS level, count(*) AS requests, round(avg(value), 6) AS mean_ms, max(value) AS worst_ms FROM r GROUP BY ALL")

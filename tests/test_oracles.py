@@ -47,3 +47,15 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_size_histogram_at_the_bounds(spark, tmp_path):
+    # 50 times the price is half a byte off a bound, on either side of it: a half goes to the even number, as in SQL.
+    prices = [(b + half) / 50 for b in (1024 << i for i in range(15)) for half in (-1.5, -0.5, 0.0, 0.5, 1.0, 1.5)] + [None]
+    orders = spark.createDataFrame([(k, price) for price in prices for k in range(5)], "o_orderkey long, o_totalprice double")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["size_histogram"](spark, str(tmp_path))
+    ran = con.execute(ORACLES["size_histogram"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in ran.description], ran.fetchall())
