@@ -3,14 +3,19 @@
 Every stream has a watermark: `late` behind the latest time seen. Rows that come later than that are dropped, by
 Spark. Streams that must see a key's rows in time order (here, delivered, error_rings, bundle_lives) hold them back until the
 watermark has passed them; the others answer at once, in time order within a batch. Times are of the events, never the clock's, so that a
-stream that starts again, or catches up, gives the same rows.
+stream that starts again, or catches up, gives the same rows. error_rings, whose owners are few and have many runs, packs them before it deals them
+out, and keeps them so.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -262,43 +267,140 @@ def delivered(messages: DataFrame, connections: DataFrame, late: str = "10 secon
     return _timed(_keyed(rows, None, ["device"], _Delivery(), _Delivery.out), "at")
 
 
-class _Ring(_InOrder):
-    columns, out = "at long, seq long, ok boolean, path string", "owner string, path string, at long, seq long, place int, until long"
+#: So many runs, or bytes of them, are packed at once. A run without a number comes before those that have one.
+_PACK, _PACK_BYTES, _NO_NUMBER = 1 << 16, 1 << 26, -(1 << 63)
+_RUN = pa.schema([("at", pa.int64()), ("seq", pa.int64()), ("ok", pa.int8()), ("path", pa.string())])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (owner, at, seq, ok, path) one for each owner, with the last time and lists of the runs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _PACK or sum(b.nbytes for b in held) >= _PACK_BYTES:
+            yield _by_owner(pa.Table.from_batches(held))
+            held = []
+    if any(b.num_rows for b in held):
+        yield _by_owner(pa.Table.from_batches(held))
+
+
+def _by_owner(rows: pa.Table) -> pa.RecordBatch:
+    if rows["at"].null_count:
+        raise ValueError("a run has no time")
+    codes = pc.dictionary_encode(rows["owner"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    rows = rows.take(order)
+    offsets = pa.array(np.append(starts, len(order)), pa.int32())
+    runs = [pa.ListArray.from_arrays(offsets, rows[f.name].combine_chunks().cast(f.type)) for f in _RUN]
+    last = np.maximum.reduceat(rows["at"].to_numpy(), starts)
+    return pa.RecordBatch.from_arrays([rows["owner"].take(starts).combine_chunks(), pa.array(last), *runs], ["owner", "last", *_RUN.names])
+
+
+class _Ring(StatefulProcessor):
+    """Holds an owner's runs until the watermark has passed them; a walk over them in order then leaves the errors that no success has cleared.
+
+    Both are kept as Arrow batches: those of waiting runs by their first time, so that only what is due is read again.
+    """
+
+    out = "owner string, path string, at long, seq long, place int, until long"
 
     def __init__(self, most: int) -> None:
         self.most = most
 
-    def begin(self, handle) -> None:
-        self.errors, self.until = handle.getListState("errors", "at long, seq long, path string"), handle.getValueState("until", "at long")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.taken = handle, handle.getValueState("taken", "until long")
+        self.waiting = handle.getMapState("waiting", "first long, number long", "runs binary")
+        self.errors = handle.getMapState("errors", "number long", "runs binary")
 
-    def take(self, key, row) -> Iterable[tuple]:
-        at, seq, ok, path = row
-        held = [tuple(e) for e in self.errors.get()] if self.errors.exists() else []
-        if ok:
-            held = [e for e in held if e[2] != path]
-        else:
-            own = [e for e in held if e[2] == path]
-            if len(own) == self.most:  # more of one path than the ring has places can't show
-                held.remove(min(own))
-            held.append((at, seq, path))
-        self.errors.put(sorted(held)) if held else self.errors.clear()
-        self.until.update((at,))
-        return ()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = []
+        for frame in rows:
+            at, seq, ok, path = (np.concatenate([np.asarray(x) for x in frame[c]]) for c in _RUN.names)
+            parts.append(pa.RecordBatch.from_arrays([pa.array(at), pa.array(seq), pa.array(ok), pa.array(path, pa.string(), from_pandas=True)], schema=_RUN))
+        yield from self._passed(key, pa.Table.from_batches(parts, _RUN), timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._passed(key, _RUN.empty_table(), timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def shown(self, key) -> Iterable[tuple]:
-        held = sorted((tuple(e) for e in self.errors.get()), reverse=True) if self.errors.exists() else []
-        until = self.until.get()[0]
-        return [(*key, path, at, seq, k + 1, until) for k, (at, seq, path) in enumerate(held[: self.most])] or [(*key, None, None, None, 0, until)]
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _read(state, numbers: list[tuple]) -> pa.Table:
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(state.getValue(n)[0])), _RUN) for n in numbers], _RUN)
+
+    @staticmethod
+    def _listed(runs: pa.Table) -> Iterator[tuple]:
+        return zip(*(runs[c].to_numpy().tolist() for c in _RUN.names), strict=True)
+
+    @staticmethod
+    def _parts(runs: pa.Table) -> Iterator[pa.RecordBatch]:
+        for k in range(0, runs.num_rows, _PACK):
+            yield runs.slice(k, _PACK).combine_chunks().to_batches()[0]
+
+    def _passed(self, key: tuple, new: pa.Table, until: int) -> Iterator[pd.DataFrame]:
+        if (taken := self.taken.get()[0] if self.taken.exists() else None) is not None:
+            new = new.filter(pc.greater(new["at"], taken))  # late ones, packed with others
+        numbers = sorted(tuple(n) for n in self.waiting.keys())
+        due = [n for n in numbers if n[0] <= until]
+        runs = pa.concat_tables([self._read(self.waiting, due), new])
+        # An error at the time and number of a success comes first, and is cleared.
+        order = np.lexsort([runs[c].to_numpy() for c in ("ok", "seq", "at")])
+        runs = runs.take(order)
+        ready = int(np.searchsorted(runs["at"].to_numpy(), until, "right"))
+        for n in due:
+            self.waiting.removeKey(n)
+        firsts, number = [n[0] for n in numbers[len(due) :]], max((n[1] for n in numbers), default=0)
+        for part in self._parts(runs.slice(ready)):
+            firsts.append(part["at"][0].as_py())
+            number += 1
+            self.waiting.updateValue((firsts[-1], number), (part.serialize().to_pybytes(),))
+        if firsts:
+            self.handle.registerTimer(_ms(min(firsts)))
+        if taken is None or taken < until:
+            self.taken.update((until,))
+        if ready:
+            yield pd.DataFrame(self._ring(key, runs.slice(0, ready)), columns=_names(self.out), dtype=object)
+
+    def _ring(self, key: tuple, runs: pa.Table) -> list[tuple]:
+        errors: dict[str | None, list[tuple[int, int]]] = {}
+        numbers, changed = sorted(tuple(n) for n in self.errors.keys()), False
+        for at, seq, _, path in self._listed(self._read(self.errors, numbers)):
+            errors.setdefault(path, []).append((at, seq))
+        for at, seq, ok, path in self._listed(runs):
+            if ok == 0:
+                own = errors.setdefault(path, [])
+                own.append((at, seq))
+                if len(own) > self.most:  # more of one path than the ring has places can't show
+                    del own[0]
+                changed = True
+            elif ok == 1 and path is not None and errors.pop(path, None):
+                changed = True
+        if changed:
+            held = [(at, seq, 0, path) for path, own in errors.items() for at, seq in own]
+            parts = list(self._parts(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _RUN, strict=True)], schema=_RUN))) if held else []
+            for k, part in enumerate(parts):
+                self.errors.updateValue((k,), (part.serialize().to_pybytes(),))
+            for n in numbers[len(parts) :]:
+                self.errors.removeKey(n)
+        until = runs["at"][-1].as_py()
+        last = heapq.nlargest(self.most, ((at, seq, path is not None, path or "") for path, own in errors.items() for at, seq in own))
+        return [(*key, path if known else None, at, seq if seq != _NO_NUMBER else None, k + 1, until) for k, (at, seq, known, path) in enumerate(last)] or [(*key, None, None, None, 0, until)]
 
 
 def error_rings(runs: DataFrame, most: int = 10, late: str = "10 seconds") -> DataFrame:
     """A stream of owners' rings (owner, path, ts, seq, place, until) as events.recent_errors has them, from runs (owner, path, ok, ts, seq).
 
     An owner's whole ring is given whenever its runs up to `until` have been taken, place 1 the latest error; an empty one is a row with place 0. The rows
-    with an owner's largest until are its ring. A path's errors go with its success.
+    with an owner's largest until are its ring. A path's errors go with its success; a run whose ok is null is neither. Runs come to the state in
+    lists, so a late one that is in a list with others is dropped if its owner's runs of that time have been taken, else taken.
     """
-    rows = runs.select(F.col("owner").cast("string"), F.col("path").cast("string"), "ok", "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long"))
-    return _timed(_keyed(rows, late, ["owner"], _Ring(most), _Ring.out), "at", "until").withColumnRenamed("at", "ts")
+    ok = F.when(F.col("ok"), 1).when(~F.col("ok"), 0).otherwise(-1).cast("tinyint")
+    rows = runs.select(F.col("owner").cast("string"), F.unix_micros("ts").alias("at"), F.coalesce(F.col("seq").cast("long"), F.lit(_NO_NUMBER)).alias("seq"), ok.alias("ok"), F.col("path").cast("string"))
+    packed = rows.mapInArrow(_packed, "owner string, last long, at array<long>, seq array<long>, ok array<tinyint>, path array<string>")
+    timed = packed.select("owner", F.timestamp_micros("last").alias("ts"), *_RUN.names)
+    return _timed(_keyed(timed, late, ["owner"], _Ring(most), _Ring.out), "at", "until").withColumnRenamed("at", "ts")
 
 
 class _Life(_InOrder):

@@ -59,3 +59,13 @@ def test_size_histogram_at_the_bounds(spark, tmp_path):
     got = QUERIES["size_histogram"](spark, str(tmp_path))
     ran = con.execute(ORACLES["size_histogram"])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in ran.description], ran.fetchall())
+
+
+def test_error_rings_stream_with_nulls(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT event_id, ts, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 > 0 THEN event_type END AS event_type, value, props
+      FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = QUERIES["error_rings_stream"](spark, str(tmp_path))
+    ran = con.execute(ORACLES["error_rings_stream"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in ran.description], ran.fetchall())

@@ -148,6 +148,44 @@ def test_error_rings(spark, tmp_path):
     assert got.where("owner = 'c' and place = 0").count() == 1
 
 
+def rings(got):
+    last = got.groupBy(F.col("owner").alias("o")).agg(F.max("until").alias("u"))
+    return got.join(last, F.col("owner").eqNullSafe(F.col("o")) & (F.col("until") == F.col("u"))).where("place > 0").select("owner", "path", "ts", "seq", "place")
+
+
+def test_error_rings_of_an_owner_with_many_errors(spark, tmp_path):
+    # Taken one by one, with all that are held read and written for each, these run into the feed's time limit.
+    schema, n = "owner string, path string, ok boolean, ts timestamp, seq long", 9000
+    rows = [("a", f"/p{i}", False, at(i), i) for i in range(n)] + [("a", f"/p{i}", True, at(n + i), n + i) for i in range(0, n, 2)]
+    fed = Fed(spark, tmp_path, lambda runs: error_rings(runs, 4), runs=schema)
+    fed.feed(runs=parts(rows, 2, lambda r: r[3]))
+    got = fed.feed(runs=[[("end", "/", True, LATER, 0)], [("end", "/", True, LATER + timedelta(days=1), 0)]])
+    same(rings(got.where("owner = 'a'")), E.recent_errors(spark.createDataFrame(rows, schema), 4))
+    assert [r.seq for r in rings(got).orderBy("place").collect()] == [n - 1, n - 3, n - 5, n - 7]
+
+
+def test_error_rings_with_nulls(spark, tmp_path):
+    # A run whose ok is null is neither, an error without a path stays, and runs without an owner are one owner's; numbers stay exact beside nulls.
+    rng = random.Random(6)
+    schema = "owner string, path string, ok boolean, ts timestamp, seq long"
+    rows = [(rng.choice(["a", None]), rng.choice(["/x", "/y", "/z", None]), rng.choice([True, False, False, None]), at(i), 2**53 + i if i % 9 else None) for i in range(120)]
+    fed = Fed(spark, tmp_path, lambda runs: error_rings(runs, 4), runs=schema)
+    fed.feed(runs=parts(rows, 3, lambda r: r[3]))
+    got = fed.feed(runs=[[("end", "/", True, LATER, 0)], [("end", "/", True, LATER + timedelta(days=1), 0)]])
+    # The batch operator joins by owner, too, so its clearing needs one.
+    named = spark.createDataFrame(rows, schema).fillna("none", ["owner"])
+    same(rings(got.where("owner is null or owner <> 'end'")).fillna("none", ["owner"]), E.recent_errors(named, 4))
+
+
+def test_late_runs_do_not_change_a_ring(spark, tmp_path):
+    schema = "owner string, path string, ok boolean, ts timestamp, seq long"
+    fed = Fed(spark, tmp_path, lambda runs: error_rings(runs, 4), runs=schema)
+    fed.feed(runs=[[("a", "/x", False, at(0), 0)], [("a", "/y", False, at(1000), 1)], [("a", "/y", False, at(2000), 2)]])
+    # The success came after its time's runs were taken, with a run that is in time.
+    got = fed.feed(runs=[[("a", "/x", True, at(5), 3), ("a", "/z", False, at(3000), 4)], [("end", "/", True, LATER, 0)], [("end", "/", True, LATER + timedelta(days=1), 0)]])
+    assert [r.path for r in rings(got.where("owner = 'a'")).orderBy("place").collect()] == ["/z", "/y", "/y", "/x"]
+
+
 def test_bundle_lives(spark, tmp_path):
     made, said = "bundle_id string, to_device_id string, created_at timestamp, expires_at timestamp", "bundle_id string, device_id string, ts timestamp"
     day = 86400
